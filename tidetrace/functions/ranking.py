@@ -49,13 +49,16 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size_col:
         pieces = pieces.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*group_cols)))
-    pieces = pieces.drop("_cnt").checkpoint(eager=True)
+    renamed = {g: f"_g{i}" for i, g in enumerate(group_cols)}
+    pieces = pieces.drop("_cnt").select(
+        F.col("_pid").alias("_rpid"), *[F.col(g).alias(a) for g, a in renamed.items()],
+        "_m0", "_off", *([size_col] if size_col else [])).checkpoint(eager=True)
     small = pieces.count() <= MAX_BROADCAST_OFFSET_ROWS
     right = F.broadcast(pieces) if small else pieces
-    cond = [staged["_pid"] == right["_pid"]] + [staged[g].eqNullSafe(right[g]) for g in group_cols]
-    extra = [right[size_col]] if size_col else []
-    out = staged.join(right, cond, "inner").select(
-        staged["*"], (right["_off"] + staged["_mid"] - right["_m0"]).alias(position_col), *extra)
+    cond = [F.col("_pid") == F.col("_rpid")] + [F.col(g).eqNullSafe(F.col(a)) for g, a in renamed.items()]
+    out = (staged.join(right, cond, "inner")
+                 .withColumn(position_col, F.col("_off") + F.col("_mid") - F.col("_m0"))
+                 .drop("_rpid", "_m0", "_off", *renamed.values()))
     return out.drop("_pid", "_mid")
 
 
