@@ -1 +1,123 @@
-"""Placeholder, filled below."""
+"""Cluster queries. Fixed centres (the first post of each label) make the
+assignment oracle-checkable; KMeans itself is checked by invariants in tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidetrace.operators import cluster as cl
+from tidetrace.plans.registry import register
+from tidetrace.plans.sqlviews import T, V, cos, toks
+from tidetrace.sources import tables as tb
+
+KMEANS_K = 10
+KMEANS_SEED = 42
+
+CENTRES = "Cn AS (SELECT label AS cluster_id, arg_min(embedding, post_id) AS tv FROM V GROUP BY label)"
+ASSIGN = f"""S AS (SELECT P.*, Cn.cluster_id, round({cos('P.embedding', 'Cn.tv')}, 6) AS similarity FROM P, Cn),
+A AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY similarity DESC, cluster_id) AS rn
+                       FROM S) WHERE rn = 1)"""
+
+
+def label_centres(v):
+    """One centre per label: the embedding of its lowest post id."""
+    return v.groupBy(F.col("label").cast("long").alias("cluster_id")).agg(
+        F.min_by("embedding", "post_id").alias("embedding"))
+
+
+def text_vector_posts(spark, sf_dir):
+    return tb.posts_with_text_and_vectors(spark, sf_dir).select("post_id", "Tweet", "embedding")
+
+
+@register("nearest_centroid", sql=f"""
+WITH {V}, {CENTRES}, P AS (SELECT post_id, embedding FROM V), {ASSIGN}
+SELECT post_id, cluster_id, similarity FROM A
+""")
+def q_nearest_centroid(spark, sf_dir):
+    v = tb.vector_posts(spark, sf_dir)
+    return cl.assign_nearest(v, label_centres(v), keep=["post_id"])
+
+
+@register("cluster_profile", sql=f"""
+WITH {V},
+X AS (SELECT label AS cluster_id, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS i FROM V),
+M AS (SELECT cluster_id, i, avg(x) AS x FROM X GROUP BY cluster_id, i),
+C AS (SELECT cluster_id, list(x ORDER BY i) AS c FROM M GROUP BY cluster_id),
+J AS (SELECT V.*, round({cos('V.embedding', 'C.c')}, 6) AS s FROM V JOIN C ON V.label = C.cluster_id)
+SELECT label AS cluster_id, count(*) AS n_posts, min(Datetime) AS first_post, max(Datetime) AS last_post,
+       count(DISTINCT ChannelName) AS n_channels,
+       sum(CAST(round(s * 1000000) AS BIGINT)) / count(s) / 1000000.0 AS mean_centre_similarity
+FROM J GROUP BY label
+""")
+def q_cluster_profile(spark, sf_dir):
+    v = tb.vector_posts(spark, sf_dir).withColumn("cluster_id", F.col("label").cast("long"))
+    return cl.cluster_profile(v)
+
+
+@register("cluster_terms", sql=f"""
+WITH {T},
+X AS (SELECT ChannelName AS cluster_id, unnest({toks('Tweet')}) AS term FROM T),
+TF AS (SELECT cluster_id, term, count(*) AS tf FROM X GROUP BY cluster_id, term),
+SZ AS (SELECT cluster_id, sum(tf) AS size FROM TF GROUP BY cluster_id),
+FQ AS (SELECT term, sum(tf) AS f FROM TF GROUP BY term),
+AV AS (SELECT avg(size) AS a FROM SZ),
+S AS (SELECT TF.cluster_id, TF.term, round(TF.tf / SZ.size * ln(1.0 + AV.a / FQ.f), 6) AS score
+      FROM TF JOIN SZ ON TF.cluster_id = SZ.cluster_id JOIN FQ ON TF.term = FQ.term, AV),
+R AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS rank FROM S)
+SELECT cluster_id, rank, term, score FROM R WHERE rank <= 5
+""")
+def q_cluster_terms(spark, sf_dir):
+    t = tb.text_posts(spark, sf_dir).select("ChannelName", "Tweet")
+    return cl.cluster_terms(t, cluster_col="ChannelName")
+
+
+@register("cluster_narratives", sql=f"""
+WITH {T}, {V}, {CENTRES},
+P AS (SELECT T.post_id, T.Tweet, V.embedding FROM T JOIN V ON T.post_id = V.post_id), {ASSIGN},
+BT AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, Tweet ORDER BY similarity DESC, post_id) AS r1
+                      FROM A) WHERE r1 = 1),
+RT AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, post_id) AS r2 FROM BT),
+N2 AS (SELECT cluster_id, max(CASE WHEN r2 = 1 THEN Tweet END) AS narrative_1, max(CASE WHEN r2 = 2 THEN Tweet END) AS narrative_2
+       FROM RT WHERE r2 <= 2 GROUP BY cluster_id),
+MB AS (SELECT cluster_id, list(post_id ORDER BY rm) AS top_post_ids
+       FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, post_id) AS rm FROM A)
+       WHERE rm <= 5 GROUP BY cluster_id),
+SZ AS (SELECT cluster_id, count(*) AS n_posts FROM A GROUP BY cluster_id)
+SELECT SZ.cluster_id, n_posts, narrative_1, narrative_2, top_post_ids
+FROM SZ JOIN N2 ON SZ.cluster_id = N2.cluster_id JOIN MB ON SZ.cluster_id = MB.cluster_id
+""")
+def q_cluster_narratives(spark, sf_dir):
+    p = text_vector_posts(spark, sf_dir)
+    centres = label_centres(tb.vector_posts(spark, sf_dir))
+    assigned = cl.assign_nearest(p, centres, keep=["post_id", "Tweet"])
+    return cl.extractive_narratives(assigned).select("cluster_id", "n_posts", "narrative_1", "narrative_2",
+                                                     "top_post_ids")
+
+
+@register("cluster_prompts", sql=f"""
+WITH {T}, {V}, {CENTRES},
+P AS (SELECT T.post_id, T.Tweet, V.embedding FROM T JOIN V ON T.post_id = V.post_id), {ASSIGN},
+R AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, post_id) AS rn FROM A)
+SELECT cluster_id, 'Name the two main narratives in these posts as JSON with keys narrative_1 and narrative_2.'
+       || chr(10) || string_agg(Tweet, chr(10) || '- ' ORDER BY rn) AS prompt
+FROM R WHERE rn <= 50 GROUP BY cluster_id
+""")
+def q_cluster_prompts(spark, sf_dir):
+    p = text_vector_posts(spark, sf_dir)
+    centres = label_centres(tb.vector_posts(spark, sf_dir))
+    return cl.narrative_prompts(cl.assign_nearest(p, centres, keep=["post_id", "Tweet"]))
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, sf_dir):
+    """CLU1/CLU2: rows only (labels depend on the seed and partitioning)."""
+    v = tb.vector_posts(spark, sf_dir)
+    assigned, _ = cl.fit_kmeans(v, KMEANS_K, seed=KMEANS_SEED)
+    return assigned
+
+
+@register("narratives_discovered")
+def q_narratives_discovered(spark, sf_dir):
+    """CLU8: cluster → representative narratives → trace every post (rows only)."""
+    v = tb.vector_posts(spark, sf_dir)
+    return cl.discover_and_trace(v, 3, seed=KMEANS_SEED, threshold=0.2)
