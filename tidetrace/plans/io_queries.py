@@ -1 +1,150 @@
-"""Placeholder, filled below."""
+"""Sources, sinks, embedding table and streaming: each query writes into the
+shared checkpoint folder and reads back, so the round trip itself is checked."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidetrace.operators import embed as em
+from tidetrace.operators import evaluate as ev
+from tidetrace.operators import trace as tr
+from tidetrace.plans import cluster_queries as cq
+from tidetrace.plans import eval_queries as eq
+from tidetrace.plans import trace_queries as tq
+from tidetrace.plans.registry import ORACLE_SQL, register
+from tidetrace.plans.sqlviews import T, V
+from tidetrace.session import scratch_path
+from tidetrace.sinks import writers as wr
+from tidetrace.sources import catalog as ca
+from tidetrace.sources import posts as ps
+from tidetrace.sources import saved as sv
+from tidetrace.sources import tables as tb
+from tidetrace.streaming import trace_stream as ts
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+
+
+@register("run_roundtrip", sql=ORACLE_SQL["trace_vectors"])
+def q_run_roundtrip(spark, sf_dir):
+    """SNK2 + SRC7 + SRC8: save a trace as a run, list runs, load it back."""
+    base = _scratch(spark, "runs")
+    result = tq.q_trace_vectors(spark, sf_dir)
+    run = wr.save_run(result, base, target="post 0", start=tq.RANGE_START, end=tq.RANGE_END,
+                      threshold=tq.VECTOR_THRESHOLD, datasets=["V"])
+    run_id = sv.list_runs(spark, base).select("run_id").first()["run_id"]
+    assert run_id == run.first()["run_id"]
+    return sv.load_run(spark, base, run_id).select(*result.columns)
+
+
+@register("csv_roundtrip", sql=f"""
+WITH {T}
+SELECT post_id, Tweet, ChannelName, datasetName, Datetime, 'Author: ' || ChannelName || chr(10) || 'Tweet: ' || Tweet AS AuthorTweet
+FROM T
+""")
+def q_csv_roundtrip(spark, sf_dir):
+    """SNK3 + SRC1: whole texts (with newlines and quotes) through quoted CSV."""
+    path = _scratch(spark, "csv")
+    t = tb.text_posts(spark, sf_dir)
+    (t.write.option("header", True).option("quoteAll", True).option("escape", '"')
+      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+    back = ps.read_csv_posts(spark, path, null_words=None, strip_invalid=False)
+    return back.select(F.col("post_id").cast("bigint").alias("post_id"), "Tweet", "ChannelName", "datasetName",
+                       F.col("Datetime").try_cast("timestamp_ntz").alias("Datetime"), "AuthorTweet")
+
+
+@register("json_roundtrip", sql=f"""
+WITH {T}
+SELECT post_id, Tweet, ChannelName, Datetime FROM T
+""")
+def q_json_roundtrip(spark, sf_dir):
+    """SRC5: uploaded JSON records with a typed Datetime."""
+    path = _scratch(spark, "json")
+    t = tb.text_posts(spark, sf_dir).select(F.col("post_id").cast("string").alias("post_id"), "Tweet",
+                                            "ChannelName", F.col("Datetime").cast("string").alias("Datetime"))
+    t.write.json(path)
+    back = ps.read_json_posts(spark, path)
+    return back.select(F.col("post_id").cast("bigint").alias("post_id"), "Tweet", "ChannelName", "Datetime")
+
+
+@register("channel_split", sql=f"""
+WITH {T}
+SELECT regexp_replace(ChannelName, '[^\\p{{L}}\\p{{N}}]', '_', 'g') AS channel_key, count(*) AS n_posts,
+       min(post_id) AS first_post_id
+FROM T GROUP BY 1
+""")
+def q_channel_split(spark, sf_dir):
+    """SNK1 + FLT3: per-channel directory layout, read back per key."""
+    path = _scratch(spark, "channels")
+    wr.write_by_channel(tb.text_posts(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("channel_key").agg(F.count(F.lit(1)).alias("n_posts"), F.min("post_id").alias("first_post_id"))
+
+
+@register("narratives_json", sql=ORACLE_SQL["cluster_narratives"])
+def q_narratives_json(spark, sf_dir):
+    """SNK6: cluster narratives written as JSON and read back."""
+    path = _scratch(spark, "narratives")
+    wr.write_narratives_json(cq.q_cluster_narratives(spark, sf_dir), path)
+    return spark.read.schema("cluster_id long, n_posts long, narrative_1 string, narrative_2 string, "
+                             "top_post_ids array<long>").json(path)
+
+
+@register("eval_outputs", sql=ORACLE_SQL["eval_global"])
+def q_eval_outputs(spark, sf_dir):
+    """SNK5: evaluation pairs and metrics written, metrics read back."""
+    path = _scratch(spark, "eval")
+    scored = eq.scored(spark, sf_dir)
+    wr.write_eval(scored.drop("e1", "e2"), ev.global_metrics(scored), path)
+    return spark.read.schema(ev.global_metrics(scored).schema).json(f"{path}/metrics")
+
+
+@register("dataset_catalog")
+def q_dataset_catalog(spark, sf_dir):
+    """SRC4: file catalog of the table directory (metadata only)."""
+    return ca.list_datasets(spark, sf_dir, "*.parquet")
+
+
+@register("new_posts_to_embed", sql=f"""
+WITH {T}, {V},
+K AS (SELECT DISTINCT sha256(T.Tweet) AS text_key FROM T JOIN V ON T.post_id = V.post_id)
+SELECT post_id, sha256(Tweet) AS text_key FROM T WHERE NOT EXISTS (SELECT 1 FROM K WHERE K.text_key = sha256(T.Tweet))
+""")
+def q_new_posts_to_embed(spark, sf_dir):
+    """EMB3/JN7: texts without a stored vector (the table holds the vectors
+    of posts that have one), by content key."""
+    t = tb.text_posts(spark, sf_dir)
+    known = tb.posts_with_text_and_vectors(spark, sf_dir).select(
+        F.sha2(F.col("Tweet"), 256).alias("text_key"), F.lit("given").alias("model"), "embedding")
+    return em.missing_embeddings(t, known, model="given").select("post_id", "text_key")
+
+
+@register("trace_hashed_tfidf")
+def q_trace_hashed_tfidf(spark, sf_dir):
+    """EMB1(a)/EMB2: hashed TF-IDF vectors for posts and narratives, then the
+    vector trace (rows only: the hashed encoder has no SQL twin)."""
+    t = tb.text_posts(spark, sf_dir)
+    model = em.fit_hashed_tfidf(t)
+    posts = em.embed_hashed(t, model).select("post_id", "ChannelName", "Datetime", "embedding")
+    narratives = em.embed_hashed(tq.benchmark_narratives(spark, sf_dir).withColumnRenamed("text", "Tweet"), model) \
+                   .select("narrative_id", "embedding")
+    return tr.trace_vectors(posts, narratives, threshold=tq.TEXT_THRESHOLD,
+                            keep=["post_id", "ChannelName", "Datetime"])
+
+
+@register("stream_trace", sql=ORACLE_SQL["trace_vectors"])
+def q_stream_trace(spark, sf_dir):
+    """STR1: the flagship trace as a stream over the embeddings files; drained
+    with availableNow and read back, it must equal the batch result."""
+    out, ckpt = _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt")
+    schema = tb.table(spark, sf_dir, "embeddings").schema
+    stream = tb.derive_vector_posts(ts.read_parquet_stream(spark, sf_dir, schema, glob="embeddings.parquet"))
+    v = tb.vector_posts(spark, sf_dir)
+    q = ts.start_trace_stream(stream, tq.vector_targets(v, tq.ONE_TARGET), out, ckpt,
+                              start=tq.RANGE_START, end=tq.RANGE_END, threshold=tq.VECTOR_THRESHOLD,
+                              keep=["post_id", "ChannelName", "Datetime"])
+    ts.run_to_completion(q)
+    return spark.read.parquet(out).drop("batch_id")

@@ -27,5 +27,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tidetrace.plans import (  # noqa: F401
         trace_queries, prepare_queries, eval_queries, stance_queries, cluster_queries,
-        io_queries,
+        io_queries,  # noqa: F401 (imports trace, cluster and eval queries first)
     )

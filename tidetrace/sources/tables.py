@@ -33,7 +33,11 @@ def _spread_time(id_col: Column, step: int) -> Column:
 
 def vector_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V: posts that carry an embedding (post_id, ChannelName, label, embedding, Datetime)."""
-    e = table(spark, sf_dir, "embeddings")
+    return derive_vector_posts(table(spark, sf_dir, "embeddings"))
+
+
+def derive_vector_posts(e: DataFrame) -> DataFrame:
+    """V from an embeddings DataFrame (batch or stream)."""
     return e.select(
         F.col("vec_id").alias("post_id"),
         F.concat(F.lit("label_"), F.col("label").cast("string")).alias("ChannelName"),
