@@ -15,7 +15,7 @@ stage, so only (post, narrative) pairs that share a token are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidetrace.functions.text import squared_norm_of_counts, tokens
 from tidetrace.functions.vectors import cosine_from_parts, dot, norm, rounded
@@ -23,6 +23,9 @@ from tidetrace.session import spread
 
 # Upper bound on targets packed into one scalar value (targets × dims floats).
 MAX_PACKED_VALUES = 4_000_000
+# Above this many target values (targets × dims) per post, scoring moves from
+# per-row JVM expressions to a numpy matrix product over Arrow batches.
+EXPR_MAX_TARGET_VALUES = 2048
 # Narrative-token rows broadcast to the lexical join; above this a shuffle join is used.
 MAX_BROADCAST_TOKEN_ROWS = 5_000_000
 
@@ -51,15 +54,24 @@ def _target_chunks(targets: DataFrame, id_col: str, vec_col: str) -> list[DataFr
 def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embedding",
                   target_id_col: str = "narrative_id", target_vec_col: str = "embedding",
                   threshold: float | None = None, keep: list[str] | None = None,
-                  score_col: str = "similarity") -> DataFrame:
+                  score_col: str = "similarity", method: str = "auto") -> DataFrame:
     """Long table (keep..., narrative_id, similarity) of cosine scores.
 
     Scores are rounded to 6 places and the threshold (inclusive) applies to
-    the rounded value.
+    the rounded value. ``method``: 'expr' (JVM expressions, no Python),
+    'arrow' (numpy matrix product per Arrow batch) or 'auto' (expr for a few
+    narrow targets, arrow when targets × dims is large).
     """
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
     outs = []
     for chunk in _target_chunks(targets, target_id_col, target_vec_col):
+        use = method
+        if method == "auto":
+            st = chunk.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(target_vec_col)).alias("d")).first()
+            use = "expr" if int(st["n"] or 0) * int(st["d"] or 0) <= EXPR_MAX_TARGET_VALUES else "arrow"
+        if use == "arrow":
+            outs.append(_score_arrow(posts, chunk, vec_col, target_id_col, target_vec_col, threshold, keep, score_col))
+            continue
         arr = _packed_targets(chunk, target_id_col, target_vec_col)
         pv = F.col(vec_col)
         pn = F.col("_pn")
@@ -79,6 +91,52 @@ def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embed
     return res
 
 
+def _score_arrow(posts: DataFrame, targets: DataFrame, vec_col: str, target_id_col: str, target_vec_col: str,
+                 threshold: float | None, keep: list[str], score_col: str) -> DataFrame:
+    """Cosine scores as one matrix product per Arrow batch.
+
+    The target matrix (size-checked by ``_target_chunks``) is shipped once as
+    a broadcast variable. Python keeps only scores within 1e-6 of the
+    threshold; rounding and the exact threshold test run in the JVM, so
+    results equal the expression path up to float summation order.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = posts.sparkSession
+    rows = targets.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).collect()
+    ids = np.array([r["tid"] for r in rows], dtype=np.int64)
+    mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows], dtype=np.float64)
+    tn = np.linalg.norm(mat, axis=1)
+    mat = np.divide(mat, tn[:, None], out=np.zeros_like(mat), where=tn[:, None] > 0)
+    bc = spark.sparkContext.broadcast((ids, mat))
+    floor = None if threshold is None else float(threshold) - 1e-6
+    src = spread(posts).select(*keep, F.col(vec_col).alias("_v"))
+    key_schema = src.drop("_v").schema
+    out_schema = T.StructType(key_schema.fields + [T.StructField("narrative_id", T.LongType()),
+                                                   T.StructField("_raw", T.DoubleType())])
+
+    def run(batches):
+        t_ids, t_mat = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
+            xn = np.linalg.norm(x, axis=1)
+            sims = (x @ t_mat.T)
+            sims = np.divide(sims, xn[:, None], out=np.zeros_like(sims), where=xn[:, None] > 0)
+            r, c = (np.nonzero(sims >= floor) if floor is not None else np.indices(sims.shape).reshape(2, -1))
+            base = pdf.drop(columns=["_v"]).iloc[r].reset_index(drop=True)
+            base["narrative_id"] = t_ids[c]
+            base["_raw"] = sims[r, c]
+            yield base
+
+    scored = src.mapInPandas(run, out_schema).withColumn(score_col, rounded(F.col("_raw"))).drop("_raw")
+    if threshold is not None:
+        scored = scored.where(F.col(score_col) >= F.lit(float(threshold)))
+    return scored
+
+
 def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embedding",
                    target_id_col: str = "cluster_id", target_vec_col: str = "embedding",
                    id_alias: str = "cluster_id", keep: list[str] | None = None) -> DataFrame:

@@ -50,7 +50,7 @@ def read_csv_posts(spark: SparkSession, paths: str | Sequence[str], *, schema: T
 
 def read_text_posts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """SRC2: each .txt file is one post (column Tweet), no time, no channel."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(_paths(paths))
+    df = spark.read.option("pathGlobFilter", "*.txt").text(_paths(paths), wholetext=True)
     return df.select(F.col("value").alias("Tweet"), F.col("_metadata.file_name").alias("source_file")) \
              .transform(author_context)
 
