@@ -14,8 +14,10 @@ def exact_mean(c: Column) -> Column:
 
     Integer sums do not depend on summation order, so the result is the same
     double for any partitioning (and equals the SQL form below)."""
-    micro = F.round(c * F.lit(MICRO)).cast("bigint")
-    return F.try_divide(F.sum(micro), F.count(c)) / F.lit(float(MICRO))
+    micro = F.round(c * F.lit(MICRO)).cast("decimal(38,0)")
+    # decimal(38,0) cannot overflow at any row count; below 2^53 the cast to
+    # double is exact, so the result matches an integer-sum / count division.
+    return F.try_divide(F.sum(micro).cast("double"), F.count(c)) / F.lit(float(MICRO))
 
 
 def pct(cond: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidetrace.functions.ranking import group_positions
 from tidetrace.operators.similarity import score_lexical, score_vectors
 
 
@@ -33,10 +34,26 @@ def date_range(df: DataFrame, start=None, end=None, *, col: str = "Datetime",
 
 
 def trace_vectors(posts: DataFrame, targets: DataFrame, *, start=None, end=None,
-                  threshold: float | None = 0.4, keep: list[str] | None = None) -> DataFrame:
+                  threshold: float | None = 0.4, keep: list[str] | None = None,
+                  position_order: list[str] | None = None, max_posts: int | None = None) -> DataFrame:
     """SIM5/SIM6 on embedded posts: date filter, score against every target,
-    keep scores >= threshold. Long form (post, narrative_id, similarity)."""
-    return score_vectors(date_range(posts, start, end), targets, threshold=threshold, keep=keep)
+    keep scores >= threshold. Long form (post, narrative_id, similarity).
+
+    ``position_order`` adds ``position`` (PRJ9): the 0-based place of the post
+    in the date-filtered table under that order, computed without a global
+    single-task window. ``max_posts`` (SIM7) scores only the first n posts
+    under ``position_order``; there is no cap by default.
+    """
+    filtered = date_range(posts, start, end)
+    if position_order:
+        filtered = group_positions(filtered, [], position_order)
+        if max_posts is not None:
+            filtered = filtered.where(F.col("position") < max_posts)
+        keep = (keep or [c for c in filtered.columns if c != "embedding"]) + \
+            ([] if keep is None or "position" in keep else ["position"])
+    elif max_posts is not None:
+        raise ValueError("max_posts needs position_order: the first n posts must be defined by an order")
+    return score_vectors(filtered, targets, threshold=threshold, keep=keep)
 
 
 def trace_text(posts: DataFrame, narratives: DataFrame, *, start=None, end=None,
@@ -91,6 +108,24 @@ def dataset_names(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def filter_dataset(df: DataFrame, name: str) -> DataFrame:
+    """FLT5: rows of one dataset (missing names read 'unknown')."""
+    return df.where(F.coalesce(F.col("datasetName"), F.lit("unknown")) == name)
+
+
+def filter_channel(df: DataFrame, channel: str) -> DataFrame:
+    """FLT3: rows of one channel; on a per-channel layout this prunes directories."""
+    if "channel_key" in df.columns:
+        from tidetrace.functions.text import channel_key
+        return df.where(F.col("channel_key") == channel_key(F.lit(channel))).where(F.col("ChannelName") == channel)
+    return df.where(F.col("ChannelName") == channel)
+
+
+def first_posts(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """RNK9: the first n rows under an explicit order (distributed top-n)."""
+    return df.orderBy(*order).limit(n)
+
+
 def chronological(df: DataFrame, *, id_col: str = "post_id") -> DataFrame:
     """RNK5/RNK6: ascending Datetime with a unique tie-break (range-partitioned sort)."""
     return df.orderBy(F.col("Datetime"), F.col(id_col))

@@ -151,3 +151,51 @@ def q_dataset_names(spark, sf_dir):
     traced = tr.trace_text(t, benchmark_narratives(spark, sf_dir), threshold=TEXT_THRESHOLD,
                            keep=["post_id", "datasetName"])
     return tr.dataset_names(t, traced)
+
+
+@register("trace_positions", sql=f"""
+WITH {V},
+D AS (SELECT *, row_number() OVER (ORDER BY post_id) - 1 AS position FROM V
+      WHERE Datetime >= TIMESTAMP '2024-01-05 00:00:00' AND Datetime <= TIMESTAMP '2024-01-20 00:00:00'),
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 0),
+S AS (SELECT D.post_id, D.Datetime, D.position, Tg.narrative_id, round({cos('D.embedding', 'Tg.tv')}, 6) AS similarity
+      FROM D, Tg)
+SELECT * FROM S WHERE similarity >= 0.2
+""")
+def q_trace_positions(spark, sf_dir):
+    """PRJ9: trace with the post's place in the date-filtered input kept."""
+    v = tb.vector_posts(spark, sf_dir)
+    return tr.trace_vectors(v, vector_targets(v, ONE_TARGET), start=RANGE_START, end=RANGE_END,
+                            threshold=VECTOR_THRESHOLD, keep=["post_id", "Datetime"], position_order=["post_id"])
+
+
+@register("sort_by_narrative", sql=f"""
+WITH {V},
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 1)
+SELECT V.post_id, Tg.narrative_id, round({cos('V.embedding', 'Tg.tv')}, 6) AS similarity FROM V, Tg
+ORDER BY similarity, post_id
+""")
+def q_sort_by_narrative(spark, sf_dir):
+    """RNK1: every post ascending by similarity to one narrative."""
+    v = tb.vector_posts(spark, sf_dir)
+    scores = sim.score_vectors(v, vector_targets(v, THREE_TARGETS), keep=["post_id"])
+    return sim.sort_by_narrative(scores, 1)
+
+
+@register("first_posts", sql=f"""
+WITH {T}
+SELECT post_id, ChannelName, Datetime FROM T ORDER BY Datetime, post_id LIMIT 100
+""")
+def q_first_posts(spark, sf_dir):
+    """RNK9/RNK5: the first 100 posts in time (a top-n feature, not a row cap)."""
+    t = tb.text_posts(spark, sf_dir).select("post_id", "ChannelName", "Datetime")
+    return tr.first_posts(t, 100, ["Datetime", "post_id"])
+
+
+@register("dataset_filter", sql=f"""
+WITH {T}
+SELECT post_id, datasetName, Datetime FROM T WHERE coalesce(datasetName, 'unknown') = 'de'
+""")
+def q_dataset_filter(spark, sf_dir):
+    """FLT5: one dataset's rows."""
+    return tr.filter_dataset(tb.text_posts(spark, sf_dir), "de").select("post_id", "datasetName", "Datetime")
