@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidetrace.operators import embed as em
 from tidetrace.operators import evaluate as ev
+from tidetrace.operators import similarity as sim
 from tidetrace.operators import trace as tr
 from tidetrace.plans import cluster_queries as cq
 from tidetrace.plans import eval_queries as eq
@@ -148,3 +149,19 @@ def q_stream_trace(spark, sf_dir):
                               keep=["post_id", "ChannelName", "Datetime"])
     ts.run_to_completion(q)
     return spark.read.parquet(out).drop("batch_id")
+
+
+@register("stream_timeline", sql=ORACLE_SQL["timeline_daily"])
+def q_stream_timeline(spark, sf_dir):
+    """STR1 second half: the daily timeline as a stateful streaming aggregation
+    with a watermark, in update mode; the latest version of each window equals
+    the batch timeline."""
+    out, ckpt = _scratch(spark, "timeline-out"), _scratch(spark, "timeline-ckpt")
+    schema = tb.table(spark, sf_dir, "embeddings").schema
+    stream = tb.derive_vector_posts(ts.read_parquet_stream(spark, sf_dir, schema, glob="embeddings.parquet"))
+    v = tb.vector_posts(spark, sf_dir)
+    scored = sim.score_vectors(stream, tq.vector_targets(v, tq.ONE_TARGET), keep=["post_id", "ChannelName", "Datetime"],
+                               method="expr")
+    q = ts.start_update_log(ts.stream_timeline(scored, by=["ChannelName"]), out, ckpt)
+    ts.run_to_completion(q)
+    return ts.latest_versions(spark, out, ["bucket_start", "ChannelName"])

@@ -47,11 +47,48 @@ def run_to_completion(query, timeout_s: int = 600) -> None:
         raise RuntimeError(str(query.exception()))
 
 
-def stream_timeline(stream: DataFrame, *, by: list[str], every: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """AGG16 on a stream: windowed counts with a watermark bounding state."""
-    return (stream.withWatermark("Datetime", lateness)
-                  .groupBy(F.window("Datetime", every).alias("w"), *by)
-                  .agg(F.count(F.lit(1)).alias("n_posts"), F.max("similarity").alias("max_similarity")))
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c: F.Column) -> F.Column:
+    """TIMESTAMP_NTZ → TIMESTAMP read as UTC wall clock (any session zone)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c))
+
+
+def instant_to_ntz(c: F.Column) -> F.Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+def stream_timeline(scored: DataFrame, *, by: list[str], every: str = "1 day", lateness: str = "1 day") -> DataFrame:
+    """AGG16 on a stream: windowed counts with a watermark that bounds the state
+    (windows older than the watermark are finalised and dropped)."""
+    return (scored.withColumn("_event", ntz_to_instant(F.col("Datetime")))
+                  .withWatermark("_event", lateness)
+                  .groupBy(F.window("_event", every).alias("w"), *by)
+                  .agg(F.count(F.lit(1)).alias("n_posts"),
+                       F.round(F.sum("similarity"), 6).alias("sum_similarity"),
+                       F.max("similarity").alias("max_similarity"))
+                  .select(instant_to_ntz(F.col("w.start")).alias("bucket_start"), *by,
+                          "n_posts", "sum_similarity", "max_similarity"))
+
+
+def start_update_log(agg: DataFrame, out_path: str, checkpoint: str, *, available_now: bool = True):
+    """Write each micro-batch's updated groups to ``<out>/batch_id=<n>``
+    (overwrite, so a replayed batch replaces itself)."""
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+    w = agg.writeStream.outputMode("update").foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def latest_versions(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame:
+    """Current value of every group from an update log: the row of the
+    highest batch id per key (small groups: one row per batch that touched it)."""
+    from pyspark.sql import Window
+    log = spark.read.parquet(out_path)
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
+    return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch_id")
 
 
 Transform = Callable[[DataFrame], DataFrame]
