@@ -39,16 +39,18 @@ def _packed_targets(targets: DataFrame, id_col: str, vec_col: str) -> Column:
     return packed.scalar()
 
 
-def _target_chunks(targets: DataFrame, id_col: str, vec_col: str) -> list[DataFrame]:
-    """Split the target table into pieces whose packed size is bounded."""
+def _target_chunks(targets: DataFrame, id_col: str, vec_col: str) -> tuple[list[DataFrame], int]:
+    """Split the target table into pieces whose packed size is bounded.
+
+    Returns (chunks, values per chunk upper estimate = min(n, per_chunk) × d)."""
     stats = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
     n, d = int(stats["n"] or 0), int(stats["d"] or 1)
     per_chunk = max(1, MAX_PACKED_VALUES // max(d, 1))
     if n <= per_chunk:
-        return [targets]
+        return [targets], n * d
     n_chunks = -(-n // per_chunk)
     keyed = targets.withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_chunks * 2)))
-    return [keyed.where(F.col("_chunk") == i).drop("_chunk") for i in range(n_chunks * 2)]
+    return [keyed.where(F.col("_chunk") == i).drop("_chunk") for i in range(n_chunks * 2)], per_chunk * d
 
 
 def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embedding",
@@ -64,11 +66,11 @@ def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embed
     """
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
     outs = []
-    for chunk in _target_chunks(targets, target_id_col, target_vec_col):
+    chunks, values = _target_chunks(targets, target_id_col, target_vec_col)
+    for chunk in chunks:
         use = method
         if method == "auto":
-            st = chunk.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(target_vec_col)).alias("d")).first()
-            use = "expr" if int(st["n"] or 0) * int(st["d"] or 0) <= EXPR_MAX_TARGET_VALUES else "arrow"
+            use = "expr" if values <= EXPR_MAX_TARGET_VALUES else "arrow"
         if use == "arrow":
             outs.append(_score_arrow(posts, chunk, vec_col, target_id_col, target_vec_col, threshold, keep, score_col))
             continue
@@ -142,6 +144,9 @@ def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embe
                    id_alias: str = "cluster_id", keep: list[str] | None = None) -> DataFrame:
     """Best target per post by rounded cosine, ties to the lowest target id."""
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
+    chunks, _ = _target_chunks(targets, target_id_col, target_vec_col)
+    if len(chunks) > 1:
+        raise ValueError("too many centres to pack; reduce k or the vector size")
     arr = _packed_targets(targets, target_id_col, target_vec_col)
     pv = F.col(vec_col)
     scored = F.transform(F.col("_tg"), lambda t: F.struct(

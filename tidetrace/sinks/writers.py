@@ -93,6 +93,12 @@ def export_with_header(result: DataFrame, run: DataFrame, path: str) -> None:
          .write.mode("overwrite").text(f"{path}/_header")
 
 
+def write_prepared(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """SNK4: persist a prepared post table as parquet (multi-line CSV is not
+    splittable, so it is converted once and queried from parquet after)."""
+    df.write.mode(mode).parquet(path)
+
+
 def write_narratives_json(summary: DataFrame, path: str) -> None:
     """SNK6: one JSON record per cluster summary."""
     summary.write.mode("overwrite").json(path)
