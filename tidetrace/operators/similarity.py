@@ -21,13 +21,19 @@ from tidetrace.functions.text import squared_norm_of_counts, tokens
 from tidetrace.functions.vectors import cosine_from_parts, dot, norm, rounded
 from tidetrace.session import spread
 
-# Upper bound on targets packed into one scalar value (targets × dims floats).
+# Upper bound on target values (targets × dims) handled as one chunk; bigger
+# target sets are split into chunks and unioned (exact, no cap).
 MAX_PACKED_VALUES = 4_000_000
+# The expression path embeds the targets in the plan (shipped with every
+# task), so it is used only up to this many values; beyond it the Arrow path
+# ships them once per executor as a broadcast variable.
+EXPR_HARD_MAX_VALUES = 65_536
 # Above this many target values (targets × dims) per post, scoring moves from
 # per-row JVM expressions to a numpy matrix product over Arrow batches.
 EXPR_MAX_TARGET_VALUES = 2048
-# Narrative-token rows broadcast to the lexical join; above this a shuffle join is used.
-MAX_BROADCAST_TOKEN_ROWS = 5_000_000
+# Narrative-token rows broadcast to the lexical join (a few tens of MB at
+# most); above this a shuffle join on token is used, with AQE skew handling.
+MAX_BROADCAST_TOKEN_ROWS = 1_000_000
 
 
 def _packed_targets(targets: DataFrame, id_col: str, vec_col: str) -> Column:
@@ -71,6 +77,8 @@ def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embed
         use = method
         if method == "auto":
             use = "expr" if values <= EXPR_MAX_TARGET_VALUES else "arrow"
+        elif method == "expr" and values > EXPR_HARD_MAX_VALUES:
+            use = "arrow"
         if use == "arrow":
             outs.append(_score_arrow(posts, chunk, vec_col, target_id_col, target_vec_col, threshold, keep, score_col))
             continue
@@ -107,6 +115,10 @@ def _score_arrow(posts: DataFrame, targets: DataFrame, vec_col: str, target_id_c
 
     spark = posts.sparkSession
     rows = targets.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).collect()
+    if not rows:  # an empty hash chunk
+        return (posts.select(*keep).where(F.lit(False))
+                     .withColumn("narrative_id", F.lit(None).cast("long"))
+                     .withColumn(score_col, F.lit(None).cast("double")))
     ids = np.array([r["tid"] for r in rows], dtype=np.int64)
     mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows], dtype=np.float64)
     tn = np.linalg.norm(mat, axis=1)
@@ -144,9 +156,9 @@ def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embe
                    id_alias: str = "cluster_id", keep: list[str] | None = None) -> DataFrame:
     """Best target per post by rounded cosine, ties to the lowest target id."""
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
-    chunks, _ = _target_chunks(targets, target_id_col, target_vec_col)
-    if len(chunks) > 1:
-        raise ValueError("too many centres to pack; reduce k or the vector size")
+    chunks, values = _target_chunks(targets, target_id_col, target_vec_col)
+    if len(chunks) > 1 or values > EXPR_HARD_MAX_VALUES:
+        raise ValueError(f"centres × dims above {EXPR_HARD_MAX_VALUES}; reduce k or the vector size")
     arr = _packed_targets(targets, target_id_col, target_vec_col)
     pv = F.col(vec_col)
     scored = F.transform(F.col("_tg"), lambda t: F.struct(
