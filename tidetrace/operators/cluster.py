@@ -10,6 +10,7 @@ from tidetrace.functions.stats import exact_mean
 from tidetrace.functions.text import text_key, tokens
 from tidetrace.functions.vectors import cosine
 from tidetrace.operators.similarity import nearest_target, score_vectors
+from tidetrace.session import ensure_checkpoint_dir, spread
 
 MAX_CLUSTERS = 1000  # centres are collected from the fitted model (k × dims values)
 TOP_MEMBERS = 5
@@ -74,8 +75,13 @@ def cluster_terms(df: DataFrame, *, cluster_col: str = "cluster_id", text_col: s
                   top: int = TOP_TERMS) -> DataFrame:
     """CLU6: class-based TF-IDF, score = tf(t,c)/|c| · ln(1 + A/f(t)), with A the
     mean token count per cluster and f(t) the count of t over all clusters."""
-    ex = df.select(F.col(cluster_col).alias("cluster_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    tf = ex.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ex = spread(df.select(F.col(cluster_col).alias("cluster_id"), F.col(text_col))) \
+        .select("cluster_id", F.explode(tokens(F.col(text_col))).alias("term"))
+    # (cluster, term) counts feed four branches; without a cut the corpus would
+    # be tokenised once per branch (their plans differ, so no exchange reuse).
+    # The checkpoint (shared checkpoint dir) holds clusters × vocabulary rows.
+    ensure_checkpoint_dir(df.sparkSession)
+    tf = ex.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
     size = tf.groupBy("cluster_id").agg(F.sum("tf").alias("_size"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("_f"))
     avg_size = size.select(F.avg("_size")).scalar()
@@ -96,7 +102,8 @@ def extractive_narratives(assigned: DataFrame, *, text_col: str = "Tweet", top_m
     """
     best = F.struct(F.col("similarity"), (-F.col("post_id")).alias("neg_id"))
     texts = (assigned.groupBy("cluster_id", text_key(F.col(text_col)).alias("_k"))
-                     .agg(F.max(best).alias("_best"), F.max_by(F.col(text_col), best).alias("_text")))
+                     .agg(F.max(best).alias("_best"), F.max_by(F.col(text_col), best).alias("_text"),
+                          F.count(F.lit(1)).alias("_cnt")))
     wt = Window.partitionBy("cluster_id").orderBy(F.desc("_best"))
     top2 = (texts.withColumn("_rn", F.row_number().over(wt)).where(F.col("_rn") <= 2)
                  .groupBy("cluster_id").agg(F.max(F.when(F.col("_rn") == 1, F.col("_text"))).alias("narrative_1"),
@@ -105,7 +112,7 @@ def extractive_narratives(assigned: DataFrame, *, text_col: str = "Tweet", top_m
     members = (assigned.withColumn("_rn", F.row_number().over(wm)).where(F.col("_rn") <= top_members)
                        .groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "post_id"))),
                                                               lambda s: s["post_id"]).alias("top_post_ids")))
-    sizes = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_posts"))
+    sizes = texts.groupBy("cluster_id").agg(F.sum("_cnt").alias("n_posts"))
     return sizes.join(top2, "cluster_id").join(members, "cluster_id")
 
 
