@@ -98,3 +98,10 @@ def test_embedding_table_reuse(spark, tmp_path):
                                    path, model="h", encode=enc)
     assert t2.count() == 3
     assert em.attach_embeddings(posts, t2, model="h").count() == 3
+
+
+def test_csv_undecodable_bytes_dropped(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_bytes(b"Tweet,Datetime\nab\xffcd,2020-11-04\n")
+    row = ps.read_csv_posts(spark, str(p)).first()
+    assert row["Tweet"] == "abcd"  # D15: replacement characters removed
