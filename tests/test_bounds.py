@@ -38,3 +38,11 @@ def test_positions_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ranking, "MAX_BROADCAST_OFFSET_ROWS", 0)
     again = sorted(tuple(r) for r in ranking.group_positions(df, ["g"], ["id"]).collect())
     assert again == base
+
+
+def test_lexical_co_partition_equal(spark):
+    posts = spark.createDataFrame([(1, "a b c a"), (2, "b b d"), (3, "e"), (4, None)], "post_id long, Tweet string")
+    narrs = spark.createDataFrame([(7, "a b"), (8, "d e e")], "narrative_id long, text string")
+    a = sorted(tuple(r) for r in sim.score_lexical(posts, narrs).collect())
+    b = sorted(tuple(r) for r in sim.score_lexical(posts, narrs, co_partition=True).collect())
+    assert a == b and len(a) == 4

@@ -186,9 +186,18 @@ def token_table(df: DataFrame, id_col: str, text_col: str, out_id: str) -> DataF
 def score_lexical(posts: DataFrame, narratives: DataFrame, *, text_col: str = "Tweet",
                   narrative_text_col: str = "text", narrative_id_col: str = "narrative_id",
                   threshold: float | None = None, keep: list[str] | None = None,
-                  score_col: str = "similarity") -> DataFrame:
+                  score_col: str = "similarity", co_partition: bool = False) -> DataFrame:
     """Cosine of token-count vectors between each post and each narrative
-    (SIM2). Pairs that share no token score 0 and are not emitted."""
+    (SIM2). Pairs that share no token score 0 and are not emitted.
+
+    ``co_partition=False`` (default) never shuffles the corpus: only the
+    (post, narrative) pairs that share a token move, after a map-side sum.
+    ``co_partition=True`` hash-partitions posts by ``post_id`` once; every
+    later aggregate then reuses that partitioning (no pair shuffle) and token
+    counts are summed per post before the join. Prefer it when narratives are
+    many (pairs outweigh text) or when the post table is already bucketed by
+    ``post_id`` (then no shuffle at all).
+    """
     keep = keep if keep is not None else ["post_id"]
     ntok = token_table(narratives, narrative_id_col, narrative_text_col, "narrative_id")
     n_rows = ntok.count()
@@ -196,12 +205,17 @@ def score_lexical(posts: DataFrame, narratives: DataFrame, *, text_col: str = "T
     toks = tokens(F.col(text_col))
     # The norm is computed in its own projection below the generator; in the
     # same select as explode() Catalyst would evaluate it once per token.
-    normed = (spread(posts).select(*keep, toks.alias("_toks"))
-                           .withColumn("_pn2", squared_norm_of_counts(F.col("_toks"))))
+    src = posts.repartition("post_id") if co_partition else spread(posts)
+    normed = (src.select(*keep, toks.alias("_toks"))
+                 .withColumn("_pn2", squared_norm_of_counts(F.col("_toks"))))
     p = normed.select(*keep, "_pn2", F.explode("_toks").alias("token"))
+    if co_partition:
+        p = p.groupBy(*keep, "_pn2", "token").agg(F.count(F.lit(1)).alias("_pc"))
+    else:
+        p = p.withColumn("_pc", F.lit(1).cast("long"))
     dots = (p.join(right, "token")
              .groupBy(*keep, "narrative_id", "_pn2", "sq_norm")
-             .agg(F.sum("tf").alias("_dot")))
+             .agg(F.sum(F.col("_pc") * F.col("tf")).alias("_dot")))
     sim = rounded(cosine_from_parts(F.col("_dot").cast("double"),
                                     F.sqrt(F.col("_pn2").cast("double")),
                                     F.sqrt(F.col("sq_norm").cast("double"))))
