@@ -105,3 +105,14 @@ def test_csv_undecodable_bytes_dropped(spark, tmp_path):
     p.write_bytes(b"Tweet,Datetime\nab\xffcd,2020-11-04\n")
     row = ps.read_csv_posts(spark, str(p)).first()
     assert row["Tweet"] == "abcd"  # D15: replacement characters removed
+
+
+def test_dataset_summary(spark, tmp_path):
+    from tidetrace.sources.catalog import dataset_summary
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.csv").write_text("Tweet,Datetime\nx,2020-11-04 10:00:00\ny,2020-11-06\n", encoding="utf-8")
+    (tmp_path / "sub" / "b.csv").write_text("Tweet,Datetime\n\"multi\nline\",2021-01-01\n", encoding="utf-8")
+    got = {r["dataset"]: r for r in dataset_summary(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.csv", "sub/b.csv"}
+    assert got["a.csv"]["rows"] == 2 and str(got["a.csv"]["last_post"]) == "2020-11-06 00:00:00"
+    assert got["sub/b.csv"]["rows"] == 1 and got["sub/b.csv"]["bytes"] > 0

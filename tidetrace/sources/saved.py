@@ -54,4 +54,6 @@ def load_run(spark: SparkSession, base_path: str, run_id: str) -> DataFrame:
     runs = spark.read.parquet(f"{base_path.rstrip('/')}/runs").where(F.col("run_id") == run_id)
     if runs.limit(1).count() == 0:
         raise ValueError(f"no saved run named {run_id}")
-    return spark.read.parquet(f"{base_path.rstrip('/')}/rows").where(F.col("run_id") == run_id).drop("run_id")
+    from tidetrace.operators.prepare import nan_to_null
+    rows = spark.read.parquet(f"{base_path.rstrip('/')}/rows").where(F.col("run_id") == run_id).drop("run_id")
+    return nan_to_null(rows)
