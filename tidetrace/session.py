@@ -36,8 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value is
-    always used. Only when nothing is configured (local runs, tests) a fresh
-    folder under the system temp dir is created.
+    always used. Only a local master (local runs, tests) with nothing
+    configured gets a fresh folder under the system temp dir; a cluster
+    without the setting is an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "that every executor can reach")
         conf_dir = tempfile.mkdtemp(prefix="tidetrace-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
