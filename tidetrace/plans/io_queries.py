@@ -15,7 +15,7 @@ from tidetrace.plans import cluster_queries as cq
 from tidetrace.plans import eval_queries as eq
 from tidetrace.plans import trace_queries as tq
 from tidetrace.plans.registry import ORACLE_SQL, register
-from tidetrace.plans.sqlviews import T, V
+from tidetrace.plans.sqlviews import T, V, cos
 from tidetrace.session import scratch_path
 from tidetrace.sinks import writers as wr
 from tidetrace.sources import catalog as ca
@@ -165,3 +165,28 @@ def q_stream_timeline(spark, sf_dir):
     q = ts.start_update_log(ts.stream_timeline(scored, by=["ChannelName"]), out, ckpt)
     ts.run_to_completion(q)
     return ts.latest_versions(spark, out, ["bucket_start", "ChannelName"])
+
+
+@register("export_roundtrip", sql=f"""
+WITH {V},
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 0),
+S AS (SELECT V.post_id, V.ChannelName, V.Datetime, Tg.narrative_id, round({cos('V.embedding', 'Tg.tv')}, 6) AS similarity
+      FROM V, Tg
+      WHERE V.Datetime >= TIMESTAMP '2024-01-05 00:00:00' AND V.Datetime <= TIMESTAMP '2024-01-20 00:00:00')
+SELECT *, 'post 0' AS targetNarrative, 0.2 AS threshold, CAST(count(*) OVER () AS BIGINT) AS totalRecords
+FROM S WHERE similarity >= 0.2
+""")
+def q_export_roundtrip(spark, sf_dir):
+    """SNK3 + SRC6 + JN5: a saved run exported as quoted CSV with its metadata
+    header, read back with the metadata attached to every row."""
+    base, out = _scratch(spark, "export-runs"), _scratch(spark, "export")
+    result = tq.q_trace_vectors(spark, sf_dir)
+    run = wr.save_run(result, base, target="post 0", start=tq.RANGE_START, end=tq.RANGE_END,
+                      threshold=tq.VECTOR_THRESHOLD, datasets=["V"])
+    wr.export_with_header(result, run, out)
+    back = sv.read_own_export(spark, out)
+    return back.select(F.col("post_id").cast("bigint").alias("post_id"), "ChannelName",
+                       F.col("Datetime").try_cast("timestamp_ntz").alias("Datetime"),
+                       F.col("narrative_id").cast("bigint").alias("narrative_id"),
+                       F.col("similarity").cast("double").alias("similarity"),
+                       "targetNarrative", "threshold", "totalRecords")

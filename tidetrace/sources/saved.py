@@ -57,3 +57,15 @@ def load_run(spark: SparkSession, base_path: str, run_id: str) -> DataFrame:
     from tidetrace.operators.prepare import nan_to_null
     rows = spark.read.parquet(f"{base_path.rstrip('/')}/rows").where(F.col("run_id") == run_id).drop("run_id")
     return nan_to_null(rows)
+
+
+def read_own_export(spark: SparkSession, path: str) -> DataFrame:
+    """SNK3 layout back in: the quoted CSV rows with the metadata of the
+    ``_header`` side file attached as scalar values (one header per export,
+    so no join is needed)."""
+    rows = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                 .csv(f"{path.rstrip('/')}/rows"))
+    meta = read_header_metadata(spark, f"{path.rstrip('/')}/_header")
+    for name in HEADER_FIELDS.values():
+        rows = rows.withColumn(name, meta.select(name).scalar())
+    return rows
