@@ -116,3 +116,12 @@ def test_dataset_summary(spark, tmp_path):
     assert set(got) == {"a.csv", "sub/b.csv"}
     assert got["a.csv"]["rows"] == 2 and str(got["a.csv"]["last_post"]) == "2020-11-06 00:00:00"
     assert got["sub/b.csv"]["rows"] == 1 and got["sub/b.csv"]["bytes"] > 0
+
+
+def test_missing_and_empty_files_name_the_file(spark, tmp_path):
+    with pytest.raises(ValueError, match="nope.csv"):
+        ps.read_csv_posts(spark, str(tmp_path / "nope.csv"))
+    empty = tmp_path / "empty.csv"
+    empty.write_text("", encoding="utf-8")
+    with pytest.raises(ValueError, match="empty"):
+        ps.read_csv_posts(spark, str(empty))

@@ -80,3 +80,9 @@ def test_channel_manifest_collisions(spark):
     df = spark.createDataFrame([("a b",), ("a/b",), (None,), ("a b",)], "ChannelName string")
     got = {(r["ChannelName"], r["channel_key"]): (r["n_posts"], r["key_collision"]) for r in channel_manifest(df).collect()}
     assert got == {("a b", "a_b"): (2, True), ("a/b", "a_b"): (1, True), (None, "__null__"): (1, False)}
+
+
+def test_no_valid_rows_is_an_error(spark):
+    df = spark.createDataFrame([(" ", "2020-01-01"), (None, "x")], "Tweet string, Datetime string")
+    with pytest.raises(ValueError, match="No valid"):
+        va.split_valid(va.tag_rejects(df), require_rows=True)

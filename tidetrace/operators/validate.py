@@ -40,10 +40,15 @@ def tag_rejects(df: DataFrame, *, text_col: str = "Tweet", datetime_col: str = "
     return df.withColumn("reject_reason", reject_reason(F.col(text_col), dt_text))
 
 
-def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, reject table) from a tagged DataFrame."""
-    return (tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"),
-            tagged.where(F.col("reject_reason").isNotNull()))
+def split_valid(tagged: DataFrame, *, require_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, reject table) from a tagged DataFrame.
+
+    ``require_rows=True`` raises when no row is accepted (VAL2's "no valid
+    data" error); it runs one ``limit(1)`` probe, not a full count."""
+    good = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    if require_rows and good.limit(1).count() == 0:
+        raise ValueError("No valid post data found: every row was rejected (see the reject table)")
+    return good, tagged.where(F.col("reject_reason").isNotNull())
 
 
 def quality_report(tagged: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -31,7 +31,12 @@ def read_csv_posts(spark: SparkSession, paths: str | Sequence[str], *, schema: T
     """
     r = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
               .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
-    df = (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(_paths(paths))
+    try:
+        df = (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(_paths(paths))
+    except Exception as e:  # noqa: BLE001 - missing or unreadable input
+        raise ValueError(f"cannot read post file(s) {_paths(paths)}: {str(e).splitlines()[0][:200]}") from e
+    if not df.columns:
+        raise ValueError(f"post file(s) {_paths(paths)} are empty")
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     cols = []
     for f in df.schema.fields:
