@@ -61,13 +61,16 @@ def test_text_reader(spark, tmp_path):
 
 def test_saved_analysis_header(spark, tmp_path):
     p = tmp_path / "analysis.csv"
-    p.write_text("# Target Narrative: Election fraud\n# Date Range: 2020-11-01 to 2020-11-18\n"
-                 "# Similarity Threshold: 0\n# Datasets: a.csv, b.csv\n# Total Records: 2\n# Generated: 2025-04-28\n\n"
+    p.write_text("# Analysis Results - Generated 2024-01-15T10:30:00.000Z\n# Target: Election fraud: Target: x\n"
+                 "# Date Range: 2020-11-01 to 2020-11-18\n"
+                 "# Threshold: 0\n# Datasets: a.csv, b.csv\n# Total Records: 2\n\n"
                  "Tweet,Datetime,Similarity\n\"x, y\",2020-11-19 10:00:00,0.61\nz,2020-11-10,0.55\n", encoding="utf-8")
     rows = sv.read_exported(spark, str(p)).collect()
     assert len(rows) == 2
     r = rows[0]
-    assert r["targetNarrative"] == "Election fraud" and r["threshold"] == 0.0  # threshold 0 kept (D12)
+    assert r["targetNarrative"] == "Election fraud: Target: x"  # not cut at a second 'Target:' (D12)
+    assert r["threshold"] == 0.0  # threshold 0 kept (D12)
+    assert (r["startDate"], r["endDate"]) == ("2020-11-01", "2020-11-18")
     assert r["selectedDatasets"] == ["a.csv", "b.csv"] and r["totalRecords"] == 2 and r["count_matches"]
     assert sorted(x["Datetime"] for x in rows)[1] == "2020-11-19 10:00:00"  # reload does not re-filter
 

@@ -54,7 +54,8 @@ def test_export_with_header_and_prepared(spark, tmp_path):
     out = str(tmp_path / "export")
     wr.export_with_header(df, run, out)
     header = [r[0] for r in spark.read.text(f"{out}/_header").collect()]
-    assert header[0] == "# Target Narrative: t" and header[2] == "# Similarity Threshold: 0.5"
+    assert header[0].startswith("# Analysis Results - Generated ") and header[1] == "# Target: t"
+    assert header[2] == "# Date Range: 2020-11-01 to 2020-11-18" and header[3] == "# Threshold: 0.5"
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/rows").first()
     assert back["Tweet"] == 'say "hi", ok\nbye' and back["x"] is None
     wr.write_prepared(df, str(tmp_path / "prep"))

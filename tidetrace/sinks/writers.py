@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidetrace.functions.text import channel_key
 
-# Fixed values of the export header written before the rows (SNK3).
-HEADER_KEYS = ("Target Narrative", "Date Range", "Similarity Threshold", "Datasets", "Total Records",
-               "Generated")
+# The export header lines written before the rows (SNK3), in order:
+# "# Analysis Results - Generated <time>", "# Target: ", "# Date Range: <start> to <end>",
+# "# Threshold: ", "# Datasets: <a, b>", "# Total Records: ".
 
 
 def with_channel_key(df: DataFrame) -> DataFrame:
@@ -79,12 +79,12 @@ def export_with_header(result: DataFrame, run: DataFrame, path: str) -> None:
     header lines as a side file ``_header.txt`` written from the RUN row."""
     r = run.first()
     lines = [
-        f"# Target Narrative: {r['targetNarrative']}",
+        f"# Analysis Results - Generated {r['generatedAt'].isoformat()}",
+        f"# Target: {r['targetNarrative']}",
         f"# Date Range: {r['startDate']} to {r['endDate']}",
-        f"# Similarity Threshold: {r['threshold']}",
+        f"# Threshold: {r['threshold']}",
         f"# Datasets: {', '.join(r['selectedDatasets'] or [])}",
         f"# Total Records: {r['totalRecords']}",
-        f"# Generated: {r['generatedAt'].isoformat()}",
     ]
     (result.write.mode("overwrite").option("header", True).option("quoteAll", True)
            .option("escape", '"').option("nullValue", "").csv(f"{path}/rows"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-# Metadata keys of the '#' header lines of an exported result.
+# Metadata keys of the '#' header lines of an exported result
+# (the first line, "# Analysis Results - Generated <time>", is not read back).
 HEADER_FIELDS = {
-    "Target Narrative": "targetNarrative",
+    "Target": "targetNarrative",
     "Date Range": "dateRange",
-    "Similarity Threshold": "threshold",
+    "Threshold": "threshold",
     "Datasets": "selectedDatasets",
     "Total Records": "totalRecords",
 }
@@ -27,7 +28,9 @@ def read_header_metadata(spark: SparkSession, paths) -> DataFrame:
         wide = wide.withColumnRenamed(k, name)
     return (wide.withColumn("threshold", F.col("threshold").try_cast("double"))
                 .withColumn("totalRecords", F.col("totalRecords").try_cast("bigint"))
-                .withColumn("selectedDatasets", F.split(F.col("selectedDatasets"), r",\s*")))
+                .withColumn("selectedDatasets", F.split(F.col("selectedDatasets"), r",\s*"))
+                .withColumn("startDate", F.regexp_extract("dateRange", r"^(.*?) to ", 1))
+                .withColumn("endDate", F.regexp_extract("dateRange", r" to (.*)$", 1)))
 
 
 def read_exported(spark: SparkSession, paths) -> DataFrame:
@@ -66,6 +69,6 @@ def read_own_export(spark: SparkSession, path: str) -> DataFrame:
     rows = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
                  .csv(f"{path.rstrip('/')}/rows"))
     meta = read_header_metadata(spark, f"{path.rstrip('/')}/_header")
-    for name in HEADER_FIELDS.values():
+    for name in [*HEADER_FIELDS.values(), "startDate", "endDate"]:
         rows = rows.withColumn(name, meta.select(name).scalar())
     return rows
