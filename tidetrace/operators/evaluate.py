@@ -142,24 +142,38 @@ def band_examples(scored: DataFrame) -> DataFrame:
 def histogram(scored: DataFrame, measures: Sequence[str] = ("error", "signed_error"),
               bins: int = HIST_BINS) -> DataFrame:
     """AGG12: equal-width bins between min and max, last bin closed; all
-    bins listed (empty ones with 0). min/max enter as scalar subqueries."""
+    bins listed (empty ones with 0).
+
+    Two passes whatever the number of measures: one aggregate returns every
+    min/max (2 × measures numbers, used as literals), one pass unpivots the
+    measures and counts (measure, bin) with a map-side partial count.
+    """
     spark = scored.sparkSession
-    out = None
-    for m in measures:
-        lo = scored.select(F.min(m)).scalar()
-        hi = scored.select(F.max(m)).scalar()
-        w = (hi - lo) / F.lit(bins)
-        idx = F.coalesce(F.least(F.floor(F.try_divide(F.col(m) - lo, w)), F.lit(bins - 1)), F.lit(0))
-        counts = scored.where(F.col(m).isNotNull()).groupBy(idx.cast("int").alias("bin")) \
-                       .agg(F.count(F.lit(1)).alias("n"))
-        grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-        h = (grid.join(counts, "bin", "left")
-                 .select(F.lit(m).alias("measure"), "bin",
-                         F.round(lo + F.col("bin") * w, 6).alias("bin_lo"),
-                         F.round(lo + (F.col("bin") + 1) * w, 6).alias("bin_hi"),
-                         F.coalesce(F.col("n"), F.lit(0)).alias("n")))
-        out = h if out is None else out.unionByName(h)
-    return out
+    stats = scored.agg(*[F.min(F.col(m).cast("double")).alias(f"lo_{m}") for m in measures],
+                       *[F.max(F.col(m).cast("double")).alias(f"hi_{m}") for m in measures]).first()
+    lo = {m: F.lit(stats[f"lo_{m}"]).cast("double") for m in measures}
+    hi = {m: F.lit(stats[f"hi_{m}"]).cast("double") for m in measures}
+
+    def pick(d):
+        expr = None
+        for m in measures:
+            expr = F.when(F.col("measure") == m, d[m]) if expr is None else expr.when(F.col("measure") == m, d[m])
+        return expr
+
+    lo_c, hi_c = pick(lo), pick(hi)
+    w = (hi_c - lo_c) / F.lit(bins)
+    long = scored.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v"))
+                                             for m in measures])).alias("_m")).select("_m.*")
+    idx = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - lo_c, w)), F.lit(bins - 1)), F.lit(0))
+    counts = (long.where(F.col("v").isNotNull())
+                  .groupBy("measure", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"),
+                                    F.explode(F.array(*[F.lit(m) for m in measures])).alias("measure"))
+    return (grid.join(counts, ["measure", "bin"], "left")
+                .select("measure", "bin",
+                        F.round(lo_c + F.col("bin") * w, 6).alias("bin_lo"),
+                        F.round(lo_c + (F.col("bin") + 1) * w, 6).alias("bin_hi"),
+                        F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
 def with_quartile_category(scored: DataFrame) -> DataFrame:
