@@ -179,8 +179,8 @@ def histogram(scored: DataFrame, measures: Sequence[str] = ("error", "signed_err
 def with_quartile_category(scored: DataFrame) -> DataFrame:
     """AGG13: Excellent / Good / Fair / Poor by error quartiles (right-closed,
     lowest included; equal edges give the lower label, never an error)."""
-    q = exact_quantiles(scored, "error", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
-    q1, q2, q3 = (q.select(c).scalar() for c in ("q1", "q2", "q3"))
+    q = exact_quantiles(scored, "error", [0.25, 0.5, 0.75], ["q1", "q2", "q3"]).first()
+    q1, q2, q3 = (F.lit(q[c]).cast("double") for c in ("q1", "q2", "q3"))
     e = F.col("error")
     cat = (F.when(e <= q1, F.lit(QUARTILE_LABELS[0])).when(e <= q2, F.lit(QUARTILE_LABELS[1]))
             .when(e <= q3, F.lit(QUARTILE_LABELS[2])).otherwise(F.lit(QUARTILE_LABELS[3])))
