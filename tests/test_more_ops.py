@@ -60,3 +60,17 @@ def test_export_with_header_and_prepared(spark, tmp_path):
     assert back["Tweet"] == 'say "hi", ok\nbye' and back["x"] is None
     wr.write_prepared(df, str(tmp_path / "prep"))
     assert spark.read.parquet(str(tmp_path / "prep")).count() == 1
+
+
+def test_update_log_latest_version(spark, tmp_path):
+    from tidetrace.streaming.trace_stream import instant_to_ntz, latest_versions, ntz_to_instant
+    out = str(tmp_path / "log")
+    b0 = spark.createDataFrame([("d1", "c", 2), ("d2", "c", 1)], "bucket_start string, ChannelName string, n_posts long")
+    b1 = spark.createDataFrame([("d1", "c", 5)], "bucket_start string, ChannelName string, n_posts long")
+    b0.write.parquet(f"{out}/batch_id=0")
+    b1.write.parquet(f"{out}/batch_id=1")
+    b1.write.mode("overwrite").parquet(f"{out}/batch_id=1")  # a replayed batch replaces itself
+    got = {(r["bucket_start"], r["n_posts"]) for r in latest_versions(spark, out, ["bucket_start", "ChannelName"]).collect()}
+    assert got == {("d1", 5), ("d2", 1)}
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5),)], "t timestamp_ntz")
+    assert ts.select(instant_to_ntz(ntz_to_instant(F.col("t")))).first()[0] == dt.datetime(2024, 1, 2, 3, 4, 5)
