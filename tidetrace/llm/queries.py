@@ -3,13 +3,18 @@ DuckDB can state the same rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidetrace.llm.common import table
+from tidetrace.llm.contamination import find_benchmark, hit_words
+from tidetrace.llm.minhash import near_duplicates
 from tidetrace.llm.sharding import shard_rows
+from tidetrace.llm.token_files import read_ids, write_ids
+from tidetrace.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,3 +32,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_huffman_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
+    write_ids(table(spark, sf_dir, "documents"), directory, tokenizer_path(), end_id=2)
+    return read_ids(spark, directory)
+
+
+@query("op6_winnowing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("hit_runs") > 0).alias("contaminated"))
+
+
+@query("op10_circulant_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
