@@ -9,11 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import table
+from tidetrace.llm.common import in_fold, table
 from tidetrace.llm.contamination import find_benchmark, hit_words
+from tidetrace.llm.embeddings import similar_vectors
+from tidetrace.llm.html_text import extract_main_text
+from tidetrace.llm.language_id import fit_languages, identify
 from tidetrace.llm.minhash import near_duplicates
+from tidetrace.llm.quality import fit_quality, score_quality
 from tidetrace.llm.sharding import shard_rows
 from tidetrace.llm.token_files import read_ids, write_ids
+from tidetrace.llm.toxicity import fit_toxicity, score_toxicity
 from tidetrace.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +63,39 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_circulant_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query("op9_subspace_pigeonhole")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
+@query("op2_site_template_removal")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_script_viterbi")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = fit_languages(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_hashed_cnn")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_ftrl_ngrams")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score",
+                                             (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -35,20 +35,30 @@ from tidetrace.llm.words import byte_class, hash_spans, mix
 MAX_BITS = 16
 BLOCK_IDS = 1 << 18
 EVERY = 256
-CACHED_PIECES = 400_000
-# A space before one of these bytes begins a new piece of the byte-level split: the next
-# character is surely no white space (lead bytes C2, E1, E2, E3 may begin one).
+CACHED_PIECES = 300_000  # in each of two generations
+# Classes of bytes for the byte-level split: letter, digit, punctuation, apostrophe, space,
+# other white space; 0 is a byte whose class is not known from itself.
+_CLASS = np.zeros(256, np.uint8)
+for _n, _ranges in enumerate(([(0x41, 0x5A), (0x61, 0x7A)], [(0x30, 0x39)],
+                              [(0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)],
+                              [(0x27, 0x27)], [(0x20, 0x20)], [(0x09, 0x0D)]), start=1):
+    _CLASS[byte_class(_ranges)] = _n
+# Between which classes the split always has a border (rows: before, columns: after).
+_BORDER = np.zeros((7, 7), bool)
+for _before, _after in ((1, (2, 3, 4, 5, 6)), (2, (1, 3, 4, 5, 6)), (3, (1, 2, 5, 6)), (4, (2, 5, 6)), (6, (1, 2, 3, 4))):
+    _BORDER[_before, list(_after)] = True
+# A space before one of these bytes begins a piece: the next character is surely no white
+# space (lead bytes C2, E1, E2, E3 may begin one).
 _AFTER_SPACE = byte_class([(0x21, 0x7E), (0xC3, 0xDF), (0xE0, 0xE0), (0xE4, 0xF4)])
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WEIGHTS = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 class TextEncoder:
     """Ids of texts, by the tokenizers library.
 
-    For a byte-level BPE file without a normaliser a text is cut at spaces where the
-    library's own split always cuts, and each distinct piece is encoded once; other
-    files encode each whole text.
+    For a byte-level BPE file without a normaliser a text is cut where the library's own
+    split always has a border, and each distinct piece is encoded once; other files
+    encode each whole text.
     """
 
     def __init__(self, path: str):
@@ -69,20 +79,23 @@ class TextEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + n) for n, b in enumerate(hidden)}}
         self.cache: dict[bytes, bytes] = {}
-
-    def _word(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+        self.older: dict[bytes, bytes] = {}
 
     def _piece(self, raw: bytes) -> bytes:
-        piece = raw.decode()
-        body = piece[1:] if piece[0] == " " else piece
-        word = body.rstrip(_PUNCTUATION)
-        if word.isalpha() and max(word) < "ɐ":
-            tail = body[len(word):]
-            ids = self._word(piece[:len(piece) - len(tail)]) + (self._word(tail) if tail else [])
+        body = raw[1:] if raw[0] == 0x20 else raw
+        if body.isalpha():  # ASCII letters: one word of the split
+            word = body.decode() if body is raw else self.alphabet[0x20] + body.decode()
+        elif (text := body.decode()).isalpha() and max(text) < "\u0250":
+            word = raw.decode("latin-1").translate(self.alphabet)
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word)])
+
+    def _known(self, piece: bytes) -> bytes:
+        """Ids of a piece seen before this slice, or now encoded."""
+        ids = self.older.get(piece)
+        self.cache[piece] = ids = self._piece(piece) if ids is None else ids
+        return ids
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the first id of each text."""
@@ -94,23 +107,24 @@ class TextEncoder:
             return np.array([y for x in ids for y in x], np.uint32), ptr
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        kind = _CLASS[data]
+        lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        kind[lead] = kind[lead + 1] = 1  # U+00C0 to U+00FF are letters but for the two signs
         cut = np.zeros(len(data), bool)
-        cut[:-1] = (data[:-1] == 0x20) & _AFTER_SPACE[data[1:]]
-        ends = offs[1:][offs[1:] > 0]
-        cut[ends - 1] = False
-        cut[offs[:-1][np.diff(offs) > 0]] = True
+        cut[1:] = _BORDER.ravel()[kind[:-1] * 7 + kind[1:]]
+        before_word = (data[:-1] == 0x20) & _AFTER_SPACE[data[1:]]
+        full = np.diff(offs) > 0
+        before_word[offs[(offs > 0) & (offs < len(data))] - 1] = False
+        cut[:-1] |= before_word
+        cut[offs[:-1][full]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         _, first, inverse = np.unique(hash_spans(data, start, end, _WEIGHTS), return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), []
         if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
-        for a, b in zip(start[first].tolist(), end[first].tolist()):
-            piece = raw[a:b]
-            ids = self.cache.get(piece)
-            if ids is None:
-                ids = self.cache[piece] = self._piece(piece)
-            known.append(ids)
+            self.cache, self.older = {}, self.cache
+        raw, cache = data.tobytes(), self.cache
+        known = [cache.get(p) or self._known(p)
+                 for p in map(raw.__getitem__, map(slice, start[first].tolist(), end[first].tolist()))]
         size = np.array([len(x) // 4 for x in known], np.int64)
         pool = np.frombuffer(b"".join(known), "<u4")
         begin = np.concatenate([[0], size.cumsum()[:-1]])
@@ -209,12 +223,9 @@ class Code:
         self.bits_of, self.length_of = np.zeros(top, np.int64), np.zeros(top, np.int64)
         self.bits_of[self.symbols] = first >> (MAX_BITS - self.lengths)
         self.length_of[self.symbols] = self.lengths
-        # 16 bits seen -> symbol and length
-        self.seen_symbol = np.zeros(1 << MAX_BITS, np.uint32)
-        self.seen_length = np.ones(1 << MAX_BITS, np.int64)
-        filled = int(step.sum())
-        self.seen_symbol[:filled] = np.repeat(self.symbols, step)
-        self.seen_length[:filled] = np.repeat(self.lengths, step)
+        # 16 bits seen -> symbol, and length in the low five bits
+        self.seen = np.ones(1 << MAX_BITS, np.int64)
+        self.seen[:int(step.sum())] = np.repeat(self.symbols << 5 | self.lengths, step)
 
     def write(self, ids: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
         """The bit string of ids, and the bit offset of every ``every``-th one."""
@@ -231,20 +242,20 @@ class Code:
     def read(self, bits: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """Ids of stretches that begin at bits ``at`` and hold ``size`` ids, decoded in step.
         ``bits`` ends with three spare bytes."""
-        wide = (bits[:-2].astype(np.uint32) << 16) | (bits[1:-1].astype(np.uint32) << 8) | bits[2:]
+        wide = (bits[:-2].astype(np.int64) << 16) | (bits[1:-1].astype(np.int64) << 8) | bits[2:]
         order = np.argsort(-size, kind="stable")
         at, size = at[order].copy(), size[order]
-        out = np.zeros((int(size[0]) if len(size) else 0, len(size)), np.uint32)
+        out = np.zeros((int(size[0]) if len(size) else 0, len(size)), np.int64)
         for k in range(len(out)):
             live = int(np.searchsorted(-size, -k, side="left"))
             a = at[:live]
-            seen = (wide[a >> 3] >> (8 - (a & 7)).astype(np.uint32)) & 0xFFFF
-            out[k, :live] = self.seen_symbol[seen]
-            a += self.seen_length[seen]
-        got = [None] * len(size)
-        for c, place in enumerate(order.tolist()):
-            got[place] = out[:size[c], c]
-        return got
+            got = self.seen[(wide[a >> 3] >> (8 - (a & 7))) & 0xFFFF]
+            out[k, :live] = got
+            a += got & 31
+        ids = np.ascontiguousarray((out >> 5).astype(np.uint32).T)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return [ids[c, :n] for c, n in zip(back.tolist(), size[back].tolist())]
 
 
 def _blocks(code, block_ids: int, every: int, key_type: pa.DataType):

@@ -74,8 +74,10 @@ def spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, offs)
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans are ascending and disjoint."""
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray,
+               gaps: bool = False) -> np.ndarray:
+    """64-bit hash of each byte span; spans are ascending and disjoint. Bytes between spans
+    must weigh nothing, or ``gaps`` must be set."""
     if not len(start):
         return np.zeros(0, np.uint64)
     lo, hi = int(start[0]), int(end[-1])
@@ -83,8 +85,14 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np
     place = np.arange(lo, hi, dtype=np.int64)
     place -= np.repeat(start, size)
     place &= _SPAN - 1
+    value = weights[data[lo:hi]]
+    if gaps:
+        step = np.zeros(hi - lo + 1, np.int8)
+        step[start - lo] += 1
+        step[end - lo] -= 1
+        value *= step[:-1].cumsum(dtype=np.int8).astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(weights[data[lo:hi]] * _POW[place], start - lo)
+        h = np.add.reduceat(value * _POW[place], start - lo)
         return mix(h + (end - start).astype(np.uint64) * _BASE)
 
 
