@@ -164,31 +164,62 @@ def _scan(block):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
-                   item_key: str = "item_id", item_text: str = "text", window: int = 10, gram: int = GRAM,
-                   block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """One row per document: key, n_words, hit_runs (flat start, end word positions),
-    items (ids of the items found, sorted as strings)[, text]."""
+def _item_blocks(benchmark: DataFrame, item_key: str, item_text: str, window: int, gram: int, block_bytes: int) -> list:
+    """Broadcast indexes of the benchmark's blocks, one at least."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    sc = docs.sparkSession.sparkContext
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")).alias("id"),
                              F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(total / block_bytes))
+    n = max(1, math.ceil(total / block_bytes))
+    blocks = []
+    for b in range(n):
+        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).collect()  # about block_bytes
+        blocks.append(sc.broadcast(ItemIndex([r[0] for r in own], [r[1] for r in own], window, gram)))
+    return blocks
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
+                   item_key: str = "item_id", item_text: str = "text", window: int = 10, gram: int = GRAM,
+                   block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+    """One row per document: key, n_words, hit_runs (flat start, end word positions),
+    items (ids of the items found, sorted as strings)[, text]."""
     found = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
                         F.array().cast("array<bigint>").alias("hit_runs"),
                         F.array().cast("array<string>").alias("items"))
-    for b in range(n_blocks):
-        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b).collect()  # about block_bytes
-        index = sc.broadcast(ItemIndex([r[0] for r in own], [r[1] for r in own], window, gram))
-        found = found.mapInArrow(_scan(index), found.schema)
-        if b + 1 < n_blocks:
+    blocks = _item_blocks(benchmark, item_key, item_text, window, gram, block_bytes)
+    for n, block in enumerate(blocks):
+        found = found.mapInArrow(_scan(block), found.schema)
+        if n + 1 < len(blocks):
             found = stage(found)
     out = found.withColumnRenamed("id", key).withColumnRenamed("text", text)
     return out if keep_text else out.drop(text)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id",
+                      item_text: str = "text", window: int = 10, gram: int = GRAM,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any word inside a benchmark window, with all their columns."""
+    at = docs.columns.index(text)
+
+    def scan(block):
+        def run(batches):
+            for batch in batches:
+                data, offs = text_buffer(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for i, j in slices(offs):
+                    w = words(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], ALNUM)
+                    start, _, _ = block.value.find(w.hash, w.ptr)
+                    clean[i + np.searchsorted(w.ptr[1:], start, side="right")] = False
+                yield batch.filter(pa.array(clean))
+        return run
+
+    for block in _item_blocks(benchmark, item_key, item_text, window, gram, block_bytes):
+        docs = docs.mapInArrow(scan(block), docs.schema)
+    return docs
+
+
 def hit_words(runs: str = "hit_runs"):
     """Number of words inside the flat runs."""
     return F.expr(f"aggregate({runs}, 0L, (s, x) -> x - s)")

@@ -15,6 +15,7 @@ from tidetrace.llm.embeddings import similar_vectors
 from tidetrace.llm.html_text import extract_main_text
 from tidetrace.llm.language_id import fit_languages, identify
 from tidetrace.llm.minhash import near_duplicates
+from tidetrace.llm.mixing import mix_documents
 from tidetrace.llm.quality import fit_quality, score_quality
 from tidetrace.llm.sharding import shard_rows
 from tidetrace.llm.token_files import read_ids, write_ids
@@ -99,3 +100,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out))
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score",
                                              (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Target shares of the labelled table's domains.
+DOMAIN_WEIGHTS = {"quality0": 0.1, "quality1": 0.9}
+
+
+def label_domain():
+    """The domain that a row of the labelled table names; null labels name none."""
+    return F.concat(F.lit("quality"), F.when(F.col("quality").isin(0, 1), F.col("quality")).cast("string"))
+
+
+@query("op5_soft_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(),
+                         weights=DOMAIN_WEIGHTS)
