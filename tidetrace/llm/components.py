@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidetrace.llm.common import stage
 
+BROADCAST_NODES = 50_000  # two keys of some 20 bytes each: about 2 MB
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, root): the smallest node reachable from each node of ``links``.
 
     Each round hooks every node to its smallest neighbour and contracts the links
     by it; links inside one contracted node vanish. The rounds' hooks are composed
-    at the end. A hub needs no list of its neighbours: its minimum is a partial
+    at the end. Late rounds, of few nodes, are joined by broadcast. A hub needs no list of its neighbours: its minimum is a partial
     aggregate. Nodes without links are not returned. Empty links give no rows.
     """
     edges = stage(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
@@ -24,8 +26,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hook = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
                      .select("node", F.least("node", "least").alias("root")))
         hooks.append(hook)
-        ha = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        hb = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        side = F.broadcast(hook) if hook.count() <= BROADCAST_NODES else hook
+        ha = side.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        hb = side.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = stage(edges.join(ha, "a").join(hb, "b").filter("ra <> rb")
                       .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not hooks:

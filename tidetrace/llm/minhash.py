@@ -11,9 +11,11 @@ Flow: texts with equal sets become one class. Classes that share a band are
 candidates; a 256-bit sketch of coordinate parities discards pairs whose
 estimated Jaccard is below 0.575 (six deviations under 0.8), and the exact set
 sizes discard pairs that cannot reach the threshold. What is left is confirmed on
-whole shingle sets. Groups are never expanded into all pairs: a band's members
-are first compared with the band's smallest class, and only members that are
-then still in different components are compared with each other.
+whole shingle sets. Groups are never expanded into a table of pairs: each class is
+first compared with the nearest of its bands' smallest classes. Bands whose members
+are then still in different components are cut into chunks of bounded size, and
+chunks are compared two at a time inside a task, which skips members already
+connected and returns only a spanning forest of the links found.
 
 Defined cases: null text, empty text and text without words have an empty set,
 link with nothing and form their own group; with fewer than k words the whole word
@@ -38,6 +40,7 @@ BANDS, ROWS = 48, 6
 COORDINATES = BANDS * ROWS
 SKETCH_BITS = 256
 MAX_SKETCH_DISTANCE = 54
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 2_000_000
 _SIGMA_A, _SIGMA_B = 2_654_435_761, 1_013_904_223
 _PI: list[np.ndarray] = []
 
@@ -136,12 +139,53 @@ def _sets(k: int):
     return run
 
 
+def _apart() -> Column:
+    """Differing sketch bits of a candidate pair (a_*, b_*)."""
+    return sum((F.bit_count(F.col(f"a_s{c}").bitwiseXOR(F.col(f"b_s{c}"))) for c in range(4)), F.lit(0))
+
+
 def _may_link(percent: int) -> Column:
-    """Conditions on a candidate pair (a_*, b_*) that no pair over the threshold fails,
-    but for the sketch's stated error."""
-    apart = sum((F.bit_count(F.col(f"a_s{c}").bitwiseXOR(F.col(f"b_s{c}"))) for c in range(4)), F.lit(0))
+    """Conditions on a candidate pair that no pair over the threshold fails, but for the
+    sketch's stated error."""
     return ((F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-            & (apart <= MAX_SKETCH_DISTANCE))
+            & (_apart() <= MAX_SKETCH_DISTANCE))
+
+
+def _compare(percent: int):
+    """Links between components among the rows of two chunks of a band: (root, root)."""
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        chunk = t.column("chunk").to_numpy()
+        names, root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)
+        n = t.column("n").to_numpy()
+        bits = np.stack([t.column(f"s{c}").to_numpy() for c in range(4)], axis=1).view(np.uint64)
+        lists = t.column("shingles").combine_chunks()
+        ptr = lists.offsets.to_numpy().astype(np.int64)
+        values, place = np.unique(lists.values.to_numpy()[ptr[0]:ptr[-1]], return_inverse=True)
+        ptr = ptr - ptr[0]
+        group = np.arange(len(names))  # components merged so far
+        found: list[tuple[int, int]] = []
+        mark = np.zeros(len(values), bool)
+        for a in np.flatnonzero(chunk == i).tolist():
+            may = (chunk == j) & (group[root] != group[root[a]])
+            if i == j:
+                may[:a + 1] = False
+            may &= np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * percent
+            b = np.flatnonzero(may)
+            b = b[np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1) <= MAX_SKETCH_DISTANCE]
+            if not len(b):
+                continue
+            mine = place[ptr[a]:ptr[a + 1]]
+            mark[mine] = True
+            held = np.concatenate([place[x:y] for x, y in zip(ptr[b].tolist(), ptr[b + 1].tolist())])
+            both = np.add.reduceat(mark[held], np.concatenate([[0], n[b].cumsum()[:-1]]), dtype=np.int64)
+            mark[mine] = False
+            for r in np.unique(root[b[both * 100 >= (n[a] + n[b] - both) * percent]]).tolist():
+                if group[r] != group[root[a]]:
+                    group[group == group[r]] = group[root[a]]
+                    found.append((names[root[a]], names[r]))
+        return pa.table({"a": binaries([x for x, _ in found]), "b": binaries([y for _, y in found])})
+    return run
 
 
 def _side(classes: DataFrame, p: str) -> DataFrame:
@@ -187,33 +231,29 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return (found.join(_side(near, "a"), "a").join(_side(near, "b"), "b").filter(_may_link(percent))
                 .select("a", "b"))
 
-    # Every class against one band head.
+    # Every class against the nearest of its band heads.
     heads = members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    heads = stage(pairs_with_heads(heads))
-    links = stage(_confirm(heads.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
+    nearest = (heads.join(_side(near, "a"), "a").join(_side(near, "b"), "b").filter(_may_link(percent))
+               .groupBy("b").agg(F.min(F.struct(_apart().alias("bits"), "a")).alias("best")).select("b", "best.a"))
+    links = stage(_confirm(nearest, sets, percent))
     roots = connected_components(links)
 
-    # Then against its other heads, if they are still apart.
-    more = stage(_confirm(_apart(heads, roots), sets, percent))
-    links = links.unionAll(more)
-    if not more.isEmpty():
-        roots = connected_components(links)
-
-    # Then all members of a band that are still apart.
-    placed = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+    # Then all members of the bands that still hold several components.
+    placed = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "band", "cls", F.coalesce("root", "cls").alias("root"))
-    split = (placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .filter("lo <> hi").select("band"))
-    open_ = stage(placed.join(split, "band").join(near, "cls"))
-    side = lambda p: open_.select("band", F.col("cls").alias(p), F.col("root").alias(f"{p}_root"),
-                                  F.col("n").alias(f"{p}_n"), *[F.col(f"s{c}").alias(f"{p}_s{c}") for c in range(4)])
-    crossing = (side("a").join(side("b"), "band").filter((F.col("a") < F.col("b"))
-                                                         & (F.col("a_root") != F.col("b_root"))
-                                                         & _may_link(percent))
-                .select("a", "b").distinct())
-    last = stage(_confirm(crossing, sets, percent))
-    if not last.isEmpty():
-        roots = connected_components(links.unionAll(last))
+    split = (placed.join(near.select("cls", "n"), "cls").groupBy("band")
+             .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.greatest(
+                 F.count(F.lit(1)) / CHUNK_ROWS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+             .filter("lo <> hi").select("band", "chunks"))
+    number = F.pmod(F.xxhash64("cls"), F.col("chunks"))
+    meets = F.expr("transform(sequence(0L, chunks - 1), t -> named_struct('i', least(t, chunk), 'j', greatest(t, chunk)))")
+    groups = (placed.join(split, "band").withColumn("chunk", number)
+              .select("band", "cls", "root", "chunk", F.explode(meets).alias("m"))
+              .select("band", "cls", "root", "chunk", "m.i", "m.j")
+              .join(near, "cls").join(sets, "cls"))
+    more = stage(groups.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a binary, b binary"))
+    if not more.isEmpty():
+        roots = connected_components(links.unionAll(more))
 
     groups = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "least_id", F.coalesce("root", "cls").alias("root"))
@@ -223,11 +263,3 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return (pairs.join(ra, "a", "left").join(rb, "b", "left")
-            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
