@@ -215,6 +215,8 @@ def resample(docs: DataFrame, labels: DataFrame, domain: Column, *, key: str = "
             yield batch.select(list(range(n))).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    # Positions, not names, tell the columns apart, so any other column may be there.
-    drawn = docs.select(*[F.col(f"`{c}`") for c in docs.columns], draw(F.col(key), crc).alias("draw"))
+    name = "draw"
+    while name in docs.columns:
+        name += "_"
+    drawn = docs.withColumn(name, draw(F.col(key), crc))
     return drawn.mapInArrow(run, docs.schema)

@@ -78,6 +78,7 @@ class TextEncoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {**{b: chr(b) for b in shown}, **{b: chr(256 + n) for n, b in enumerate(hidden)}}
+        self.special = [t["content"].encode() for t in special]
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -97,6 +98,18 @@ class TextEncoder:
         self.cache[piece] = ids = self._piece(piece) if ids is None else ids
         return ids
 
+    def _special(self, raw: bytes, offs: np.ndarray) -> list[tuple[int, int]]:
+        """Places of added tokens that lie inside one text."""
+        found = []
+        for token in self.special:
+            x = raw.find(token)
+            while x >= 0:
+                y = x + len(token)
+                if np.searchsorted(offs, x, side="right") == np.searchsorted(offs, y - 1, side="right"):
+                    found.append((x, y))
+                x = raw.find(token, y)
+        return found
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the first id of each text."""
         if not self.by_piece:
@@ -115,14 +128,22 @@ class TextEncoder:
         before_word = (data[:-1] == 0x20) & _AFTER_SPACE[data[1:]]
         full = np.diff(offs) > 0
         before_word[offs[(offs > 0) & (offs < len(data))] - 1] = False
+        raw = data.tobytes()
+        inner = self._special(raw, offs)
+        for x, y in inner:  # an added token is a piece; what is left and right of it is split alone
+            before_word[max(0, x - 1):x] = False
+            cut[x] = True
+            cut[y:y + 1] = True
         cut[:-1] |= before_word
+        for x, y in inner:
+            cut[x + 1:y] = False
         cut[offs[:-1][full]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         _, first, inverse = np.unique(hash_spans(data, start, end, _WEIGHTS), return_index=True, return_inverse=True)
         if len(self.cache) > CACHED_PIECES:
             self.cache, self.older = {}, self.cache
-        raw, cache = data.tobytes(), self.cache
+        cache = self.cache
         known = [cache.get(p) or self._known(p)
                  for p in map(raw.__getitem__, map(slice, start[first].tolist(), end[first].tolist()))]
         size = np.array([len(x) // 4 for x in known], np.int64)
