@@ -189,8 +189,8 @@ def _compare(percent: int):
 
 
 def _side(classes: DataFrame, p: str) -> DataFrame:
-    return classes.select(F.col("cls").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(f"s{c}").alias(f"{p}_s{c}")
-                                                                             for c in range(4)])
+    return classes.select(F.col("sid").alias(f"{p}_sid"), F.col("cls").alias(p), F.col("n").alias(f"{p}_n"),
+                          *[F.col(f"s{c}").alias(f"{p}_s{c}") for c in range(4)])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,11 +216,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                .agg(F.first("n_shingles").alias("n"), *[F.first(f"s{c}").alias(f"s{c}") for c in range(4)],
                     F.first("bands").alias("bands"), F.min("id").alias("least_id")))
     classes = stage(classes)
-    cells = classes.select("cls", F.explode("bands").alias("band"))
-    shared = (cells.groupBy("band").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("members"))
+    # Bands are searched under eight-byte names; two classes of one name only add candidates.
+    named = classes.withColumn("sid", F.xxhash64("cls"))
+    cells = named.select("sid", F.explode("bands").alias("band"))
+    shared = (cells.groupBy("band").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members"))
               .filter("members > 1").drop("members"))
     members = stage(cells.join(shared, "band"))
-    near = stage(members.select("cls").distinct().join(classes.drop("bands", "least_id"), "cls"))
+    near = stage(members.select("sid").distinct().join(named.drop("bands", "least_id"), "sid"))
     texts = (sketches.select("id", "cls").join(near.select("cls"), "cls", "left_semi")
              .groupBy("cls").agg(F.min("id").alias("id")))
     # A repeated key may bring other texts along; _sets keeps those of the wanted class.
@@ -232,14 +234,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 .select("a", "b"))
 
     # Every class against the nearest of its band heads.
-    heads = members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    nearest = (heads.join(_side(near, "a"), "a").join(_side(near, "b"), "b").filter(_may_link(percent))
+    heads = members.filter("sid <> head").select(F.col("head").alias("a_sid"), F.col("sid").alias("b_sid")).distinct()
+    nearest = (heads.join(_side(near, "a"), "a_sid").join(_side(near, "b"), "b_sid").filter(_may_link(percent))
                .groupBy("b").agg(F.min(F.struct(_apart().alias("bits"), "a")).alias("best")).select("b", "best.a"))
     links = stage(_confirm(nearest, sets, percent))
     roots = connected_components(links)
 
     # Then all members of the bands that still hold several components.
-    placed = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+    placed = members.select("band", "sid").join(near.select("sid", "cls"), "sid").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "band", "cls", F.coalesce("root", "cls").alias("root"))
     split = (placed.join(near.select("cls", "n"), "cls").groupBy("band")
              .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.greatest(
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = (placed.join(split, "band").withColumn("chunk", number)
               .select("band", "cls", "root", "chunk", F.explode(meets).alias("m"))
               .select("band", "cls", "root", "chunk", "m.i", "m.j")
-              .join(near, "cls").join(sets, "cls"))
+              .join(near.drop("sid"), "cls").join(sets, "cls"))
     more = stage(groups.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a binary, b binary"))
     if not more.isEmpty():
         roots = connected_components(links.unionAll(more))
