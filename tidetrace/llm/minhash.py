@@ -245,8 +245,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         "band", "cls", F.coalesce("root", "cls").alias("root"))
     split = (placed.join(near.select("cls", "n"), "cls").groupBy("band")
              .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.greatest(
-                 F.count(F.lit(1)) / CHUNK_ROWS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-             .filter("lo <> hi").select("band", "chunks"))
+                 F.count(F.lit(1)) / CHUNK_ROWS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"),
+                  F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("mix"),
+                  F.sum(F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1 << 31))).alias("total"))
+             .filter("lo <> hi")
+             # Bands with the same members need one comparison.
+             .groupBy("size", "mix", "total").agg(F.min("band").alias("band"), F.first("chunks").alias("chunks"))
+             .select("band", "chunks"))
     number = F.pmod(F.xxhash64("cls"), F.col("chunks"))
     meets = F.expr("transform(sequence(0L, chunks - 1), t -> named_struct('i', least(t, chunk), 'j', greatest(t, chunk)))")
     groups = (placed.join(split, "band").withColumn("chunk", number)
