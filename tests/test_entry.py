@@ -4,8 +4,7 @@ import __spark_entry__ as entry
 
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"stance_model_rule", "kmeans_clusters", "narratives_discovered", "dataset_catalog",
-             "trace_hashed_tfidf"}
+ROWS_ONLY = {"kmeans_clusters", "narratives_discovered", "trace_hashed_tfidf"}
 
 
 def test_entry_runs(spark):

@@ -76,7 +76,12 @@ def test_stance_parse_and_missing(spark):
 
 
 def test_model_callable(spark):
-    posts = spark.createDataFrame([(1, "Vaccines are safe"), (2, "Nice weather")], "post_id long, Tweet string")
-    answers = st.answer_with(st.stance_prompts(posts, "vaccines work"), st.keyword_stance_model({"vaccines"}))
-    got = {r["post_id"]: r["polarity"] for r in st.parse_stance(answers).collect()}
-    assert got == {1: "support", 2: "neutral"}
+    posts = spark.createDataFrame([("a", "Vaccines are safe"), ("b", "Nice weather")], "post_id string, Tweet string")
+    model = lambda prompts: prompts.str.contains("safe").map({True: '{"support":1}', False: '{"neutral":1,"unsure":"x"}'})
+    answers = st.answer_with(st.stance_prompts(posts, "vaccines work"), model)
+    parsed = st.parse_stance(answers)
+    got = {r["post_id"]: (r["polarity"], r["flags_set"], r["fields_missing"]) for r in parsed.collect()}
+    assert got == {"a": ("support", 1, 3), "b": ("neutral", 1, 3)}
+    assert st.conflicting_answers(parsed).count() == 2
+    ruled = {r["post_id"]: r["polarity"] for r in st.keyword_stance(posts, ["VACCINES"]).collect()}
+    assert ruled == {"a": "support", "b": "neutral"}

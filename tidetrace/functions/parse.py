@@ -7,13 +7,21 @@ from pyspark.sql import Column, functions as F
 JSON_SPAN = r"(?s)\{.*?\}"
 
 
+ZONED = r"^(.*\d:\d{2}.*?)\s*([+-])(\d{2})(?::?(\d{2}))?$"
+
+
 def parse_datetime(s: Column) -> Column:
-    """TIMESTAMP_NTZ from 'yyyy-MM-dd HH:mm:ss', 'yyyy-MM-dd', ISO '...T...Z'
-    (fraction kept), or 'yyyy-MM-dd HH:mm:ss+hh:mm' (converted to session time);
-    anything else gives null."""
-    plain = F.regexp_replace(F.trim(s), "Z$", "").try_cast("timestamp_ntz")
-    zoned = F.try_to_timestamp(F.trim(s), F.lit("yyyy-MM-dd HH:mm:ssXXX")).cast("timestamp_ntz")
-    return F.when(F.trim(s) == "", F.lit(None).cast("timestamp_ntz")).otherwise(F.coalesce(plain, zoned))
+    """TIMESTAMP_NTZ (UTC wall clock) from 'yyyy-MM-dd HH:mm:ss', 'yyyy-MM-dd', ISO 'T'
+    forms with or without fraction and 'Z', or any of them with a zone offset
+    ('+hh:mm', '+hhmm', '+hh'), which is taken off; anything else gives null."""
+    t = F.trim(s)
+    part = lambda n: F.regexp_extract(t, ZONED, n)
+    minutes = F.coalesce(part(3).try_cast("int"), F.lit(0)) * 60 + F.coalesce(part(4).try_cast("int"), F.lit(0))
+    away = F.when(part(2) == "-", minutes).otherwise(-minutes)
+    zoned = F.timestamp_add("MINUTE", away, part(1).try_cast("timestamp_ntz"))
+    plain = F.regexp_replace(t, "Z$", "").try_cast("timestamp_ntz")
+    return (F.when(t == "", F.lit(None).cast("timestamp_ntz"))
+             .when(part(2) != "", zoned).otherwise(plain))
 
 
 def floor_to_second(ts: Column) -> Column:

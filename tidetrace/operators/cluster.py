@@ -6,13 +6,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from tidetrace.functions.ranking import group_positions
 from tidetrace.functions.stats import exact_mean
 from tidetrace.functions.text import text_key, tokens
 from tidetrace.functions.vectors import cosine
 from tidetrace.operators.similarity import nearest_target, score_vectors
 from tidetrace.session import ensure_checkpoint_dir, spread
 
-MAX_CLUSTERS = 1000  # centres are collected from the fitted model (k × dims values)
 TOP_MEMBERS = 5
 TOP_TERMS = 5
 
@@ -22,12 +22,15 @@ def fit_kmeans(posts: DataFrame, k: int = 3, *, seed: int = 42, vec_col: str = "
     """CLU1/CLU2: KMeans (cosine) on the post vectors.
 
     Returns (assignments(post_id, cluster_id), centres(cluster_id, embedding)).
-    Only the vector column is cached while the model iterates. Fewer posts
-    than k is an error.
+    Only the vector column is cached while the model iterates. Fewer usable posts
+    than k is an error. Null and zero vectors have no direction: they are left out of
+    the fit and keep their rows with a null cluster_id.
     """
-    if not 1 <= k <= MAX_CLUSTERS:
-        raise ValueError(f"k must be in 1..{MAX_CLUSTERS}")
-    vecs = posts.select("post_id", array_to_vector(F.col(vec_col)).alias("features")).persist()
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    usable = F.coalesce(F.exists(F.col(vec_col), lambda x: x != 0), F.lit(False))
+    features = array_to_vector(F.col(vec_col)).alias("features")
+    vecs = posts.where(usable).select("post_id", features).persist()
     try:
         n = vecs.count()
         if n < k:
@@ -36,8 +39,9 @@ def fit_kmeans(posts: DataFrame, k: int = 3, *, seed: int = 42, vec_col: str = "
                        featuresCol="features", predictionCol="cluster_id").fit(vecs)
     finally:
         vecs.unpersist()
-    assigned = model.transform(posts.select("post_id", array_to_vector(F.col(vec_col)).alias("features"))) \
-                    .select("post_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    assigned = model.transform(posts.where(usable).select("post_id", features)) \
+                    .select("post_id", F.col("cluster_id").cast("long").alias("cluster_id")) \
+                    .unionByName(posts.where(~usable).select("post_id", F.lit(None).cast("long").alias("cluster_id")))
     spark: SparkSession = posts.sparkSession
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
@@ -116,15 +120,23 @@ def extractive_narratives(assigned: DataFrame, *, text_col: str = "Tweet", top_m
     return sizes.join(top2, "cluster_id").join(members, "cluster_id")
 
 
-def narrative_prompts(assigned: DataFrame, *, text_col: str = "Tweet", per_cluster: int = 50) -> DataFrame:
-    """PRJ18 for clusters: the closest ``per_cluster`` posts of each cluster as one
-    prompt, for an optional language model (CLU5's generative form)."""
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("similarity"), F.col("post_id"))
-    near = assigned.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_cluster)
-    return near.groupBy("cluster_id").agg(F.concat_ws(
-        "\n", F.lit("Name the two main narratives in these posts as JSON with keys narrative_1 and narrative_2."),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rn", text_col))),
-                                 lambda s: s[text_col]), "\n- ")).alias("prompt"))
+def cluster_members(assigned: DataFrame) -> DataFrame:
+    """JN6/CLU7 in full: every member with its 0-based place by closeness to the centre
+    (places come from a distributed sort, so a large cluster spans many tasks)."""
+    return group_positions(assigned.select("cluster_id", "post_id", "similarity"), ["cluster_id"],
+                           [F.desc("similarity"), F.col("post_id")], position_col="place")
+
+
+def narrative_prompts(assigned: DataFrame, *, text_col: str = "Tweet", per_prompt: int = 50) -> DataFrame:
+    """PRJ18 for clusters: all posts of each cluster, closest first, in prompts of
+    ``per_prompt`` posts, for an optional language model (CLU5's generative form)."""
+    placed = group_positions(assigned.select("cluster_id", "post_id", "similarity", text_col), ["cluster_id"],
+                             [F.desc("similarity"), F.col("post_id")], position_col="place")
+    return (placed.withColumn("prompt_no", F.floor(F.col("place") / per_prompt))
+            .groupBy("cluster_id", "prompt_no").agg(F.concat_ws(
+                "\n", F.lit("Name the two main narratives in these posts as JSON with keys narrative_1 and narrative_2."),
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", text_col))),
+                                         lambda s: s[text_col]), "\n- ")).alias("prompt")))
 
 
 def discover_and_trace(posts: DataFrame, k: int, *, seed: int = 42, threshold: float = 0.2) -> DataFrame:

@@ -135,7 +135,8 @@ def _score_arrow(posts: DataFrame, targets: DataFrame, vec_col: str, target_id_c
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
+            none = np.zeros(t_mat.shape[1])  # a null vector scores 0, as in the expression path
+            x = np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
             xn = np.linalg.norm(x, axis=1)
             sims = (x @ t_mat.T)
             sims = np.divide(sims, xn[:, None], out=np.zeros_like(sims), where=xn[:, None] > 0)
@@ -158,7 +159,7 @@ def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embe
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
     chunks, values = _target_chunks(targets, target_id_col, target_vec_col)
     if len(chunks) > 1 or values > EXPR_HARD_MAX_VALUES:
-        raise ValueError(f"centres × dims above {EXPR_HARD_MAX_VALUES}; reduce k or the vector size")
+        return _nearest_arrow(posts, chunks, vec_col, target_id_col, target_vec_col, id_alias, keep)
     arr = _packed_targets(targets, target_id_col, target_vec_col)
     pv = F.col(vec_col)
     scored = F.transform(F.col("_tg"), lambda t: F.struct(
@@ -170,6 +171,49 @@ def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embe
                  .select(*keep, (-F.col("_b.neg_id")).alias(id_alias), F.col("_b.s").alias("similarity")))
 
 
+def _nearest_arrow(posts: DataFrame, chunks: list[DataFrame], vec_col: str, target_id_col: str, target_vec_col: str,
+                   id_alias: str, keep: list[str]) -> DataFrame:
+    """``nearest_target`` for many targets: one pass over the posts, a matrix product for
+    each chunk of targets (bounded by ``_target_chunks``) inside the task."""
+    import numpy as np
+
+    mats = []
+    for chunk in chunks:
+        rows = chunk.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).collect()
+        if rows:
+            ids = np.array([r["tid"] for r in rows], dtype=np.int64)
+            mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows])[np.argsort(ids)]
+            length = np.linalg.norm(mat, axis=1)
+            mat = np.divide(mat, length[:, None], out=np.zeros_like(mat), where=length[:, None] > 0)
+            mats.append(posts.sparkSession.sparkContext.broadcast((np.sort(ids), mat)))
+    src = posts.select(*keep, F.col(vec_col).alias("_v"))
+    schema = T.StructType(src.drop("_v").schema.fields + [T.StructField(id_alias, T.LongType()),
+                                                          T.StructField("similarity", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf) or not mats:
+                continue
+            none = np.zeros(mats[0].value[1].shape[1])
+            x = np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
+            length = np.linalg.norm(x, axis=1)
+            best, score = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), -np.inf)
+            for at in range(0, len(x), 256):
+                own = slice(at, at + 256)
+                for shared in mats:
+                    ids, mat = shared.value
+                    s = np.divide(x[own] @ mat.T, length[own, None], out=np.zeros((len(x[own]), len(ids))),
+                                  where=length[own, None] > 0).round(6)
+                    top, first = s.max(axis=1), ids[s.argmax(axis=1)]
+                    take = (top > score[own]) | ((top == score[own]) & (first < best[own]))
+                    best[own], score[own] = np.where(take, first, best[own]), np.where(take, top, score[own])
+            out = pdf.drop(columns=["_v"])
+            out[id_alias], out["similarity"] = best, score
+            yield out
+
+    return src.mapInPandas(run, schema)
+
+
 def pair_cosine(df: DataFrame, a: str = "e1", b: str = "e2") -> Column:
     """Row-wise cosine of two array columns (SIM4), rounded to 6 places."""
     return rounded(cosine_from_parts(dot(F.col(a), F.col(b)), norm(F.col(a)), norm(F.col(b))))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidetrace.functions.parse import first_json_object
+from tidetrace.functions.text import tokens
 
 # Answer fields in code order (support=8, opposition=4,
 # neutral=2, unsure=1), labels, and the weight each stance gives a score.
@@ -37,16 +38,20 @@ def answer_with(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"post_id": pdf["post_id"], "response": model(pdf["prompt"]).astype(object)})
-    return prompts.mapInPandas(run, "post_id long, response string")
+    kind = prompts.schema["post_id"].dataType.simpleString()
+    return prompts.mapInPandas(run, f"post_id {kind}, response string")
 
 
 def parse_stance(responses: DataFrame, *, text_col: str = "response") -> DataFrame:
     """PRJ17/PRJ14/PRJ15/STN5: first parsable JSON object of each answer,
     flags read by name, 4-bit code, label (first set bit in field order,
-    else unsure), and how many flags are set. Answers without any JSON
-    object are dropped here; ``attach_stance`` brings their posts back."""
+    else unsure), how many flags are set and how many are absent (an absent or
+    unreadable flag counts as 0). Answers without any JSON object are dropped
+    here; ``attach_stance`` brings their posts back."""
     obj = first_json_object(F.col(text_col))
-    flags = {k: F.try_variant_get(F.col("_obj"), f"$.{k}", "int") for k in STANCE_FIELDS}
+    given = {k: F.try_variant_get(F.col("_obj"), f"$.{k}", "int") for k in STANCE_FIELDS}
+    flags = {k: F.coalesce(v, F.lit(0)) for k, v in given.items()}
+    missing = sum((v.isNull().cast("int") for v in given.values()), F.lit(0))
     code = flags["support"] * 8 + flags["opposition"] * 4 + flags["neutral"] * 2 + flags["unsure"]
     c = F.col("response_obj")
     polarity = (F.when(c.bitwiseAND(8) != 0, F.lit("support"))
@@ -54,7 +59,8 @@ def parse_stance(responses: DataFrame, *, text_col: str = "response") -> DataFra
                  .when(c.bitwiseAND(2) != 0, F.lit("neutral"))
                  .otherwise(F.lit("unsure")))
     return (responses.select("post_id", obj.alias("_obj")).where(F.col("_obj").isNotNull())
-                     .select("post_id", *[v.alias(k) for k, v in flags.items()], code.alias("response_obj"))
+                     .select("post_id", *[v.alias(k) for k, v in flags.items()], code.alias("response_obj"),
+                             missing.alias("fields_missing"))
                      .withColumn("polarity", polarity)
                      .withColumn("flags_set", F.col("support") + F.col("opposition") + F.col("neutral")
                                  + F.col("unsure")))
@@ -96,19 +102,13 @@ def stance_by(df: DataFrame, by: str) -> DataFrame:
 
 
 def conflicting_answers(parsed: DataFrame) -> DataFrame:
-    """STN5: answers that set no flag or more than one."""
-    return parsed.where(F.col("flags_set") != 1)
-
-
-def keyword_stance_model(narrative_words: set[str]) -> Callable[[pd.Series], pd.Series]:
-    """A deterministic stand-in for a language model (tests and offline runs):
-    support when the post repeats a narrative word, neutral otherwise."""
-    words = {w.lower() for w in narrative_words}
-
-    def model(prompts: pd.Series) -> pd.Series:
-        def one(p: str) -> str:
-            post = p.split("Post: ", 1)[-1].lower().split()
-            hit = any(w in words for w in post)
-            return ('{"support":%d,"opposition":0,"neutral":%d,"unsure":0}' % (int(hit), int(not hit)))
-        return prompts.fillna("").map(one)
-    return model
+    """STN5: answers that set no flag or more than one, or leave a flag out."""
+    return parsed.where((F.col("flags_set") != 1) | (F.col("fields_missing") > 0))
+
+
+def keyword_stance(posts: DataFrame, words: list[str], *, text_col: str = "Tweet") -> DataFrame:
+    """A rule that needs no model: support when a post repeats one of the words, else
+    neutral. Same columns as ``attach_stance`` (polarity, answered)."""
+    wanted = F.array(*[F.lit(w.lower()) for w in words]).cast("array<string>")
+    hit = F.coalesce(F.arrays_overlap(tokens(F.col(text_col)), wanted), F.lit(False))
+    return posts.withColumn("polarity", F.when(hit, "support").otherwise("neutral")).withColumn("answered", F.lit(True))

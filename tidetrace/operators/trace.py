@@ -12,9 +12,15 @@ from tidetrace.operators.similarity import score_lexical, score_vectors
 
 
 def _bound(x) -> F.Column:
-    if isinstance(x, (dt.datetime, dt.date)):
-        x = x.isoformat(sep=" ") if isinstance(x, dt.datetime) else x.isoformat()
-    return F.lit(str(x)).try_cast("timestamp_ntz")
+    """A date bound as TIMESTAMP_NTZ; one that is no date is an error, not an empty result."""
+    if not isinstance(x, (dt.datetime, dt.date)):
+        try:
+            x = dt.datetime.fromisoformat(str(x).strip())
+        except ValueError:
+            raise ValueError(f"not a date or time: {x!r}") from None
+    if isinstance(x, dt.datetime) and x.tzinfo is not None:
+        x = x.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(x.isoformat(sep=" ") if isinstance(x, dt.datetime) else x.isoformat()).cast("timestamp_ntz")
 
 
 def date_range(df: DataFrame, start=None, end=None, *, col: str = "Datetime",

@@ -98,9 +98,10 @@ def q_cluster_narratives(spark, sf_dir):
 WITH {T}, {V}, {CENTRES},
 P AS (SELECT T.post_id, T.Tweet, V.embedding FROM T JOIN V ON T.post_id = V.post_id), {ASSIGN},
 R AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, post_id) AS rn FROM A)
-SELECT cluster_id, 'Name the two main narratives in these posts as JSON with keys narrative_1 and narrative_2.'
+SELECT cluster_id, CAST((rn - 1) // 50 AS BIGINT) AS prompt_no,
+       'Name the two main narratives in these posts as JSON with keys narrative_1 and narrative_2.'
        || chr(10) || string_agg(Tweet, chr(10) || '- ' ORDER BY rn) AS prompt
-FROM R WHERE rn <= 50 GROUP BY cluster_id
+FROM R GROUP BY 1, 2
 """)
 def q_cluster_prompts(spark, sf_dir):
     p = text_vector_posts(spark, sf_dir)
@@ -108,6 +109,18 @@ def q_cluster_prompts(spark, sf_dir):
     return cl.narrative_prompts(cl.assign_nearest(p, centres, keep=["post_id", "Tweet"]))
 
 
+@register("cluster_members", sql=f"""
+WITH {T}, {V}, {CENTRES},
+P AS (SELECT T.post_id, T.Tweet, V.embedding FROM T JOIN V ON T.post_id = V.post_id), {ASSIGN}
+SELECT cluster_id, post_id, similarity,
+       row_number() OVER (PARTITION BY cluster_id ORDER BY similarity DESC, post_id) - 1 AS place FROM A
+""")
+def q_cluster_members(spark, sf_dir):
+    p = text_vector_posts(spark, sf_dir)
+    centres = label_centres(tb.vector_posts(spark, sf_dir))
+    return cl.cluster_members(cl.assign_nearest(p, centres, keep=["post_id"]))
+
+
 @register("kmeans_clusters")
 def q_kmeans_clusters(spark, sf_dir):
     """CLU1/CLU2: rows only (labels depend on the seed and partitioning)."""

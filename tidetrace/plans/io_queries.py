@@ -103,10 +103,17 @@ def q_eval_outputs(spark, sf_dir):
     return spark.read.schema(ev.global_metrics(scored).schema).json(f"{path}/metrics")
 
 
-@register("dataset_catalog")
+@register("dataset_catalog", sql="""
+SELECT 'events.csv' AS dataset, count(*) AS rows, min(ts) AS first_post, max(ts) AS last_post FROM events
+""")
 def q_dataset_catalog(spark, sf_dir):
-    """SRC4: file catalog of the table directory (metadata only)."""
-    return ca.list_datasets(spark, sf_dir, "*.parquet")
+    """SRC4: the events as one uploaded CSV, listed with rows and date span."""
+    base = _scratch(spark, "catalog up loads")
+    ev_ = tb.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("string").alias("Datetime"))
+    ev_.write.option("header", True).option("quoteAll", True).csv(f"{base}/events.csv")
+    files = ca.dataset_summary(spark, base, "part-*.csv").withColumn("dataset", F.substring_index("dataset", "/", 1))
+    return files.groupBy("dataset").agg(F.sum("rows").alias("rows"), F.min("first_post").alias("first_post"),
+                                        F.max("last_post").alias("last_post"))
 
 
 @register("new_posts_to_embed", sql=f"""

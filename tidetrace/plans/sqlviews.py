@@ -23,7 +23,7 @@ R = """R AS (
 N = """N AS (
   SELECT item_id AS narrative_id,
          CASE item_id % 5 WHEN 1 THEN 'ab' WHEN 2 THEN '<b></b> x ' WHEN 3 THEN text || repeat('x', 600)
-              ELSE '<i>' || substring(text, 1, 80) || '</i>' END AS text
+              ELSE '<i>' || text || '</i>' END AS text
   FROM benchmark)"""
 
 E = """E AS (
@@ -35,6 +35,7 @@ L = """L AS (
   SELECT vec_id AS post_id,
          CASE WHEN vec_id % 11 = 0 THEN NULL
               WHEN vec_id % 7 = 0 THEN 'no json here'
+              WHEN vec_id % 17 = 0 THEN '{"support":1}'
               WHEN vec_id % 5 = 0 THEN '{bad} {"unsure":0,"support":0,"opposition":1,"neutral":0}'
               ELSE repeat('`', 3) || 'json' || chr(10) || '{"support":' || CASE WHEN vec_id % 4 = 1 THEN '1' ELSE '0' END
                    || ',"opposition":' || CASE WHEN vec_id % 4 = 2 THEN '1' ELSE '0' END

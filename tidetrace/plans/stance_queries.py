@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidetrace.functions.text import tokens
 from tidetrace.operators import similarity as sim
 from tidetrace.operators import stance as st
 from tidetrace.plans.registry import register
-from tidetrace.plans.sqlviews import L, T, V, cos
+from tidetrace.plans.sqlviews import L, T, V, cos, toks
 from tidetrace.sources import tables as tb
 
 PARSED = f"""{L},
 J AS (SELECT post_id, list_filter(regexp_extract_all(response, '(?s)\\{{.*?\\}}'), lambda x: json_valid(x))[1] AS j FROM L),
-F AS (SELECT post_id, CAST(json_extract(j, '$.support') AS INTEGER) AS support,
-             CAST(json_extract(j, '$.opposition') AS INTEGER) AS opposition,
-             CAST(json_extract(j, '$.neutral') AS INTEGER) AS neutral,
-             CAST(json_extract(j, '$.unsure') AS INTEGER) AS unsure FROM J WHERE j IS NOT NULL),
+G4 AS (SELECT post_id, TRY_CAST(json_extract(j, '$.support') AS INTEGER) AS s0,
+              TRY_CAST(json_extract(j, '$.opposition') AS INTEGER) AS o0,
+              TRY_CAST(json_extract(j, '$.neutral') AS INTEGER) AS n0,
+              TRY_CAST(json_extract(j, '$.unsure') AS INTEGER) AS u0 FROM J WHERE j IS NOT NULL),
+F AS (SELECT post_id, coalesce(s0, 0) AS support, coalesce(o0, 0) AS opposition, coalesce(n0, 0) AS neutral,
+             coalesce(u0, 0) AS unsure, CAST((s0 IS NULL)::INT + (o0 IS NULL)::INT + (n0 IS NULL)::INT
+                                             + (u0 IS NULL)::INT AS INTEGER) AS fields_missing FROM G4),
 C AS (SELECT *, support * 8 + opposition * 4 + neutral * 2 + unsure AS response_obj FROM F),
 P AS (SELECT *, CASE WHEN (response_obj & 8) <> 0 THEN 'support' WHEN (response_obj & 4) <> 0 THEN 'opposition'
                      WHEN (response_obj & 2) <> 0 THEN 'neutral' ELSE 'unsure' END AS polarity,
@@ -42,7 +46,7 @@ def signed(spark, sf_dir):
 
 @register("stance_parse", sql=f"""
 WITH {PARSED}
-SELECT post_id, support, opposition, neutral, unsure, response_obj, polarity, flags_set FROM P
+SELECT post_id, support, opposition, neutral, unsure, response_obj, polarity, flags_set, fields_missing FROM P
 """)
 def q_stance_parse(spark, sf_dir):
     return parsed(spark, sf_dir)
@@ -60,10 +64,10 @@ def q_stance_missing(spark, sf_dir):
 
 @register("stance_conflicts", sql=f"""
 WITH {PARSED}
-SELECT post_id, flags_set, polarity FROM P WHERE flags_set <> 1
+SELECT post_id, flags_set, fields_missing, polarity FROM P WHERE flags_set <> 1 OR fields_missing > 0
 """)
 def q_stance_conflicts(spark, sf_dir):
-    return st.conflicting_answers(parsed(spark, sf_dir)).select("post_id", "flags_set", "polarity")
+    return st.conflicting_answers(parsed(spark, sf_dir)).select("post_id", "flags_set", "fields_missing", "polarity")
 
 
 @register("signed_similarity", sql=f"""
@@ -111,14 +115,17 @@ def q_stance_prompts(spark, sf_dir):
     return st.stance_prompts(t, narrative)
 
 
-@register("stance_model_rule")
+@register("stance_model_rule", sql=f"""
+WITH {T},
+W AS (SELECT {toks('text')} AS words FROM benchmark WHERE item_id = 0),
+P AS (SELECT CASE WHEN coalesce(list_has_any({toks('Tweet')}, (SELECT words FROM W)), false) THEN 'support'
+                  ELSE 'neutral' END AS polarity FROM T)
+SELECT polarity, count(*) AS n_posts, round(CAST(count(*) AS DOUBLE), 6) AS sum_signed_similarity FROM P GROUP BY polarity
+""")
 def q_stance_model_rule(spark, sf_dir):
-    """STN1 end to end with the deterministic stand-in model (rows-only check:
-    the stand-in runs in Python, SQL cannot restate it)."""
+    """STN1's table form with a rule in place of a model: built-in expressions only."""
     t = tb.text_posts(spark, sf_dir)
-    b = tb.table(spark, sf_dir, "benchmark").where(F.col("item_id") == 0).select("text").first()
-    words = set((b["text"] if b else "").split())
-    prompts = st.stance_prompts(t, b["text"] if b else "")
-    answers = st.answer_with(prompts, st.keyword_stance_model(words))
-    return st.stance_counts(st.signed_similarity(
-        st.attach_stance(t.select("post_id").withColumn("similarity", F.lit(1.0)), st.parse_stance(answers))))
+    words = (tb.table(spark, sf_dir, "benchmark").where(F.col("item_id") == 0)
+             .select(tokens(F.col("text")).alias("w")).first())
+    ruled = st.keyword_stance(t, words["w"] if words else []).withColumn("similarity", F.lit(1.0))
+    return st.stance_counts(st.signed_similarity(ruled))

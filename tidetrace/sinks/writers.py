@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 from collections.abc import Sequence
 
@@ -58,13 +57,13 @@ def save_run(result: DataFrame, base_path: str, *, target: str, start: str | Non
     original save path. The row count comes from the written files.
     """
     spark = result.sparkSession
+    if result.isEmpty():
+        raise ValueError("nothing to save: the result is empty")
     run_id = run_id or new_run_id()
     rows_path = f"{base_path.rstrip('/')}/rows"
     runs_path = f"{base_path.rstrip('/')}/runs"
     result.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(rows_path)
     total = spark.read.parquet(rows_path).where(F.col("run_id") == run_id).count()
-    if total == 0:
-        raise ValueError("nothing to save: the result is empty")
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run = spark.createDataFrame(
         [(run_id, start, end, target, float(threshold), list(datasets), now, int(total))],
@@ -109,6 +108,3 @@ def write_eval(pairs: DataFrame, metrics: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").parquet(f"{path}/pairs")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
 
-
-def metrics_text(metrics_row) -> str:
-    return json.dumps(metrics_row.asDict(), default=str, indent=1)

@@ -81,7 +81,7 @@ def narrative_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("narrative_id"),
         F.when(k == 1, F.lit("ab")).when(k == 2, F.lit("<b></b> x "))
          .when(k == 3, F.concat(F.col("text"), F.repeat(F.lit("x"), 600)))
-         .otherwise(F.concat(F.lit("<i>"), F.substring("text", 1, 80), F.lit("</i>"))).alias("text"))
+         .otherwise(F.concat(F.lit("<i>"), F.col("text"), F.lit("</i>"))).alias("text"))
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         v.alias("post_id"),
         F.when(v % 11 == 0, F.lit(None).cast("string")).when(v % 7 == 0, F.lit("no json here"))
+         .when(v % 17 == 0, F.lit('{"support":1}'))
          .when(v % 5 == 0, F.lit('{bad} {"unsure":0,"support":0,"opposition":1,"neutral":0}'))
          .otherwise(good).alias("response"))
 

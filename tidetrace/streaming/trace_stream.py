@@ -9,8 +9,6 @@ which is how tests compare the stream with the batch result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidetrace.operators.trace import trace_vectors
@@ -38,8 +36,9 @@ def read_parquet_stream(spark: SparkSession, directory: str, schema: T.StructTyp
     return r.parquet(directory)
 
 
-def run_to_completion(query, timeout_s: int = 600) -> None:
-    query.awaitTermination(timeout_s)
+def run_to_completion(query, timeout_s: int | None = None) -> None:
+    """Wait for a draining query; it is stopped only after a timeout the caller sets."""
+    query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
     if query.isActive:
         query.stop()
         raise TimeoutError("stream did not finish in time")
@@ -59,12 +58,14 @@ def instant_to_ntz(c: F.Column) -> F.Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
-def stream_timeline(scored: DataFrame, *, by: list[str], every: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """AGG16 on a stream: windowed counts with a watermark that bounds the state
-    (windows older than the watermark are finalised and dropped)."""
-    return (scored.withColumn("_event", ntz_to_instant(F.col("Datetime")))
-                  .withWatermark("_event", lateness)
-                  .groupBy(F.window("_event", every).alias("w"), *by)
+def stream_timeline(scored: DataFrame, *, by: list[str], every: str = "1 day", lateness: str | None = None) -> DataFrame:
+    """AGG16 on a stream: windowed counts in update mode. By default every row counts,
+    however late (the state is one row per window and group). ``lateness`` sets a
+    watermark that bounds the state; Spark then drops rows later than that."""
+    events = scored.withColumn("_event", ntz_to_instant(F.col("Datetime")))
+    if lateness:
+        events = events.withWatermark("_event", lateness)
+    return (events.groupBy(F.window("_event", every).alias("w"), *by)
                   .agg(F.count(F.lit(1)).alias("n_posts"),
                        F.round(F.sum("similarity"), 6).alias("sum_similarity"),
                        F.max("similarity").alias("max_similarity"))
@@ -89,6 +90,3 @@ def latest_versions(spark: SparkSession, out_path: str, keys: list[str]) -> Data
     log = spark.read.parquet(out_path)
     w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
     return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch_id")
-
-
-Transform = Callable[[DataFrame], DataFrame]
