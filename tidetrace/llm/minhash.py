@@ -15,7 +15,8 @@ whole shingle sets. Groups are never expanded into a table of pairs: each class
 first compared with the nearest of its bands' smallest classes. Bands whose members
 are then still in different components are cut into chunks of bounded size, and
 chunks are compared two at a time inside a task, which skips members already
-connected and returns only a spanning forest of the links found.
+connected and returns only a spanning forest of the links found. Members of a
+band's largest component are compared with the band's other members only.
 
 Defined cases: null text, empty text and text without words have an empty set,
 link with nothing and form their own group; with fewer than k words the whole word
@@ -40,7 +41,7 @@ BANDS, ROWS = 48, 6
 COORDINATES = BANDS * ROWS
 SKETCH_BITS = 256
 MAX_SKETCH_DISTANCE = 54
-CHUNK_ROWS, CHUNK_SHINGLES = 512, 2_000_000
+CHUNK_ROWS, CHUNK_SHINGLES = 2048, 2_000_000
 _SIGMA_A, _SIGMA_B = 2_654_435_761, 1_013_904_223
 _PI: list[np.ndarray] = []
 
@@ -240,21 +241,36 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = stage(_confirm(nearest, sets, percent))
     roots = connected_components(links)
 
-    # Then all members of the bands that still hold several components.
-    placed = members.select("band", "sid").join(near.select("sid", "cls"), "sid").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "band", "cls", F.coalesce("root", "cls").alias("root"))
-    split = (placed.join(near.select("cls", "n"), "cls").groupBy("band")
-             .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.greatest(
-                 F.count(F.lit(1)) / CHUNK_ROWS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"),
-                  F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("mix"),
-                  F.sum(F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1 << 31))).alias("total"))
-             .filter("lo <> hi")
+    # Then all members of the bands that still hold several components. A band's largest
+    # component (its core) is connected already: only the others' chunks, numbered first,
+    # meet each other and the core's chunks.
+    placed = members.select("band", "sid").join(near.select("sid", "cls", "n"), "sid").join(
+        roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "band", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    parts = placed.groupBy("band", "root").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("mix"),
+        F.sum(F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1 << 31))).alias("total"))
+
+    def chunks(rows: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(rows / CHUNK_ROWS, shingles / CHUNK_SHINGLES))
+
+    split = (parts.groupBy("band")
+             .agg(F.max(F.struct("rows", "root", "n")).alias("core"), F.count(F.lit(1)).alias("components"),
+                  F.sum("rows").alias("size"), F.sum("n").alias("n"), F.bit_xor("mix").alias("mix"),
+                  F.sum("total").alias("total"))
+             .filter("components > 1")
              # Bands with the same members need one comparison.
-             .groupBy("size", "mix", "total").agg(F.min("band").alias("band"), F.first("chunks").alias("chunks"))
-             .select("band", "chunks"))
-    number = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    meets = F.expr("transform(sequence(0L, chunks - 1), t -> named_struct('i', least(t, chunk), 'j', greatest(t, chunk)))")
-    groups = (placed.join(split, "band").withColumn("chunk", number)
+             .groupBy("size", "mix", "total")
+             .agg(F.min(F.struct("band", F.col("core.root").alias("core"),
+                                 chunks(F.col("size") - F.col("core.rows"), F.col("n") - F.col("core.n")).alias("others"),
+                                 chunks(F.col("core.rows"), F.col("core.n")).alias("cores"))).alias("s"))
+             .select("s.*"))
+    hashed = F.xxhash64("cls")
+    chunk = F.when(F.col("root") == F.col("core"), F.col("others") + F.pmod(hashed, F.col("cores"))).otherwise(
+        F.pmod(hashed, F.col("others")))
+    meets = F.expr("transform(sequence(0L, if(chunk < others, others + cores, others) - 1),"
+                   " t -> named_struct('i', least(t, chunk), 'j', greatest(t, chunk)))")
+    groups = (placed.drop("n").join(split, "band").withColumn("chunk", chunk)
               .select("band", "cls", "root", "chunk", F.explode(meets).alias("m"))
               .select("band", "cls", "root", "chunk", "m.i", "m.j")
               .join(near.drop("sid"), "cls").join(sets, "cls"))
