@@ -8,14 +8,17 @@ three words run over the whole text, each keeps its largest response, and a logi
 layer weighs them. Only the positions that won the pooling carry gradients, so
 training needs memory for one batch of texts.
 
-Thresholds are calibrated on a part of the labelled sample that is not trained on:
-for each language the cut of the raw score that best separates the labels (with too
-few labels of a kind, the cut of all languages), and scores are shifted so that 0.5
-is the cut. The language of a text is read from its words alone, by counts of
-hashed words in the sample; the language column is not an input of a score.
-
-The sample holds about ``max_rows`` labelled texts of at most ``max_bytes``. Every
-text is scored whole.
+Thresholds are calibrated on all labelled texts that are not trained on, scored whole
+in Spark and counted by language, label and narrow bins of the raw score: for each
+language the cut that best separates the labels (with fewer than MIN_LABELS texts of a
+kind, the cut of all languages), and scores are shifted so that 0.5 is the cut. The
+language of a text is read from its words alone, by counts of hashed words in all
+labelled texts; the language column is not an input of a score.
+
+Only the network is fitted on a sample, of about ``max_rows`` labelled texts of at most
+``max_bytes``. A quarter of it is not trained on, by language and label, and more of a
+kind with few texts, so that MIN_LABELS are left to calibrate on. Every text is scored
+whole.
 
 Defined cases: null and empty texts, and texts without words, are scored as one
 blank word; label rows with a null key, a null label or a label other than 0 and 1
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import slices, text_buffer
+from tidetrace.llm.common import slices, stage, text_buffer
 from tidetrace.llm.quality import MAX_BYTES, labelled_texts
 from tidetrace.llm.words import ALNUM, hash_spans, mix, words
 
@@ -48,6 +51,7 @@ MIN_TEXTS = 3  # sample texts that hold a word, for the word to have an embeddin
 _FOLDED = mix(np.arange(2000, 2256, dtype=np.uint64)) | np.uint64(1)
 _FOLDED[0x41:0x5B] = _FOLDED[0x61:0x7B]
 MIN_LABELS = 8  # of either kind, for a language's own cut
+BINS = 256  # of a unit of the logit, to calibrate on
 
 
 def word_rows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +181,15 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, updates:
     return m
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut between labels 0 below and 1 above with the largest hit rate minus false
-    alarm rate; in the middle of the gap, and of equal cuts the one with the widest gap."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    missed, alarms = np.cumsum(y == 1), (y == 0).sum() - np.cumsum(y == 0)
-    quality = 1 - missed / max(1, missed[-1]) - alarms / max(1, (y == 0).sum())
-    gap = np.append(np.diff(z), 0)
+def best_cut(low: np.ndarray, high: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut between labels 0 below and 1 above with the largest hit rate minus false alarm
+    rate; in the middle of the gap, and of equal cuts the one with the widest gap. Rows are
+    bins in order: least and largest logit, number of texts of each label."""
+    missed, alarms = np.cumsum(toxic), clean.sum() - np.cumsum(clean)
+    quality = 1 - missed / max(1, missed[-1]) - alarms / max(1, clean.sum())
+    gap = np.append(low[1:] - high[:-1], 0)
     k = np.lexsort((gap, np.round(quality, 9)))[-1]
-    return float(z[k] + gap[k] / 2)
+    return float(high[k] + gap[k] / 2)
 
 
 def _hashed(texts: list[str | None]) -> list[np.ndarray]:
@@ -198,45 +201,121 @@ def _hashed(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                 language: str | None = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on ``labels``, which holds only rows that may be learnt from."""
+                 language: str | None = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
+                 broadcast_labels: int = 2_000_000) -> Model:
+    """Fit on ``labels``, which holds only rows that may be learnt from. Up to ``broadcast_labels``
+    labelled keys are broadcast; beyond that the texts are joined by key."""
     binary = F.when(F.col(label).isin(0, 1), F.col(label).cast("int"))
     drawn = labelled_texts(docs, labels, binary, key=key, text=text, extra=language, max_rows=max_rows,
                            max_bytes=max_bytes)
-    return fit_rows(drawn)
-
-
-def fit_rows(drawn: list) -> Model:
-    """Fit on rows with text, label (0 or 1) and extra (language or null)."""
     y = np.array([r["label"] for r in drawn], int)
-    empty = Model(np.zeros((1, DIM)), [], np.zeros(0), np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
     if len(set(y.tolist())) < 2:
-        return empty
-    texts = _hashed([r["text"] for r in drawn])
-    part = np.arange(len(y))
-    learn = np.concatenate([k[np.arange(len(k)) % 4 != 3] for k in (part[y == 0], part[y == 1])])
-    model = train([texts[i] for i in learn], y[learn])
+        return Model(np.zeros((1, DIM)), [], np.zeros(0), np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
+    held = held_back(drawn)
+    learn = [n for n, r in enumerate(drawn) if r["id"] not in held]
+    texts = _hashed([drawn[n]["text"] for n in learn])
+    model = train(texts, y[learn])
+
+    number = stage(labels.select(F.col(key).alias("id"), binary.alias("label")).filter("id is not null and label is not null")
+                   .groupBy("id").agg(F.count_if(F.col("label") == 0).alias("clean"), F.sum("label").alias("toxic")))
+    trained = docs.sparkSession.createDataFrame(
+        [(i,) for i in sorted({drawn[n]["id"] for n in learn})], number.select("id").schema)
+    number = number.join(F.broadcast(trained.withColumn("trained", F.lit(True))), "id", "left")
+    side = F.broadcast(number) if number.count() <= broadcast_labels else number
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
+                       (F.col(language) if language else F.lit(None)).cast("string").alias("lang")).join(side, "id")
+    model.languages = language_model(rows)
+    untrained = rows.filter(F.col("trained").isNull() | F.coalesce(F.octet_length("text") > max_bytes, F.lit(True)))
+    bins = logit_bins(untrained, model)
+    if not all(sum(r[k] for r in bins) for k in ("clean", "toxic")):
+        bins = logit_bins(rows, model)
+    model.cuts = language_cuts(bins, model.languages.shape[1])
+    return model
+
 
-    names = sorted({r["extra"] for r in drawn if r["extra"] is not None}) or [""]
+def held_back(drawn: list) -> set:
+    """Keys of the sample that are not trained on: every fourth of each language and label, or
+    MIN_LABELS if they are at most half of them."""
+    kinds = {}
+    for r in drawn:
+        kinds.setdefault((r["extra"] or "", r["label"]), {})[r["id"]] = True
+    held = set()
+    for own in kinds.values():
+        n = max(len(own) // 4, min(len(own) // 2, MIN_LABELS))
+        ids = list(own)
+        held.update(ids[(2 * k + 1) * len(ids) // (2 * n)] for k in range(n))
+    for label in (0, 1):  # a label must be left to train on
+        own = [r["id"] for r in drawn if r["label"] == label]
+        if held.issuperset(own):
+            held.discard(own[0])
+    return held
+
+
+def _language_words(batches):
+    counts = {}
+    for batch in batches:
+        data, offs = text_buffer(batch.column("text"))
+        langs = batch.column("lang").to_pylist()
+        for i, j in slices(offs):
+            rows, ptr = word_rows(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+            bucket = rows[:, 0] >> (ROWS_BITS - LANGUAGE_BITS)
+            for n, lang in enumerate(langs[i:j]):
+                own = counts.setdefault(lang, np.zeros(1 << LANGUAGE_BITS, np.int64))
+                np.add.at(own, bucket[ptr[n]:ptr[n + 1]], 1)
+    for lang, own in counts.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])],
+                                         names=["lang", "bucket", "n"])
+
+
+def language_model(rows: DataFrame) -> np.ndarray:
+    """Log-probabilities of hashed words by language, over all rows (text, lang) that name one."""
+    found = (rows.filter("lang is not null").select("text", "lang")
+             .mapInArrow(_language_words, "lang string, bucket bigint, n bigint")
+             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
+    lang = np.array(found.column("lang").to_pylist(), object)
+    names = sorted(set(lang.tolist())) or [""]
     counts = np.full((1 << LANGUAGE_BITS, len(names)), 0.1)
-    for t, r in zip(texts, drawn):
-        if r["extra"] in names:
-            counts[:, names.index(r["extra"])] += np.bincount(t[:, 0] >> (ROWS_BITS - LANGUAGE_BITS),
-                                                            minlength=1 << LANGUAGE_BITS)
-    model.languages = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-
-    ptr = lambda own: np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])])
-    rest = np.setdiff1d(part, learn)
-    if len(set(y[rest].tolist())) < 2:
-        rest = part
-    rows = np.concatenate([texts[i] for i in rest])
-    z, lang = model.logits(rows, ptr(rest)), model.language(rows, ptr(rest))
-    model.cuts = np.full(len(names), best_cut(z, y[rest]))
-    for n in range(len(names)):
-        own = lang == n
-        if min((y[rest][own] == v).sum() for v in (0, 1)) >= MIN_LABELS:
-            model.cuts[n] = best_cut(z[own], y[rest][own])
-    return model
+    place = {name: n for n, name in enumerate(names)}
+    counts[found.column("bucket").to_numpy(), np.array([place[x] for x in lang], int)] += found.column("n").to_numpy()
+    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+
+def logit_bins(rows: DataFrame, model: Model) -> list:
+    """Texts of each label by language and bin of the logit, and the least and largest logit there."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_buffer(batch.column("text"))
+            for i, j in slices(offs):
+                words_ = word_rows(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                z = shared.value.logits(*words_).astype(float)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shared.value.language(*words_)), pa.array(np.floor(np.clip(z, -64, 64) * BINS).astype(np.int64)),
+                     pa.array(z), batch.column("clean").slice(i, j - i), batch.column("toxic").slice(i, j - i)],
+                    names=["lang", "bin", "z", "clean", "toxic"])
+
+    scored = rows.select("text", "clean", "toxic").mapInArrow(run, "lang bigint, bin bigint, z double, clean bigint, toxic bigint")
+    return scored.groupBy("lang", "bin").agg(F.min("z").alias("low"), F.max("z").alias("high"), F.sum("clean").alias("clean"),
+                                             F.sum("toxic").alias("toxic")).collect()
+
+
+def language_cuts(bins: list, n_languages: int) -> np.ndarray:
+    """The cut of each language; with too few texts of a label, that of all languages."""
+    def cut(own):
+        merged = {}
+        for r in own:
+            low, high, clean, toxic = merged.get(r["bin"], (r["low"], r["high"], 0, 0))
+            merged[r["bin"]] = (min(low, r["low"]), max(high, r["high"]), clean + r["clean"], toxic + r["toxic"])
+        return best_cut(*(np.array(x) for x in zip(*(merged[b] for b in sorted(merged)))))
+
+    cuts = np.full(n_languages, cut(bins))
+    for n in range(n_languages):
+        own = [r for r in bins if r["lang"] == n]
+        if min(sum(r[k] for r in own) for k in ("clean", "toxic")) >= MIN_LABELS:
+            cuts[n] = cut(own)
+    return cuts
 
 
 def _scores(model: Model, col: pa.Array) -> np.ndarray:
