@@ -7,9 +7,11 @@ different pages a subtree occurs; one that recurs on ``min_pages`` pages and a s
 its pages. Pages with the same content count once, so copies of an article do not
 make it a template. Elements that name themselves as no content (by tag, role, class
 or id) are deleted as well. If a page has an article (else a main) element, the text
-inside it is the main text; there a recurring subtree is deleted unless it is itself
-running text (a paragraph, heading, list item and the like). Otherwise all text
-that is left is.
+inside it is the main text, otherwise all text that is left is. In an article or main
+element pages count by what these hold, so that copies of an article beside other
+adverts count once; paragraphs, list items, quotations and captions (QUOTABLE) are
+deleted there only if they are on more than half of the host's different ones, and
+headings and table cells, which label the text of the page, never.
 
 White space inside a block becomes one space, blocks are joined by one space, and
 character references are decoded.
@@ -42,6 +44,7 @@ BLOCK = frozenset(
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol "
     "optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr caption figcaption article main body html".split())
+QUOTABLE = frozenset("p li dd blockquote pre figcaption".split())
 NO_CONTENT = frozenset("head nav footer aside form button select option optgroup dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = frozenset(
@@ -201,15 +204,39 @@ def subtree_marks(page: Page) -> list[int]:
     return sorted({e.mark for e in page.elements[1:] if e.mark and e.has_text})
 
 
-def main_text(page: Page, template: frozenset[int] | set[int]) -> str:
+def regions(page: Page) -> list[str]:
+    """For each element, "article" or "main" if it lies in one or is one."""
+    out = [""] * len(page.elements)
+    for n, e in enumerate(page.elements[1:], start=1):
+        out[n] = "article" if e.area == "article" else out[e.parent] or e.area
+    return out
+
+
+def inner_marks(page: Page) -> tuple[list[int], list[int]]:
+    """Hashes of the subtrees that hold text in an article or main element: blocks, and running text."""
+    blocks, running = set(), set()
+    for e, r in zip(page.elements, regions(page)):
+        if r and e.mark and e.has_text and not e.area:
+            if e.tag in QUOTABLE:
+                running.add(e.mark)
+            elif e.tag not in RUNNING:
+                blocks.add(e.mark)
+    return sorted(blocks), sorted(running)
+
+
+def main_text(page: Page, template: frozenset[int] | set[int], inner: frozenset[int] | set[int] | None = None) -> str:
+    """``template``: marks to delete outside of article and main elements, ``inner``: inside."""
     elements = page.elements
+    inner = template if inner is None else inner
     holds = [False] * len(elements)  # an article or main element below
     for n in range(len(elements) - 1, 0, -1):
         holds[elements[n].parent] |= holds[n] or bool(elements[n].area)
-    gone, region = [False] * len(elements), [""] * len(elements)
+    gone, region = [False] * len(elements), regions(page)
     for n, e in enumerate(elements[1:], start=1):
-        region[n] = "article" if e.area == "article" else region[e.parent] or e.area
-        recurs = e.mark in template and not holds[n] and (not region[n] or e.tag not in RUNNING)
+        if region[n]:
+            recurs = e.mark in inner and not holds[n] and not e.area and (e.tag not in RUNNING or e.tag in QUOTABLE)
+        else:
+            recurs = e.mark in template and not holds[n]
         gone[n] = gone[e.parent] or e.dropped or (e.named and not holds[n]) or recurs
     kept = [(region[n], t) for n, t in page.blocks if not gone[n]]
     for wanted in ("article", "main"):
@@ -222,37 +249,55 @@ def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+ANYWHERE, INNER_BLOCK, INNER_TEXT = range(3)  # kinds of marks
+
+
+def _digest(parts) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) >> 1
+
+
 def _marks(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            pages = [parse(h) for h in part.column("html").to_pylist()]
-            content = [xxhash.xxh64_intdigest("\x1f".join(t for _, t in p.blocks)) >> 1 for p in pages]
+            out = []
+            for host, page in zip(part.column("host").to_pylist(), (parse(h) for h in part.column("html").to_pylist())):
+                out.append((host, ANYWHERE, _digest(t for _, t in page.blocks), subtree_marks(page)))
+                if any(inner := inner_marks(page)):
+                    content = _digest([main_text(page, frozenset())])
+                    out += [(host, kind, content, m) for kind, m in zip((INNER_BLOCK, INNER_TEXT), inner)]
+            host, kind, content, marks = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [part.column("host"), pa.array(content, pa.int64()),
-                 pa.array([subtree_marks(p) for p in pages], pa.list_(pa.int64()))], names=["host", "content", "marks"])
+                [pa.array(host, pa.string()), pa.array(kind, pa.int32()), pa.array(content, pa.int64()),
+                 pa.array(marks, pa.list_(pa.int64()))], names=["host", "kind", "content", "marks"])
 
 
-def site_templates(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 5,
-                   min_share: float = 0.2) -> DataFrame:
-    """Rows (host, marks): subtrees that recur on many different pages of the host. A host has at
-    most (subtrees of a page / min_share) of them."""
+def site_marks(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 5,
+               min_share: float = 0.2) -> DataFrame:
+    """Rows (host, kind, mark): subtrees that recur on many different pages of the host."""
     seen = stage(pages.select(_host(F.col(url)).alias("host"), F.col(source).alias("html"))
-                 .mapInArrow(_marks, "host string, content bigint, marks array<bigint>"))
-    different = seen.groupBy("host", "content").agg(F.first("marks").alias("marks"))
-    counts = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(
+                 .mapInArrow(_marks, "host string, kind int, content bigint, marks array<bigint>"))
+    different = seen.groupBy("host", "kind", "content").agg(F.min("marks").alias("marks"))
+    counts = different.select("host", "kind", F.explode("marks").alias("mark")).groupBy("host", "kind", "mark").agg(
         F.count(F.lit(1)).alias("n"))
-    hosts = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    return (counts.join(hosts, "host").filter((F.col("n") >= min_pages) & (F.col("n") >= F.col("n_pages") * min_share))
-            .groupBy("host").agg(F.collect_set("mark").alias("marks")))
+    hosts = different.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("n_pages"))
+    enough = F.when(F.col("kind") == INNER_TEXT, F.col("n") * 2 > F.col("n_pages")).otherwise(
+        F.col("n") >= F.col("n_pages") * min_share)
+    return counts.join(hosts, ["host", "kind"]).filter((F.col("n") >= min_pages) & enough).select("host", "kind", "mark")
+
+
+def site_templates(pages: DataFrame, **settings) -> DataFrame:
+    """Rows (host, marks): subtrees deleted outside of article and main elements."""
+    found = site_marks(pages, **settings).filter(F.col("kind") == ANYWHERE)
+    return found.groupBy("host").agg(F.collect_set("mark").alias("marks"))
 
 
 def _texts(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            texts = [main_text(parse(h), set(m or ()))
-                     for h, m in zip(part.column("html").to_pylist(), part.column("marks").to_pylist())]
+            texts = [main_text(parse(h), set(m or ()), set(inner or ()))
+                     for h, m, inner in zip(*(part.column(c).to_pylist() for c in ("html", "marks", "inner")))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
@@ -262,10 +307,13 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
                       min_pages: int = 5, min_share: float = 0.2, broadcast_hosts: int = 100_000) -> DataFrame:
     """One row per page: key, url, text, n_chars. Up to ``broadcast_hosts`` hosts' templates are
     broadcast; beyond that the pages are joined by host, and skewed hosts are split by AQE."""
-    templates = stage(site_templates(pages, url=url, source=source, min_pages=min_pages, min_share=min_share))
+    outside = F.when(F.col("kind") == ANYWHERE, F.col("mark"))
+    inside = F.when(F.col("kind") != ANYWHERE, F.col("mark"))
+    templates = stage(site_marks(pages, url=url, source=source, min_pages=min_pages, min_share=min_share)
+                      .groupBy("host").agg(F.collect_set(outside).alias("marks"), F.collect_set(inside).alias("inner")))
     side = F.broadcast(templates) if templates.count() <= broadcast_hosts else templates
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"),
                         _host(F.col(url)).alias("host"))
-    out = rows.join(side, "host", "left").select("id", "url", "html", "marks").mapInArrow(
+    out = rows.join(side, "host", "left").select("id", "url", "html", "marks", "inner").mapInArrow(
         _texts, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", key).withColumnRenamed("url", url)
