@@ -1,3 +1,5 @@
+import pytest
+
 from tidetrace.llm.html_text import extract_main_text, main_text, parse
 
 PAGES = "page_id long, url string, html string"
@@ -18,3 +20,12 @@ def test_running_text_on_most_pages_of_a_host_leaves_the_article(spark):
     got = texts(spark, pages)
     assert got[3] == "Story To be text 3 Price 3" and got[9] == "Story text 9 Price 9"
     assert got[20] == "copied" and got[31] == "other 1"
+
+
+@pytest.mark.parametrize("settings", [{}, {"broadcast_marks": 0}])  # marks broadcast, and joined by page
+def test_section_templates_of_a_large_host(spark, settings):
+    pages = [(i, f"http://a.com/{i % 20}/{i}", f"<body><div><ul><li>All of section {i % 20}</ul></div><p>Notice {i % 30}</p>"
+              f"<p>text {i}</p>") for i in range(300)]
+    pages += [(400 + i, f"http://b.com/{i}", f"<body><p>Notice 1</p><p>text {i}</p>") for i in range(4)]
+    got = texts(spark, pages, **settings)
+    assert all(got[i] == f"text {i}" for i in range(300)) and got[400] == "Notice 1 text 0"

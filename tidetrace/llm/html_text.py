@@ -2,9 +2,9 @@
 
 A page is parsed to elements and text blocks. Every block-level element's subtree
 (tags and text, in order) is hashed. Spark counts, for each host, on how many
-different pages a subtree occurs; one that recurs on ``min_pages`` pages and a share
-``min_share`` of the host's pages is part of the site's template and is deleted from
-its pages. Pages with the same content count once, so copies of an article do not
+different pages a subtree occurs; one that recurs on ``min_pages`` pages, however many
+others the host has, is part of the site's template and is deleted from its pages.
+Pages with the same content count once, so copies of an article do not
 make it a template. Elements that name themselves as no content (by tag, role, class
 or id) are deleted as well. If a page has an article (else a main) element, the text
 inside it is the main text, otherwise all text that is left is. In an article or main
@@ -29,6 +29,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -260,60 +261,92 @@ def _marks(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            out = []
-            for host, page in zip(part.column("host").to_pylist(), (parse(h) for h in part.column("html").to_pylist())):
-                out.append((host, ANYWHERE, _digest(t for _, t in page.blocks), subtree_marks(page)))
+            out, row = [], []
+            for n, page in enumerate(parse(h) for h in part.column("html").to_pylist()):
+                out.append((ANYWHERE, _digest(t for _, t in page.blocks), subtree_marks(page)))
                 if any(inner := inner_marks(page)):
                     content = _digest([main_text(page, frozenset())])
-                    out += [(host, kind, content, m) for kind, m in zip((INNER_BLOCK, INNER_TEXT), inner)]
-            host, kind, content, marks = zip(*out)
+                    out += [(kind, content, m) for kind, m in zip((INNER_BLOCK, INNER_TEXT), inner)]
+                row += [n] * (len(out) - len(row))
+            kind, content, marks = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(kind, pa.int32()), pa.array(content, pa.int64()),
-                 pa.array(marks, pa.list_(pa.int64()))], names=["host", "kind", "content", "marks"])
+                [part.column("host").take(pa.array(row)), part.column("page").take(pa.array(row)), pa.array(kind, pa.int32()),
+                 pa.array(content, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                names=["host", "page", "kind", "content", "marks"])
 
 
-def site_marks(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 5,
-               min_share: float = 0.2) -> DataFrame:
+def page_marks(pages: DataFrame, *, url: str = "url", source: str = "html") -> DataFrame:
+    """Rows (host, page, kind, content, marks) of each page; page is the digest of its html."""
+    return stage(pages.select(_host(F.col(url)).alias("host"), _page(F.col(source)).alias("page"), F.col(source).alias("html"))
+                 .mapInArrow(_marks, "host string, page binary, kind int, content bigint, marks array<bigint>"))
+
+
+def _page(source) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(source, F.lit(""))))
+
+
+def site_marks(seen: DataFrame, *, min_pages: int = 5) -> DataFrame:
     """Rows (host, kind, mark): subtrees that recur on many different pages of the host."""
-    seen = stage(pages.select(_host(F.col(url)).alias("host"), F.col(source).alias("html"))
-                 .mapInArrow(_marks, "host string, kind int, content bigint, marks array<bigint>"))
     different = seen.groupBy("host", "kind", "content").agg(F.min("marks").alias("marks"))
     counts = different.select("host", "kind", F.explode("marks").alias("mark")).groupBy("host", "kind", "mark").agg(
         F.count(F.lit(1)).alias("n"))
     hosts = different.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("n_pages"))
-    enough = F.when(F.col("kind") == INNER_TEXT, F.col("n") * 2 > F.col("n_pages")).otherwise(
-        F.col("n") >= F.col("n_pages") * min_share)
-    return counts.join(hosts, ["host", "kind"]).filter((F.col("n") >= min_pages) & enough).select("host", "kind", "mark")
+    most = (F.col("kind") != INNER_TEXT) | (F.col("n") * 2 > F.col("n_pages"))
+    return counts.filter(F.col("n") >= min_pages).join(hosts, ["host", "kind"]).filter(most).select("host", "kind", "mark")
 
 
-def site_templates(pages: DataFrame, **settings) -> DataFrame:
+def site_templates(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 5) -> DataFrame:
     """Rows (host, marks): subtrees deleted outside of article and main elements."""
-    found = site_marks(pages, **settings).filter(F.col("kind") == ANYWHERE)
+    found = site_marks(page_marks(pages, url=url, source=source), min_pages=min_pages).filter(F.col("kind") == ANYWHERE)
     return found.groupBy("host").agg(F.collect_set("mark").alias("marks"))
 
 
-def _texts(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            texts = [main_text(parse(h), set(m or ()), set(inner or ()))
-                     for h, m, inner in zip(*(part.column(c).to_pylist() for c in ("html", "marks", "inner")))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("url"), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+def _found(page: Page, codes: np.ndarray, host: int) -> set[int]:
+    """The marks of a page that are among the sorted ``codes``, each a mark xor its host's hash."""
+    marks = np.array(subtree_marks(page), np.int64)
+    if not len(marks) or not len(codes):
+        return set()
+    own = marks ^ np.int64(host)
+    return set(marks[codes[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] == own].tolist())
+
+
+def _texts(codes):
+    """Main texts; template marks come from the broadcast ``codes``, or without them in the rows."""
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                pages = [parse(h) for h in part.column("html").to_pylist()]
+                if codes:
+                    marks = [[_found(p, c, h) for c in codes.value] for p, h in zip(pages, part.column("code").to_pylist())]
+                else:
+                    marks = [(set(m or ()), set(n or ())) for m, n in zip(*(part.column(c).to_pylist() for c in ("marks", "inner")))]
+                texts = [main_text(p, m, n) for p, (m, n) in zip(pages, marks)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("url"), pa.array(texts, pa.string()),
+                     pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+    return run
 
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html",
-                      min_pages: int = 5, min_share: float = 0.2, broadcast_hosts: int = 100_000) -> DataFrame:
-    """One row per page: key, url, text, n_chars. Up to ``broadcast_hosts`` hosts' templates are
-    broadcast; beyond that the pages are joined by host, and skewed hosts are split by AQE."""
-    outside = F.when(F.col("kind") == ANYWHERE, F.col("mark"))
-    inside = F.when(F.col("kind") != ANYWHERE, F.col("mark"))
-    templates = stage(site_marks(pages, url=url, source=source, min_pages=min_pages, min_share=min_share)
-                      .groupBy("host").agg(F.collect_set(outside).alias("marks"), F.collect_set(inside).alias("inner")))
-    side = F.broadcast(templates) if templates.count() <= broadcast_hosts else templates
+                      min_pages: int = 5, broadcast_hosts: int = 100_000, broadcast_marks: int = 2_000_000) -> DataFrame:
+    """One row per page: key, url, text, n_chars. Up to ``broadcast_marks`` template marks of
+    ``broadcast_hosts`` hosts are broadcast; beyond that each page is joined with its own."""
+    seen = page_marks(pages, url=url, source=source)
+    templates = stage(site_marks(seen, min_pages=min_pages))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"),
-                        _host(F.col(url)).alias("host"))
-    out = rows.join(side, "host", "left").select("id", "url", "html", "marks", "inner").mapInArrow(
-        _texts, f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+                        _host(F.col(url)).alias("host"), _page(F.col(source)).alias("page"))
+    code, inside = F.xxhash64("host"), F.col("kind") != ANYWHERE
+    if templates.count() <= broadcast_marks and templates.select("host").distinct().count() <= broadcast_hosts:
+        codes = templates.select(F.col("mark").bitwiseXOR(code).alias("code"), inside.alias("inside")).toArrow()
+        value, inner = codes.column("code").to_numpy(), codes.column("inside").to_numpy().astype(bool)
+        shared = pages.sparkSession.sparkContext.broadcast((np.unique(value[~inner]), np.unique(value[inner])))
+        out = rows.select("id", "url", "html", code.alias("code"))
+    else:
+        own = (seen.select("host", "page", "kind", F.explode("marks").alias("mark")).distinct()
+               .join(templates, ["host", "kind", "mark"]).groupBy("host", "page")
+               .agg(F.collect_set(F.when(~inside, F.col("mark"))).alias("marks"),
+                    F.collect_set(F.when(inside, F.col("mark"))).alias("inner")))
+        shared, out = None, rows.join(own, ["host", "page"], "left").select("id", "url", "html", "marks", "inner")
+    out = out.mapInArrow(_texts(shared), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", key).withColumnRenamed("url", url)
