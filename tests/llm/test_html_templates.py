@@ -29,3 +29,27 @@ def test_section_templates_of_a_large_host(spark, settings):
     pages += [(400 + i, f"http://b.com/{i}", f"<body><p>Notice 1</p><p>text {i}</p>") for i in range(4)]
     got = texts(spark, pages, **settings)
     assert all(got[i] == f"text {i}" for i in range(300)) and got[400] == "Notice 1 text 0"
+
+
+def test_slugs_in_an_article_are_no_names():
+    def text(h):
+        return main_text(parse(h), set())
+
+    page = ('<div class="sidebar-layout"><article><h2 id="related-work">Related</h2><section id="search-algorithms"><p>A*</section>'
+            '<div class="section" id="social-impact">wide</div><p id="reply-to-critics">no</p><div class="comment-list">x</div>'
+            '<div class="share-buttons">x</div><div id="sidebar">x</div><h2 class="notice">end</h2></article></div>')
+    assert text(page) == "Related A* wide no end"
+    assert text('<main><div id="social-impact">wide</div><div class="sidebar-left">x</div><p>in</main>') == "wide in"
+    assert text('<div id="cookie-banner">x</div><p>plain</p>') == "plain"
+
+
+def test_comment_articles_are_no_articles():
+    def text(h):
+        return main_text(parse(h), set())
+
+    comments = '<section id="comments"><article class="comment"><p>first!</p></article></section>'
+    assert text(f"<article><p>story</p>{comments}</article>") == text(f"<article><p>story</p></article>{comments}") == "story"
+    assert text(f"<p>story</p>{comments}") == "story"
+    assert text('<article><p>story</p><article class="related-article">x</article></article>') == "story"
+    assert text('<article><p>story</p><section class="comments"><article><p>x</p></article></section></article>') == "story"
+    assert text('<div class="widget"><article class="post comment-count-3"><p>story</p></article></div>') == "story"

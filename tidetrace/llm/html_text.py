@@ -6,7 +6,10 @@ different pages a subtree occurs; one that recurs on ``min_pages`` pages, howeve
 others the host has, is part of the site's template and is deleted from its pages.
 Pages with the same content count once, so copies of an article do not
 make it a template. Elements that name themselves as no content (by tag, role, class
-or id) are deleted as well. If a page has an article (else a main) element, the text
+or id) are deleted as well, headings never by a name. In an article whole classes and
+ids count, not single words of a slug (``related-work``), in a main element whole ids;
+an article element nested in an article or in a named subtree goes if its class says that it
+is a comment or a related item. If a page has an article (else a main) element, the text
 inside it is the main text, otherwise all text that is left is. In an article or main
 element pages count by what these hold, so that copies of an article beside other
 adverts count once; paragraphs, list items, quotations and captions (QUOTABLE) are
@@ -55,6 +58,13 @@ NAMES = frozenset(
     "sidebars widget widgets related recommended recommendations share sharing social comment comments commentlist "
     "disqus reply replies respond footer footers masthead toolbar pagination pager login search skip "
     "toc tags".split())
+#: Words that make no slug: a class of NAMES and these is a whole name (``comment-list``).
+GENERIC = frozenset("list box block area body wrap wrapper container bar button buttons post posts article articles link "
+                    "links item items section inner thread".split())
+#: What an article element may be called that is no article of its own.
+ITEMS = frozenset("comment comments reply replies related recommended recommendations promo sponsored ad advert "
+                  "advertisement".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE_NAMES = frozenset("header headers topbar".split())
 #: An open element of the key ends before a start tag of the values.
 ENDS_BEFORE = {
@@ -95,9 +105,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in _ATTR.findall(raw)} if raw.strip(" /") else {}
 
 
-def _element(tag: str, raw: str, parent: int, inside: bool) -> Element:
+def _whole(name: str, wanted: frozenset[str], generic: frozenset[str] = frozenset()) -> bool:
+    """Whether a class or id is made of ``wanted`` (and ``generic``) words alone."""
+    own = set(_NAME.findall(name))
+    return not own.isdisjoint(wanted) and own <= NAMES | generic
+
+
+def _named(tag: str, a: dict[str, str], area: str, clutter: bool) -> bool:
+    classes, own_id = a.get("class", ""), a.get("id", "")
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return (area == "article" or clutter) and any(_whole(c, ITEMS, GENERIC) for c in classes.split())
+    tokens = set(_NAME.findall(classes if area else f"{classes} {own_id}"))
+    if area and _whole(own_id, NAMES):
+        return True
+    if area == "article":
+        return any(_whole(c, NAMES, GENERIC) for c in classes.split())
+    return not tokens.isdisjoint(NAMES) or (not area and not tokens.isdisjoint(OUTSIDE_NAMES))
+
+
+def _element(tag: str, raw: str, parent: int, area: str, clutter: bool) -> Element:
+    """``area``: "article" or "main" if the element lies in one; ``clutter``: it lies in a named subtree."""
     e = Element(tag, parent, tag if tag in ("article", "main") else "")
-    e.dropped = tag in NO_CONTENT or (tag == "header" and not inside)
+    e.dropped = tag in NO_CONTENT or (tag == "header" and not area)
     if not raw:
         return e
     a = _attributes(raw)
@@ -109,9 +140,10 @@ def _element(tag: str, raw: str, parent: int, inside: bool) -> Element:
         e.area = "main"
     if "articlebody" in a.get("itemprop", ""):
         e.area = "article"
-    if ("class" in a or "id" in a) and tag not in ("html", "body", "main", "article"):
-        names = set(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}"))
-        e.named = not names.isdisjoint(NAMES) or (not inside and not names.isdisjoint(OUTSIDE_NAMES))
+    if "class" in a or "id" in a:
+        e.named = _named(tag, a, area, clutter)
+        if e.named and tag == "article":
+            e.area = ""
     return e
 
 
@@ -119,7 +151,7 @@ def parse(text: str | None) -> Page:
     """Elements (the first is the document) and text blocks of a page."""
     elements, blocks, stack, buffer = [Element("", -1)], [], [0], []
     text = text or ""
-    depth = [0]  # open elements that hold the content
+    depth = {"article": 0, "main": 0, "named": 0}  # open elements of a kind
 
     def flush():
         if not buffer:
@@ -138,7 +170,9 @@ def parse(text: str | None) -> Page:
         if block:
             flush()
         stack.pop()
-        depth[0] -= bool(e.area)
+        if e.area:
+            depth[e.area] -= 1
+        depth["named"] -= e.named
         up = elements[e.parent]
         if block:
             e.mark = xxhash.xxh64_intdigest("\x1f".join([e.tag, *e.parts])) >> 1
@@ -187,8 +221,11 @@ def parse(text: str | None) -> Page:
                     break
                 if was in BLOCK and was not in ENDS_BEFORE:
                     break
-        e = _element(tag, m["attrs"], stack[-1], depth[0] > 0)
-        depth[0] += bool(e.area)
+        area = "article" if depth["article"] else "main" if depth["main"] else ""
+        e = _element(tag, m["attrs"], stack[-1], area, depth["named"] > 0)
+        if e.area:
+            depth[e.area] += 1
+        depth["named"] += e.named
         if e.dropped or e.named:  # its text must not join the text before it
             flush()
         elements.append(e)
@@ -238,7 +275,9 @@ def main_text(page: Page, template: frozenset[int] | set[int], inner: frozenset[
             recurs = e.mark in inner and not holds[n] and not e.area and (e.tag not in RUNNING or e.tag in QUOTABLE)
         else:
             recurs = e.mark in template and not holds[n]
-        gone[n] = gone[e.parent] or e.dropped or (e.named and not holds[n]) or recurs
+        # A named wrapper of an article is layout, but not inside another article.
+        named = e.named and (not holds[n] or region[e.parent] == "article")
+        gone[n] = gone[e.parent] or e.dropped or named or recurs
     kept = [(region[n], t) for n, t in page.blocks if not gone[n]]
     for wanted in ("article", "main"):
         if any(r == wanted for r, _ in kept):
