@@ -14,12 +14,12 @@ links. Cells with many rows are cut into chunks that are joined chunk by chunk.
 
 Equal vectors become one class first; a copy costs no comparisons.
 
-The axes are fitted on a bounded sample of ``sample`` vectors; they decide the cost
-only, never the result.
+Vectors are compared with those of equal length, each length with its own axes and
+blocks. The axes are fitted on a bounded sample of ``sample`` vectors, dealt evenly to
+the lengths; they decide the cost only, never the result.
 
-Defined cases: null or zero vectors, vectors with null or non-finite components,
-and vectors of another length than the table's most frequent one link with nothing
-and form their own group; repeated rows are copies; a null key never becomes a
+Defined cases: null, empty or zero vectors and vectors with null or non-finite components
+link with nothing and form their own group; so do vectors of different lengths; repeated rows are copies; a null key never becomes a
 group's id unless the group has no other, and is not kept; an empty table gives no
 rows; other columns are not read.
 """
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import binaries, bounded_sample, stage, text_buffer
+from tidetrace.llm.common import binaries, stage, text_buffer
 from tidetrace.llm.components import connected_components
 
 BLOCKS = 4
@@ -128,28 +128,31 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _place(axes, dtype: str):
     def run(batches):
         for batch in batches:
-            ax = axes.value
-            n_blocks = len(ax.blocks)
-            data, offs = text_buffer(batch.column("vec"))
-            x = np.frombuffer(data.tobytes(), dtype).astype(float).reshape(len(offs) - 1, -1)
-            if not len(x):
-                continue
-            cells = ax.cells(unit(x))
-            # Each row is at home in its own cell of every block and visits the next cell.
-            row = np.repeat(np.arange(len(x)), 2 * n_blocks)
-            block = np.tile(np.repeat(np.arange(n_blocks), 2), len(x))
-            visits = np.tile([0, 1], n_blocks * len(x))
-            cols = [batch.column(c).take(pa.array(row)) for c in ("cls", "copies", "draw")]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(block), pa.array(cells.ravel()[np.arange(len(row)) // 2] + visits), pa.array(visits == 0)],
-                names=["cls", "copies", "draw", "block", "cell", "home"])
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                yield of_length(batch.filter(pa.array(dims == dim)), axes.value[dim])
+
+    def of_length(batch, ax):
+        n_blocks = len(ax.blocks)
+        data, offs = text_buffer(batch.column("vec"))
+        x = np.frombuffer(data.tobytes(), dtype).astype(float).reshape(len(offs) - 1, -1)
+        cells = ax.cells(unit(x))
+        # Each row is at home in its own cell of every block and visits the next cell.
+        row = np.repeat(np.arange(len(x)), 2 * n_blocks)
+        block = np.tile(np.repeat(np.arange(n_blocks), 2), len(x))
+        visits = np.tile([0, 1], n_blocks * len(x))
+        names = ["cls", "copies", "draw", "dim"]
+        cols = [batch.column(c).take(pa.array(row)) for c in names]
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array(block), pa.array(cells.ravel()[np.arange(len(row)) // 2] + visits), pa.array(visits == 0)],
+            names=[*names, "block", "cell", "home"])
     return run
 
 
 def _join_group(axes, dtype: str):
     def run(t: pa.Table) -> pa.Table:
-        ax = axes.value
-        block, i, j = (t.column(c)[0].as_py() for c in ("block", "i", "j"))
+        dim, block, i, j = (t.column(c)[0].as_py() for c in ("dim", "block", "i", "j"))
+        ax = axes.value[dim]
         data, _ = text_buffer(t.column("vec"))
         x = np.frombuffer(data.tobytes(), dtype).astype(float).reshape(t.num_rows, -1)
         chunk = t.column("chunk").to_numpy()
@@ -168,6 +171,20 @@ def _join_group(axes, dtype: str):
     return run
 
 
+def fit_axes(classes: DataFrame, dtype: str, min_cosine: float, blocks: int, sample: int) -> dict[int, Axes]:
+    """Axes of each vector length, from about ``sample`` vectors of all lengths together."""
+    lengths = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    quota = max(1, sample // max(1, len(lengths)))
+    share = classes.sparkSession.createDataFrame([(d, min(1.0, quota / n)) for d, n in lengths.items()], "dim int, share double")
+    draw = F.pmod(F.xxhash64(F.hex("cls"), F.lit(42)), F.lit(1 << 30))
+    drawn = classes.join(F.broadcast(share), "dim").filter(draw < F.col("share") * (1 << 30)).select("dim", "vec").toArrow()
+    dims, out = drawn.column("dim").to_numpy(), {}
+    for dim in lengths:
+        data, _ = text_buffer(drawn.column("vec").filter(pa.array(dims == dim)))
+        out[dim] = Axes(unit(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(-1, dim)), min_cosine, blocks)
+    return out
+
+
 def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", min_cosine: float = 0.9,
                     blocks: int = BLOCKS, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: key, n_links (other rows with cosine >= min_cosine),
@@ -181,30 +198,23 @@ def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     proper = F.coalesce(finite & F.exists(v, lambda e: e != 0), F.lit(False))
-    common = (rows.filter(proper).groupBy(F.size("v").alias("dim")).count()
-              .orderBy(F.desc("count"), "dim").first())
-    dim = common["dim"] if common else 0
-    fit = proper & (F.size("v") == dim) if dim else F.lit(False)
-    blob = F.when(fit, F.col("v"))
+    blob = F.when(proper, v)
     keyed = stage(rows.select("id", blob.alias("v")).mapInArrow(
         _blobs(dtype), f"id {rows.schema['id'].dataType.simpleString()}, vec binary"))
     keyed = keyed.withColumn("cls", F.when(F.col("vec").isNotNull(), F.unhex(F.md5("vec"))))
     classes = stage(keyed.filter("cls is not null").groupBy("cls")
-                    .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")))
-    drawn = bounded_sample(classes, F.hex("cls"), sample).select("vec").toArrow().column("vec")  # about ``sample`` rows
-    data, _ = text_buffer(drawn)
-    axes = spark.sparkContext.broadcast(
-        Axes(unit(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(-1, dim)), min_cosine, blocks)
-        if dim else None)
-
-    placed = classes.select("cls", "copies", "vec", F.abs(F.xxhash64("cls")).alias("draw")).mapInArrow(
-        _place(axes, dtype), "cls binary, copies bigint, draw bigint, block bigint, cell bigint, home boolean")
+                    .agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+                    .withColumn("dim", (F.length("vec") / np.dtype(dtype).itemsize).cast("int")))
+    axes = spark.sparkContext.broadcast(fit_axes(classes, dtype, min_cosine, blocks, sample))
+
+    placed = classes.select("cls", "copies", "vec", "dim", F.abs(F.xxhash64("cls")).alias("draw")).mapInArrow(
+        _place(axes, dtype), "cls binary, copies bigint, draw bigint, dim int, block bigint, cell bigint, home boolean")
     placed = stage(placed)
     # Chunks 0 .. h-1 of a cell hold its own rows, h .. h+g-1 its visitors.
-    sizes = (placed.groupBy("block", "cell").agg(
+    sizes = (placed.groupBy("dim", "block", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("long")) / chunk).alias("h"),
         F.ceil(F.sum((~F.col("home")).cast("long")) / chunk).alias("g")).filter("h > 0"))
-    member = placed.join(sizes, ["block", "cell"])
+    member = placed.join(sizes, ["dim", "block", "cell"])
     number = F.when(F.col("home"), F.pmod("draw", "h")).otherwise(F.col("h") + F.pmod("draw", "g"))
     # A home chunk i meets the chunks from i on; a single home chunk takes single visitors along.
     alone = (F.col("h") == 1) & (F.col("g") <= 1)
@@ -213,10 +223,10 @@ def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     of_visitor = F.expr("transform(sequence(0L, h - 1), t -> named_struct('i', t, 'j', chunk))")
     only = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     meets = F.when(alone, only).when(F.col("home"), of_home).otherwise(of_visitor)
-    groups = (member.select("cls", "copies", "block", "cell", "chunk", "also", F.explode(meets).alias("m"))
-              .select("cls", "copies", "block", "cell", "chunk", "also", "m.i", "m.j")
+    groups = (member.select("cls", "copies", "dim", "block", "cell", "chunk", "also", F.explode(meets).alias("m"))
+              .select("cls", "copies", "dim", "block", "cell", "chunk", "also", "m.i", "m.j")
               .join(classes.select("cls", "vec"), "cls"))
-    found = stage(groups.groupBy("block", "cell", "i", "j")
+    found = stage(groups.groupBy("dim", "block", "cell", "i", "j")
                   .applyInArrow(_join_group(axes, dtype), "cls binary, links bigint, root binary"))
 
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
