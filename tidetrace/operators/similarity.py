@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidetrace.functions.text import squared_norm_of_counts, tokens
 from tidetrace.functions.vectors import cosine_from_parts, dot, norm, rounded
-from tidetrace.session import spread
+from tidetrace.session import ensure_checkpoint_dir, spread
 
 # Upper bound on target values (targets × dims) handled as one chunk; bigger
 # target sets are split into chunks and unioned (exact, no cap).
@@ -173,45 +173,62 @@ def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embe
 
 def _nearest_arrow(posts: DataFrame, chunks: list[DataFrame], vec_col: str, target_id_col: str, target_vec_col: str,
                    id_alias: str, keep: list[str]) -> DataFrame:
-    """``nearest_target`` for many targets: one pass over the posts, a matrix product for
-    each chunk of targets (bounded by ``_target_chunks``) inside the task."""
+    """``nearest_target`` for many targets: a pass for each chunk of targets (bounded by
+    ``_target_chunks``) that carries the best target so far. Each pass but the last is
+    checkpointed and its broadcast released, so only one chunk is held at a time."""
     import numpy as np
 
-    mats = []
-    for chunk in chunks:
+    spark = posts.sparkSession
+    src = posts.select(*keep, F.col(vec_col).alias("_v"), F.lit(None).cast("long").alias("_best_id"),
+                       F.lit(None).cast("double").alias("_best_score"))
+    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in src.schema.fields])
+    done, shared = src, None
+    for n, chunk in enumerate(chunks):
         rows = chunk.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).collect()
-        if rows:
-            ids = np.array([r["tid"] for r in rows], dtype=np.int64)
-            mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows])[np.argsort(ids)]
-            length = np.linalg.norm(mat, axis=1)
-            mat = np.divide(mat, length[:, None], out=np.zeros_like(mat), where=length[:, None] > 0)
-            mats.append(posts.sparkSession.sparkContext.broadcast((np.sort(ids), mat)))
-    src = posts.select(*keep, F.col(vec_col).alias("_v"))
-    schema = T.StructType(src.drop("_v").schema.fields + [T.StructField(id_alias, T.LongType()),
-                                                          T.StructField("similarity", T.DoubleType())])
+        if not rows:
+            continue
+        if shared is not None:
+            ensure_checkpoint_dir(spark)
+            done = done.checkpoint(eager=True)
+            shared.unpersist()
+        ids = np.array([r["tid"] for r in rows], dtype=np.int64)
+        mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows])[np.argsort(ids)]
+        length = np.linalg.norm(mat, axis=1)
+        mat = np.divide(mat, length[:, None], out=np.zeros_like(mat), where=length[:, None] > 0)
+        shared = spark.sparkContext.broadcast((np.sort(ids), mat))
+        done = done.mapInArrow(_nearest_pass(shared), out_schema)
+    if shared is None:
+        done = done.where(F.lit(False))
+    return done.select(*keep, F.col("_best_id").alias(id_alias), F.col("_best_score").alias("similarity"))
+
+
+def _nearest_pass(shared):
+    """Rows with (_best_id, _best_score) replaced where a target of the broadcast chunk is nearer."""
+    import numpy as np
+    import pyarrow as pa
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf) or not mats:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            none = np.zeros(mats[0].value[1].shape[1])
-            x = np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
+            ids, mat = shared.value
+            none = np.zeros(mat.shape[1])
+            x = np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in batch.column("_v").to_pylist()])
             length = np.linalg.norm(x, axis=1)
-            best, score = np.full(len(x), np.iinfo(np.int64).max), np.full(len(x), -np.inf)
+            best = batch.column("_best_id").fill_null(np.iinfo(np.int64).max).to_numpy().copy()
+            score = batch.column("_best_score").fill_null(-np.inf).to_numpy().copy()
             for at in range(0, len(x), 256):
                 own = slice(at, at + 256)
-                for shared in mats:
-                    ids, mat = shared.value
-                    s = np.divide(x[own] @ mat.T, length[own, None], out=np.zeros((len(x[own]), len(ids))),
-                                  where=length[own, None] > 0).round(6)
-                    top, first = s.max(axis=1), ids[s.argmax(axis=1)]
-                    take = (top > score[own]) | ((top == score[own]) & (first < best[own]))
-                    best[own], score[own] = np.where(take, first, best[own]), np.where(take, top, score[own])
-            out = pdf.drop(columns=["_v"])
-            out[id_alias], out["similarity"] = best, score
-            yield out
-
-    return src.mapInPandas(run, schema)
+                s = np.divide(x[own] @ mat.T, length[own, None], out=np.zeros((len(x[own]), len(ids))),
+                              where=length[own, None] > 0).round(6)
+                top, first = s.max(axis=1), ids[s.argmax(axis=1)]
+                take = (top > score[own]) | ((top == score[own]) & (first < best[own]))
+                best[own], score[own] = np.where(take, first, best[own]), np.where(take, top, score[own])
+            names = batch.schema.names
+            new = {"_best_id": pa.array(best), "_best_score": pa.array(score)}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+
+    return run
 
 
 def pair_cosine(df: DataFrame, a: str = "e1", b: str = "e2") -> Column:
