@@ -16,8 +16,8 @@ language of a text is read from its words alone, by counts of hashed words in al
 labelled texts; the language column is not an input of a score.
 
 Only the network is fitted on a sample, of about ``max_rows`` labelled texts of at most
-``max_bytes``. A quarter of it is not trained on, by language and label, and more of a
-kind with few texts, so that MIN_LABELS are left to calibrate on. Every text is scored
+``max_bytes``. A quarter of each label is not trained on, and more of a language's rare
+label, so that MIN_LABELS are left to calibrate on. Every text is scored
 whole.
 
 Defined cases: null and empty texts, and texts without words, are scored as one
@@ -234,16 +234,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
 
 
 def held_back(drawn: list) -> set:
-    """Keys of the sample that are not trained on: every fourth of each language and label, or
-    MIN_LABELS if they are at most half of them."""
-    kinds = {}
+    """Keys of the sample that are not trained on: every fourth of each label, and of a language's
+    label up to MIN_LABELS if these are at most half of them."""
+    kinds, held = {}, set()
+    for label in (0, 1):
+        held.update(list(dict.fromkeys(r["id"] for r in drawn if r["label"] == label))[3::4])
     for r in drawn:
         kinds.setdefault((r["extra"] or "", r["label"]), {})[r["id"]] = True
-    held = set()
     for own in kinds.values():
-        n = max(len(own) // 4, min(len(own) // 2, MIN_LABELS))
-        ids = list(own)
-        held.update(ids[(2 * k + 1) * len(ids) // (2 * n)] for k in range(n))
+        if len(own) >= 2 * MIN_LABELS:
+            missing = MIN_LABELS - sum(i in held for i in own)
+            held.update([i for i in own if i not in held][:max(0, missing)])
     for label in (0, 1):  # a label must be left to train on
         own = [r["id"] for r in drawn if r["label"] == label]
         if held.issuperset(own):
