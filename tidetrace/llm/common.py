@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidetrace.session import ensure_checkpoint_dir
+from tidetrace.session import ensure_checkpoint_dir, scratch_path
 
 SLICE_BYTES = 1 << 20  # text handled at once by a numpy kernel; a longer single text is one slice
 
@@ -29,6 +29,37 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """Write ``df`` into the shared scratch folder; its path and the table read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of `write_table` that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def add_totals(df: DataFrame, totals: DataFrame, key: str, *, few: int = 100_000, salts: int = 64) -> DataFrame:
+    """``df`` with the columns of ``totals`` (one row per key, nulls included).
+
+    Up to ``few`` rows of totals are broadcast. More are joined by key and salt, each of
+    them repeated for every salt, so that a key with a third of the rows spans many tasks.
+    """
+    totals = stage(totals)
+    same = df[key].eqNullSafe(F.col("_key"))
+    right = totals.withColumnRenamed(key, "_key")
+    if totals.count() <= few:
+        return df.join(F.broadcast(right), same, "left").drop("_key")
+    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = left.join(right.hint("shuffle_hash"), left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt2"]),
+                       "left")
+    return joined.drop("_key", "_salt", "_salt2")
+
+
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; null keys are in no fold."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidetrace.llm import oracles
 from tidetrace.llm.common import in_fold, table
 from tidetrace.llm.contamination import find_benchmark, hit_words
 from tidetrace.llm.embeddings import similar_vectors
@@ -20,6 +21,9 @@ from tidetrace.llm.quality import fit_quality, score_quality
 from tidetrace.llm.sharding import shard_rows
 from tidetrace.llm.token_files import read_ids, write_ids
 from tidetrace.llm.toxicity import fit_toxicity, score_toxicity
+from tidetrace.llm.url_filter import host_of, judge_urls, url_key
+from tidetrace.llm.vector_clusters import CENTROIDS, COMPONENTS, ROUNDS as CLUSTER_ROUNDS, cluster_vectors
+from tidetrace.llm.vector_codes import ENTRIES, PARTS, ROUNDS as CODE_ROUNDS, compress_vectors
 from tidetrace.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +119,35 @@ def label_domain():
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(),
                          weights=DOMAIN_WEIGHTS)
+
+
+#: The rules that the contract fixes: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for a block list: host and path of the pages on hosts with a hyphenated name."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").filter(F.contains(host_of(url), F.lit("-"))).select(url_key(url).alias("key"))
+
+
+@query("op11_bloom_cascade")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir), URL_RULES)
+
+
+@query("op12_ball_kmeans_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_laesa_clusters")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+ORACLE_SQL["op11_bloom_cascade"] = oracles.url_filter(URL_RULES)
+ORACLE_SQL["op12_ball_kmeans_codes"] = oracles.vector_codes(ENTRIES, PARTS, CODE_ROUNDS)
+ORACLE_SQL["op13_laesa_clusters"] = oracles.vector_clusters(COMPONENTS, CENTROIDS, CLUSTER_ROUNDS, "3")
