@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def finite(vector: str) -> Column:
 
 def matrix(col: pa.Array) -> np.ndarray:
     """The components of equally long vectors as doubles, one row per vector."""
-    values = pa.compute.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
+    values = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(col), -1) if len(col) else values.reshape(0, 0)
 
 

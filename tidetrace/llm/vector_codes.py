@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def reassign(v: np.ndarray, code: np.ndarray, balls: Balls) -> tuple[np.ndarray,
 def _by_length(batch: pa.RecordBatch):
     """(length, row numbers, components) of the batch's vectors."""
     vectors = batch.column("vector")
-    lengths = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == length)
         x = matrix(vectors.take(pa.array(rows)))
