@@ -53,3 +53,31 @@ def test_comment_articles_are_no_articles():
     assert text('<article><p>story</p><article class="related-article">x</article></article>') == "story"
     assert text('<article><p>story</p><section class="comments"><article><p>x</p></article></section></article>') == "story"
     assert text('<div class="widget"><article class="post comment-count-3"><p>story</p></article></div>') == "story"
+
+
+STORY = "<p>The story goes on.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><svg-icon></svg-icon>{STORY}</article>",
+    f"<article><svg class='i'/>{STORY}</article>",
+    f"<article><svg class='i'><path d='M0'/></svg>{STORY}</article>",
+    f"<body><div id='content' class='content with-sidebar'>{STORY}</div></body>",
+    f"<main><div class='with-sidebar'>{STORY}</div></main>",
+    f"<body><div class='content-sidebar-wrap'>{STORY}</div></body>",
+    f"<body><div id='social-history'>{STORY}</div></body>",
+    f"<body><form id='aspnetForm'><div class='nav-bar'>Home</div><article>{STORY}</article></form></body>",
+    f"<article>{STORY}<p hidden title=\"x>gone</article>",
+    f"<body><div class='site-footer'>f</div><div class='ad-slot'>a</div><div id='related-1'>r</div><div>{STORY}</div></body>",
+    f"<article>{STORY}<form><input><p>Sign up</p></form><svg><title>t</title></svg></article>"])
+def test_pages_whose_story_must_stay(page):
+    assert main_text(parse(page), set()) == "The story goes on."
+
+
+def test_recurrence_decides_where_no_element_names_the_article(spark):
+    frame = ("<body><div><a href=/>Home</a> <a href=/a>About</a></div><div class='x1'><p>Weather: sunny</p><ul><li>Top story"
+             "<li>Most read</ul></div><div class='c'><h1>Title {0}</h1><p>Body of {0}.</p></div><div class='z'>All rights reserved"
+             "</div></body>")
+    pages = [(i, f"http://a.com/{i}", frame.format(i)) for i in range(12)]
+    got = texts(spark, pages)
+    assert all(got[i] == f"Title {i} Body of {i}." for i in range(12))

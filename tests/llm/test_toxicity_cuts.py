@@ -24,7 +24,7 @@ def labelled(spark, n_yy=100, n=2000):
 @pytest.mark.parametrize("keys", [1_000_000, 0])  # labels broadcast, and joined by key
 def test_rare_language_is_calibrated_on_all_labels(spark, keys):
     docs, labels = labelled(spark)
-    model = fit_toxicity(docs, labels, max_rows=200, broadcast_labels=keys)
+    model = fit_toxicity(docs, labels, max_rows=200, broadcast_bytes=keys)
     wrong = [r.doc_id for r in score_toxicity(docs, model).collect() if (r.score >= 0.5) != r.doc_id % 2]
     assert len(model.cuts) == 2 and model.cuts[1] > model.cuts[0] and not wrong
 

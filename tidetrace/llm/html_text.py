@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import stage
+from tidetrace.llm.common import bounded, join_hot, stage
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +61,9 @@ NAMES = frozenset(
 #: Words that make no slug: a class of NAMES and these is a whole name (``comment-list``).
 GENERIC = frozenset("list box block area body wrap wrapper container bar button buttons post posts article articles link "
                     "links item items section inner thread".split())
+#: Words of a place or kind that a name outside of articles may have besides (``site-footer``, ``ad-slot``).
+PLACES = frozenset("site page global main primary secondary top bottom left right side sticky fixed mobile desktop slot unit "
+                   "placeholder form icons icon bar row col column inline google dfp".split())
 #: What an article element may be called that is no article of its own.
 ITEMS = frozenset("comment comments reply replies related recommended recommendations promo sponsored ad advert "
                   "advertisement".split())
@@ -76,8 +79,9 @@ ENDING = frozenset().union(*ENDS_BEFORE.values())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"  # foreign elements may close themselves
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"  # or an open quote
     r"|</?[a-z][^>]*\Z|</\Z", re.S | re.I)
 _ATTR = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -108,7 +112,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def _whole(name: str, wanted: frozenset[str], generic: frozenset[str] = frozenset()) -> bool:
     """Whether a class or id is made of ``wanted`` (and ``generic``) words alone."""
     own = set(_NAME.findall(name))
-    return not own.isdisjoint(wanted) and own <= NAMES | generic
+    return not own.isdisjoint(wanted) and all(w in NAMES or w in wanted or w in generic or w.isdigit() for w in own)
 
 
 def _named(tag: str, a: dict[str, str], area: str, clutter: bool) -> bool:
@@ -117,12 +121,10 @@ def _named(tag: str, a: dict[str, str], area: str, clutter: bool) -> bool:
         return False
     if tag == "article":
         return (area == "article" or clutter) and any(_whole(c, ITEMS, GENERIC) for c in classes.split())
-    tokens = set(_NAME.findall(classes if area else f"{classes} {own_id}"))
-    if area and _whole(own_id, NAMES):
-        return True
     if area == "article":
-        return any(_whole(c, NAMES, GENERIC) for c in classes.split())
-    return not tokens.isdisjoint(NAMES) or (not area and not tokens.isdisjoint(OUTSIDE_NAMES))
+        return _whole(own_id, NAMES) or any(_whole(c, NAMES, GENERIC) for c in classes.split())
+    wanted = NAMES if area else NAMES | OUTSIDE_NAMES
+    return any(_whole(c, wanted, GENERIC | PLACES) for c in (*classes.split(), own_id))
 
 
 def _element(tag: str, raw: str, parent: int, area: str, clutter: bool) -> Element:
@@ -277,7 +279,9 @@ def main_text(page: Page, template: frozenset[int] | set[int], inner: frozenset[
             recurs = e.mark in template and not holds[n]
         # A named wrapper of an article is layout, but not inside another article.
         named = e.named and (not holds[n] or region[e.parent] == "article")
-        gone[n] = gone[e.parent] or e.dropped or named or recurs
+        # A form around the article is the page's frame, as some servers write it.
+        dropped = e.dropped and not (e.tag == "form" and holds[n] and not region[e.parent])
+        gone[n] = gone[e.parent] or dropped or named or recurs
     kept = [(region[n], t) for n, t in page.blocks if not gone[n]]
     for wanted in ("article", "main"):
         if any(r == wanted for r, _ in kept):
@@ -317,7 +321,7 @@ def _marks(batches):
 def page_marks(pages: DataFrame, *, url: str = "url", source: str = "html") -> DataFrame:
     """Rows (host, page, kind, content, marks) of each page; page is the digest of its html."""
     return stage(pages.select(_host(F.col(url)).alias("host"), _page(F.col(source)).alias("page"), F.col(source).alias("html"))
-                 .mapInArrow(_marks, "host string, page binary, kind int, content bigint, marks array<bigint>"))
+                 .transform(bounded).mapInArrow(_marks, "host string, page binary, kind int, content bigint, marks array<bigint>"))
 
 
 def _page(source) -> F.Column:
@@ -327,11 +331,15 @@ def _page(source) -> F.Column:
 def site_marks(seen: DataFrame, *, min_pages: int = 5) -> DataFrame:
     """Rows (host, kind, mark): subtrees that recur on many different pages of the host."""
     different = seen.groupBy("host", "kind", "content").agg(F.min("marks").alias("marks"))
-    counts = different.select("host", "kind", F.explode("marks").alias("mark")).groupBy("host", "kind", "mark").agg(
-        F.count(F.lit(1)).alias("n"))
-    hosts = different.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("n_pages"))
-    most = (F.col("kind") != INNER_TEXT) | (F.col("n") * 2 > F.col("n_pages"))
-    return counts.filter(F.col("n") >= min_pages).join(hosts, ["host", "kind"]).filter(most).select("host", "kind", "mark")
+    counts = stage(different.select("host", "kind", F.explode("marks").alias("mark")).groupBy("host", "kind", "mark").agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
+    # Running text must be on most of the host's pages; a host with many marks may hold a third of them all.
+    running = counts.filter(F.col("kind") == INNER_TEXT)
+    n_pages = different.filter(F.col("kind") == INNER_TEXT).groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    hosts = stage(running.groupBy("host").agg(F.count(F.lit(1)).alias("marks")).join(n_pages, "host"))
+    most = join_hot(running, hosts, "host", "marks").filter(F.col("n") * 2 > F.col("n_pages"))
+    return counts.filter(F.col("kind") != INNER_TEXT).select("host", "kind", "mark").unionByName(
+        most.select("host", "kind", "mark"))
 
 
 def site_templates(pages: DataFrame, *, url: str = "url", source: str = "html", min_pages: int = 5) -> DataFrame:
@@ -387,5 +395,5 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
                .agg(F.collect_set(F.when(~inside, F.col("mark"))).alias("marks"),
                     F.collect_set(F.when(inside, F.col("mark"))).alias("inner")))
         shared, out = None, rows.join(own, ["host", "page"], "left").select("id", "url", "html", "marks", "inner")
-    out = out.mapInArrow(_texts(shared), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    out = bounded(out).mapInArrow(_texts(shared), f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", key).withColumnRenamed("url", url)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import slices, text_buffer
+from tidetrace.llm.common import bounded, slices, text_buffer
 from tidetrace.llm.words import mix
 
 UNKNOWN = "und"
@@ -38,8 +38,11 @@ BITS = 16  # trigrams and words have 2**BITS rows each
 MAX_ROWS = 1_500
 SWITCH = 8.0
 CLIP = 10.0
-SCRIPT_SHARE = 0.01
+SCRIPT_WORDS = 20  # so many sample words, or one in a hundred, admit a script to a language
+MAX_LANGUAGES = 128
+CHUNK_BYTES = 32 << 20  # of the cells of Viterbi blocks held at once
 BLOCK = 32
+WORDS_AT_ONCE = 1 << 16
 # First and last code point of the scripts' letters.
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF),
@@ -83,6 +86,12 @@ class LetterWords:
     grams: np.ndarray  # hashed trigrams of all words
     gram_ptr: np.ndarray  # first trigram of each word
 
+    def words(self, a: int, b: int) -> LetterWords:
+        """Words a .. b - 1, without the texts' borders."""
+        g = self.gram_ptr[a:b + 1]
+        return LetterWords(self.start[a:b], self.size[a:b], self.ptr[:0], self.script[a:b], self.row[a:b],
+                           self.grams[g[0]:g[-1]], g - g[0])
+
 
 def letter_words(data: np.ndarray, offs: np.ndarray) -> LetterWords:
     letter, small, script = _code_points()
@@ -123,11 +132,15 @@ class Model:
     words: np.ndarray
     allowed: np.ndarray  # scripts x languages
 
-    def word_scores(self, w: LetterWords) -> np.ndarray:
+    def relative(self, w: LetterWords) -> np.ndarray:
+        """Clipped scores of words for all languages, whatever their scripts."""
         if not len(w.size):
             return np.zeros((0, len(self.languages)), np.float32)
         s = np.add.reduceat(self.grams[w.grams], w.gram_ptr[:-1], axis=0) + self.words[w.row]
-        s = np.clip(s - s.mean(axis=1, keepdims=True), -CLIP, CLIP)
+        return np.clip(s - s.mean(axis=1, keepdims=True), -CLIP, CLIP)
+
+    def word_scores(self, w: LetterWords) -> np.ndarray:
+        s = self.relative(w)
         allowed = self.allowed[w.script]
         s = np.where(allowed, s, -2 * CLIP)
         s[~allowed.any(axis=1)] = 0
@@ -136,7 +149,7 @@ class Model:
 
 def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Best state of each row: states in a sequence score their rows, a change costs ``penalty``.
-    Sequences are rows ptr[t] .. ptr[t + 1]."""
+    Sequences are rows ptr[t] .. ptr[t + 1]. Blocks' cells are held a few at a time."""
     n, states = scores.shape
     path = np.zeros(n, np.int64)
     if not n:
@@ -144,29 +157,36 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float = SWITCH) -> np.
     size = np.diff(ptr)
     count = -(-size // BLOCK)  # blocks of each sequence
     block0 = np.concatenate([[0], count.cumsum()])
-    seq = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(n) - ptr[seq]
-    block, slot = block0[seq] + inside // BLOCK, inside % BLOCK
-    cells = np.zeros((block0[-1], BLOCK, states))  # rows past a sequence's end score nothing
-    cells[block, slot] = scores
-    # Best score from each state before a block to each state at its end.
-    best = np.broadcast_to(np.where(np.eye(states, dtype=bool), 0.0, -penalty), (len(cells), states, states)).copy()
-    best += cells[:, 0, None, :]
-    for t in range(1, BLOCK):
-        np.maximum(best, best.max(axis=2, keepdims=True) - penalty, out=best)
-        best += cells[:, t, None, :]
+    of_block = np.repeat(np.arange(len(size)), count)
+    first = ptr[of_block] + (np.arange(len(of_block)) - block0[of_block]) * BLOCK
+    last = np.minimum(first + BLOCK, ptr[of_block + 1])
+
+    def cells(blocks: np.ndarray) -> np.ndarray:
+        """Scores of the blocks' rows; those past a sequence's end score nothing."""
+        rows = first[blocks][:, None] + np.arange(BLOCK)
+        inside = rows < last[blocks][:, None]
+        return np.where(inside[:, :, None], scores[np.where(inside, rows, 0)], 0.0)
+
+    at_once = max(1, CHUNK_BYTES // (8 * states * (states + 3 * BLOCK)))
     # Chain the blocks of all sequences, longest sequences first.
     order = np.argsort(-count, kind="stable")
     most = int(count.max())
     live = [int(np.searchsorted(-count[order], -k, side="left")) for k in range(most)]
     total = np.zeros((len(size), states))
-    came = np.zeros((len(cells), states), np.int64)
+    came = np.zeros((len(of_block), states), np.int16)
     for k in range(most):
-        own = order[:live[k]]
-        step = total[own][:, :, None] + best[block0[own] + k]
-        came[block0[own] + k] = step.argmax(axis=1)
-        total[own] = step.max(axis=1)
-    before, after = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+        for a in range(0, live[k], at_once):
+            own = order[a:min(a + at_once, live[k])]
+            inner = cells(block0[own] + k)
+            # Best score from each state before a block to each state at its end.
+            best = np.where(np.eye(states, dtype=bool), 0.0, -penalty) + inner[:, 0, None, :]
+            for t in range(1, BLOCK):
+                np.maximum(best, best.max(axis=2, keepdims=True) - penalty, out=best)
+                best += inner[:, t, None, :]
+            best += total[own][:, :, None]
+            came[block0[own] + k] = best.argmax(axis=1)
+            total[own] = best.max(axis=1)
+    before, after = np.zeros(len(of_block), np.int64), np.zeros(len(of_block), np.int64)
     state = total.argmax(axis=1)
     for k in range(most - 1, -1, -1):
         own = order[:live[k]]
@@ -174,56 +194,63 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float = SWITCH) -> np.
         after[b] = state[own]
         state[own] = before[b] = came[b, state[own]]
     # Paths inside blocks, between the known states.
-    v = np.where(np.arange(states) == before[:, None], 0.0, -np.inf)
-    come = np.zeros((len(cells), BLOCK, states), np.int64)
-    for t in range(BLOCK):
-        top = v.argmax(axis=1)
-        jump = v.max(axis=1)[:, None] - penalty
-        come[:, t] = np.where(v >= jump, np.arange(states), top[:, None])
-        v = np.maximum(v, jump) + cells[:, t]
-    inner = np.zeros((len(cells), BLOCK), np.int64)
-    now, rows = after, np.arange(len(cells))
-    for t in range(BLOCK - 1, -1, -1):
-        inner[:, t] = now
-        now = come[rows, t, now]
-    path[:] = inner[block, slot]
+    for a in range(0, len(of_block), at_once):
+        blocks = np.arange(a, min(a + at_once, len(of_block)))
+        inner = cells(blocks)
+        v = np.where(np.arange(states) == before[blocks][:, None], 0.0, -np.inf)
+        come = np.zeros(inner.shape, np.int16)
+        for t in range(BLOCK):
+            top = v.argmax(axis=1)
+            jump = v.max(axis=1)[:, None] - penalty
+            come[:, t] = np.where(v >= jump, np.arange(states), top[:, None])
+            v = np.maximum(v, jump) + inner[:, t]
+        now, own = after[blocks], np.arange(len(blocks))
+        for t in range(BLOCK - 1, -1, -1):
+            rows = first[blocks] + t
+            inside = rows < last[blocks]
+            path[rows[inside]] = now[inside]
+            now = come[own, t, now]
     return path
 
 
 def _count(names: list[str]):
+    place = {name: n for n, name in enumerate(names)}
+
     def run(batches):
         for batch in batches:
-            lang = np.array([names.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             data, offs = text_buffer(batch.column("text"))
-            table = np.zeros((3, len(names), 1 << BITS), np.int64)
             for i, j in slices(offs):
+                found = []
                 w = letter_words(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 of_word = lang[i:j][np.searchsorted(w.ptr[1:], np.arange(len(w.size)), side="right")]
                 for row, kind, cell in ((0, np.repeat(of_word, w.size), w.grams), (1, of_word, w.row),
                                         (2, of_word, w.script)):
-                    c = np.bincount(kind * (1 << BITS) + cell, minlength=len(names) << BITS)
-                    table[row] += c.reshape(len(names), -1)
-            kind, l, cell = np.nonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(l), pa.array(cell), pa.array(table[kind, l, cell])],
-                names=["kind", "lang", "cell", "n"])
+                    found.append((row * len(names) + kind) * (1 << BITS) + cell)
+                code, n = np.unique(np.concatenate(found), return_counts=True)
+                kind, own = np.divmod(code >> BITS, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(own), pa.array(code & ((1 << BITS) - 1)), pa.array(n)],
+                                                 names=["kind", "lang", "cell", "n"])
     return run
 
 
 def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                  max_rows: int = MAX_ROWS) -> Model:
+                  max_rows: int = MAX_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Fit on ``docs``, which holds only rows that may be learnt from. ``max_rows`` is for each language;
-    what reaches the driver is a table of 2**BITS cells for each language."""
+    the ``max_languages`` with most rows are learnt. What reaches the driver is a table of 2**BITS cells
+    for each language."""
     rows = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = {r["lang"]: r["count"] for r in most}
     names = sorted(sizes)
+    rows = rows.filter(F.col("lang").isin(names))
     if not names:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros((1 << BITS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
     share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, max_rows / sizes[n]))])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     counts = (rows.filter(draw < share[F.col("lang")]).select("lang", "text")
-              .mapInArrow(_count(names), "kind bigint, lang bigint, cell bigint, n bigint")
+              .transform(bounded).mapInArrow(_count(names), "kind bigint, lang bigint, cell bigint, n bigint")
               .groupBy("kind", "lang", "cell").agg(F.sum("n").alias("n")).toArrow())
     table = np.zeros((3, len(names), 1 << BITS))
     table[tuple(counts.column(c).to_numpy() for c in ("kind", "lang", "cell"))] = counts.column("n").to_numpy()
@@ -234,7 +261,7 @@ def fit_languages(docs: DataFrame, *, text: str = "text", lang: str = "lang", ke
 
     scripts = table[2, :, :len(SCRIPT_NAMES)].T
     return Model(names, relative(table[0]), relative(table[1]),
-                 scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
+                 scripts >= np.clip(0.01 * scripts.sum(axis=0), 1, SCRIPT_WORDS))
 
 
 def label(model: Model, data: np.ndarray, offs: np.ndarray):
@@ -243,14 +270,27 @@ def label(model: Model, data: np.ndarray, offs: np.ndarray):
     w = letter_words(data, offs)
     if not model.languages or not len(w.size):
         return [UNKNOWN] * n, np.zeros(n), [np.zeros(0, np.int64)] * 4
-    path = viterbi(model.word_scores(w), w.ptr)
-    usable = model.allowed[w.script].any(axis=1)
+    # Word scores of some texts at a time: a row of them for each word and language.
+    path = np.zeros(len(w.size), np.int64)
+    allowed = model.allowed[w.script].any(axis=1)
+    raw = np.zeros((n, len(model.languages)))
+    t = 0
+    while t < n:
+        u = max(t + 1, int(np.searchsorted(w.ptr, w.ptr[t] + WORDS_AT_ONCE, side="right")) - 1)
+        a, b = w.ptr[t], w.ptr[u]
+        part = w.words(a, b)
+        path[a:b] = viterbi(model.word_scores(part), w.ptr[t:u + 1] - a)
+        for x in np.flatnonzero(np.diff(w.ptr[t:u + 1]) > 0) + t:  # texts whose words no language's script covers
+            if not allowed[w.ptr[x]:w.ptr[x + 1]].any():
+                raw[x] = model.relative(w.words(w.ptr[x], w.ptr[x + 1])).sum(axis=0)
+        t = u
     text = np.searchsorted(w.ptr[1:], np.arange(len(path)), side="right")
     letters = np.zeros((n, len(model.languages)))
-    np.add.at(letters, (text[usable], path[usable]), w.size[usable])
+    np.add.at(letters, (text[allowed], path[allowed]), w.size[allowed])
     total = letters.sum(axis=1)
-    best = letters.argmax(axis=1)
-    languages = [model.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
+    best = np.where(total > 0, letters.argmax(axis=1), raw.argmax(axis=1))
+    some = np.diff(w.ptr) > 0
+    languages = [model.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())]
     score = letters[np.arange(n), best] / np.maximum(1, total)
     new = np.ones(len(path), bool)
     new[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
@@ -279,6 +319,6 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_pred", "score", "spans"][:len(cols)])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double"
+    out = bounded(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double"
                           + ", spans array<struct<first: bigint, end: bigint, lang: string>>" * spans)
     return out.withColumnRenamed("id", key)

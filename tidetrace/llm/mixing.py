@@ -15,6 +15,9 @@ step is its memberships times M^-1 e. Every step is one distributed sum: the dri
 keeps only the K-vector of each step, and each task recomputes its rows' rates from
 them. The fitted rates are thus a short list of K-vectors that applies to any document.
 
+The steps end when all targets are met to TOLERANCE, or after ``steps`` of them: targets
+that no rates of at least min_rate reach cannot be met. ``met`` and the totals reached say so.
+
 ``copies`` is the rate rounded up or down by a hash of key and text, with the rate as
 expectation.
 
@@ -34,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import slices, stage, text_buffer
+from tidetrace.llm.common import bounded, slices, stage, text_buffer
 from tidetrace.llm.quality import BITS, MAX_BYTES, PRIOR_WORDS, SCALE, examples_of, features, ftrl, labelled_texts
 
 MAX_ROWS = 2_000
 STEPS = 40
 TOLERANCE = 1e-4
+MET = 0.01
 TEMPER = 0.7
 
 
@@ -85,7 +89,8 @@ class Rates:
     steps: list[np.ndarray]
     min_rate: float
     targets: np.ndarray
-    reached: np.ndarray | None = None
+    reached: np.ndarray | None = None  # expected tokens of the domains at these rates
+    met: bool = False  # whether these are within MET of all tokens wanted
 
     def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates of documents with memberships p; ``ahead``: at the point where the next step is taken."""
@@ -97,28 +102,29 @@ class Rates:
         return look if ahead else rate
 
 
-def _sums(shared, n: int, ahead: bool):
-    """Expected tokens of each domain (cells 0 .. n-1), and the n x n sums of t p p' after them."""
+def _sums(shared, n: int, ahead: bool, moment: bool):
+    """Expected tokens of each domain (cells 0 .. n-1) and, with ``moment``, the n x n sums of t p p' after them."""
     def run(batches):
-        total = np.zeros(n + n * n)
+        total = np.zeros(n + n * n * moment)
         for batch in batches:
             t = batch.column("n_tokens").to_numpy().astype(float)
             p = np.stack(batch.column("p").to_numpy(zero_copy_only=False)) if len(t) else np.zeros((0, n))
             total[:n] += (t * shared.value.of(p, ahead)) @ p
-            total[n:] += ((t[:, None] * p).T @ p).ravel()
+            if moment:
+                total[n:] += ((t[:, None] * p).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "total"])
     return run
 
 
-def _expected(members: DataFrame, rates: Rates, n: int, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+def _expected(members: DataFrame, rates: Rates, n: int, *, ahead: bool = False, moment: bool = False):
     shared = members.sparkSession.sparkContext.broadcast(rates)
-    rows = (members.mapInArrow(_sums(shared, n, ahead), "cell bigint, total double")
+    rows = (members.mapInArrow(_sums(shared, n, ahead, moment), "cell bigint, total double")
             .groupBy("cell").agg(F.sum("total").alias("total")).collect())  # n + n * n rows
     shared.unpersist()
-    out = np.zeros(n + n * n)
+    out = np.zeros(n + n * n * moment)
     for r in rows:
         out[r["cell"]] = r["total"]
-    return out[:n], out[n:].reshape(n, n)
+    return (out[:n], out[n:].reshape(n, n)) if moment else out
 
 
 def fit_rates(members: DataFrame, domains: list[str], *, weights: dict[str, float] | None = None,
@@ -127,10 +133,10 @@ def fit_rates(members: DataFrame, domains: list[str], *, weights: dict[str, floa
     default the present shares raised to TEMPER. ``budget`` is the tokens wanted in all; by
     default as many as no domain has to shrink for."""
     k = len(domains)
-    have, moment = _expected(members, Rates([], min_rate, np.zeros(k)), k, False)
+    have, moment = _expected(members, Rates([], min_rate, np.zeros(k)), k, moment=True)
     total = have.sum()
     if not total:
-        return Rates([], min_rate, np.zeros(k), have)
+        return Rates([], min_rate, np.zeros(k), have, True)
     share = have / total
     want = np.array([weights.get(d, 0.0) for d in domains], float) if weights else share ** TEMPER
     if not want.sum() > 0:
@@ -141,11 +147,15 @@ def fit_rates(members: DataFrame, domains: list[str], *, weights: dict[str, floa
         budget = float((have[there] / want[there]).max())
     rates = Rates([], min_rate, want * budget)
     whiten = np.linalg.inv(moment / total + 1e-9 * np.eye(k))
-    at = have
-    while len(rates.steps) < steps and np.abs(at - rates.targets).max() > TOLERANCE * budget:
+    at = rates.reached = have
+    while np.abs(at - rates.targets).max() > TOLERANCE * budget:
+        if len(rates.steps) == steps:
+            break
         rates.steps.append(whiten @ (at - rates.targets) / total)
-        at, _ = _expected(members, rates, k, True)
-    rates.reached, _ = _expected(members, rates, k, False)
+        at = _expected(members, rates, k, ahead=True)
+    if rates.steps:
+        rates.reached = _expected(members, rates, k)
+    rates.met = bool(np.abs(rates.reached - rates.targets).max() <= MET * budget)
     return rates
 
 
@@ -163,8 +173,8 @@ def memberships(docs: DataFrame, model: DomainModel, *, key: str = "doc_id", tex
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                        F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("crc"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, crc bigint, n_tokens bigint, "
-                               "p array<double>")
+    out = bounded(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, crc bigint, n_tokens bigint, "
+                                        "p array<double>")
     return out.withColumnRenamed("id", key)
 
 
@@ -175,7 +185,9 @@ def draw(key: Column, crc: Column, seed: int = 23) -> Column:
 
 def mix_documents(docs: DataFrame, labels: DataFrame, domain: Column, *, key: str = "doc_id", text: str = "text",
                   max_rows: int = MAX_ROWS, **targets) -> DataFrame:
-    """One row per input row: key, n_tokens, domain (likeliest), posterior (its), rate, copies."""
+    """One row per input row: key, n_tokens, domain (likeliest), posterior (its), rate, target and
+    reached (expected tokens of that domain: wanted, and at the fitted rates), met (no domain is
+    further than MET of all tokens wanted from its target), copies."""
     model = fit_domains(docs, labels, domain, key=key, text=text, max_rows=max_rows)
     members = stage(memberships(docs, model, key=key, text=text))
     rates = fit_rates(members.select("n_tokens", "p"), model.domains, **targets)
@@ -189,11 +201,13 @@ def mix_documents(docs: DataFrame, labels: DataFrame, domain: Column, *, key: st
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("crc"), batch.column("n_tokens"),
                  pa.array([names[b] for b in best.tolist()], pa.string()), pa.array(p[np.arange(len(p)), best]),
-                 pa.array(r.of(p))], names=["id", "crc", "n_tokens", "domain", "posterior", "rate"])
+                 pa.array(r.of(p)), pa.array(r.targets[best]), pa.array(r.reached[best]),
+                 pa.array(np.full(len(p), r.met))],
+                names=["id", "crc", "n_tokens", "domain", "posterior", "rate", "target", "reached", "met"])
 
     rows = members.withColumnRenamed(key, "id")
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, crc bigint, n_tokens bigint, "
-                               "domain string, posterior double, rate double")
+                               "domain string, posterior double, rate double, target double, reached double, met boolean")
     copies = F.floor(F.col("rate") + draw(F.col("id"), F.col("crc"))).cast("long")
     return out.withColumn("copies", copies).drop("crc").withColumnRenamed("id", key)
 
@@ -212,11 +226,15 @@ def resample(docs: DataFrame, labels: DataFrame, domain: Column, *, key: str = "
             m, r = shared.value
             _, p = m.memberships(*text_buffer(batch.column(at)))
             copies = np.floor(r.of(p) + batch.column(n).to_numpy()).astype(np.int64)
-            yield batch.select(list(range(n))).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+            own, wanted = batch.select(list(range(n))), np.repeat(np.arange(len(copies)), copies)
+            size = np.full(len(copies), own.nbytes // max(1, len(copies)) + 1)
+            size += np.diff(text_buffer(batch.column(at))[1])
+            for i, j in slices(np.concatenate([[0], np.cumsum(size[wanted])])):
+                yield own.take(pa.array(wanted[i:j]))
 
     crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     name = "draw"
     while name in docs.columns:
         name += "_"
     drawn = docs.withColumn(name, draw(F.col(key), crc))
-    return drawn.mapInArrow(run, docs.schema)
+    return bounded(drawn).mapInArrow(run, docs.schema)

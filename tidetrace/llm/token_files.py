@@ -2,7 +2,8 @@
 
 Whole texts are encoded with a tokenizer file, an end id closes every document, and
 all ids are written in ascending key order. The code is built from the counts of
-all ids (package-merge, at most 16 bits) and stored as one row for each used id.
+all ids (package-merge; at most 16 bits, more where so many ids are used that these
+would not do) and stored as one row for each used id.
 The files hold independent blocks of whole documents, about ``block_ids`` ids each
 (a longer document is a block of its own). A block has its bit string, the bit
 offset of every ``every``-th id, and its documents' keys and lengths, so it is
@@ -13,7 +14,7 @@ A directory holds ``blocks`` (files in order, rows in order) and ``code``. Both
 written and read by Spark, so any store that Spark reaches will do.
 
 Defined cases: null and empty texts are the end id alone; a null key sorts first;
-rows that repeat a key are all written, ordered by text; an empty table makes an
+rows that repeat a key are all written, ordered by a hash of the text; an empty table makes an
 empty directory that reads back as no rows; other columns are not read.
 """
 
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidetrace.llm.common import binaries, single_threaded, slices, stage, text_buffer
+from tidetrace.llm.common import binaries, bounded, single_threaded, slices, stage, text_buffer
 from tidetrace.llm.words import byte_class, hash_spans, mix
 
-MAX_BITS = 16
+MIN_LIMIT, LARGEST_LIMIT = 16, 24  # bits of the longest code
+SPARE = 4  # bytes after a bit string, which a look-up may read
 BLOCK_IDS = 1 << 18
 EVERY = 256
 CACHED_PIECES = 300_000  # in each of two generations
@@ -202,9 +204,12 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["symbol", "n"])
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal prefix-code lengths of at most ``limit`` bits, by package-merge."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal prefix-code lengths of at most ``limit`` bits, by package-merge. By default
+    16 bits, or one more than equal lengths would take where that is not enough."""
     n = len(counts)
+    if limit is None:
+        limit = max(MIN_LIMIT, min(LARGEST_LIMIT, n.bit_length() + 1))
     if n > 1 << limit:
         raise ValueError(f"{n} symbols need more than {limit} bits")
     if n < 2:
@@ -238,14 +243,15 @@ class Code:
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
         order = np.lexsort((symbols, lengths))
         self.symbols, self.lengths = symbols[order], lengths[order]
-        step = np.int64(1) << (MAX_BITS - self.lengths)
+        self.bits = max(MIN_LIMIT, int(lengths.max(initial=0)))
+        step = np.int64(1) << (self.bits - self.lengths)
         first = np.concatenate([[0], step.cumsum()[:-1]]) if len(step) else step
         top = int(symbols.max()) + 1 if len(symbols) else 1
         self.bits_of, self.length_of = np.zeros(top, np.int64), np.zeros(top, np.int64)
-        self.bits_of[self.symbols] = first >> (MAX_BITS - self.lengths)
+        self.bits_of[self.symbols] = first >> (self.bits - self.lengths)
         self.length_of[self.symbols] = self.lengths
-        # 16 bits seen -> symbol, and length in the low five bits
-        self.seen = np.ones(1 << MAX_BITS, np.int64)
+        # as many bits as the longest code has -> symbol, and length in the low five bits
+        self.seen = np.ones(1 << self.bits, np.int64)
         self.seen[:int(step.sum())] = np.repeat(self.symbols << 5 | self.lengths, step)
 
     def write(self, ids: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
@@ -253,24 +259,27 @@ class Code:
         length = self.length_of[ids]
         end = length.cumsum()
         at = end - length
-        value = self.bits_of[ids] << (24 - (at & 7) - length)
-        out = np.zeros(int(end[-1] + 7) // 8 + 3 if len(ids) else 0, np.uint8)
-        for k, shift in enumerate((16, 8, 0)):  # codes share bytes but no bits, so sums are unions
+        value = self.bits_of[ids] << (32 - (at & 7) - length)
+        out = np.zeros(int(end[-1] + 7) // 8 + SPARE if len(ids) else 0, np.uint8)
+        for k, shift in enumerate((24, 16, 8, 0)):  # codes share bytes but no bits, so sums are unions
             got = np.bincount((at >> 3) + k, weights=(value >> shift) & 255, minlength=len(out))
             out += got.astype(np.uint8)
         return out.tobytes(), at[::every]
 
     def read(self, bits: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """Ids of stretches that begin at bits ``at`` and hold ``size`` ids, decoded in step.
-        ``bits`` ends with three spare bytes."""
-        wide = (bits[:-2].astype(np.int64) << 16) | (bits[1:-1].astype(np.int64) << 8) | bits[2:]
+        ``bits`` ends with SPARE bytes."""
+        wide = np.zeros(max(0, len(bits) - 3), np.int64)
+        for k in range(4):
+            wide = wide << 8 | bits[k:len(bits) - 3 + k]
+        skip, mask = 32 - self.bits, (1 << self.bits) - 1
         order = np.argsort(-size, kind="stable")
         at, size = at[order].copy(), size[order]
         out = np.zeros((int(size[0]) if len(size) else 0, len(size)), np.int64)
         for k in range(len(out)):
             live = int(np.searchsorted(-size, -k, side="left"))
             a = at[:live]
-            got = self.seen[(wide[a >> 3] >> (8 - (a & 7))) & 0xFFFF]
+            got = self.seen[(wide[a >> 3] >> (skip - (a & 7))) & mask]
             out[k, :live] = got
             a += got & 31
         ids = np.ascontiguousarray((out >> 5).astype(np.uint32).T)
@@ -315,9 +324,12 @@ def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, *, key: str
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType
-    ordered = (rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # Rows that share a key go to several tasks: the order goes on by the text's hash and a row number.
+    order = ["id", "hash", "row"]
+    ordered = (rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+               .repartitionByRange(n, *order).sortWithinPartitions(*order)
                .select(F.spark_partition_id().alias("part"), "id", "text"))
-    ids = stage(ordered.mapInArrow(_encode(tokenizer_path, end_id),
+    ids = stage(bounded(ordered).mapInArrow(_encode(tokenizer_path, end_id),
                                    f"part int, seq bigint, id {kind.simpleString()}, before bigint, n bigint, ids binary"))
     counts = (ids.select("ids").mapInArrow(_counts, "symbol bigint, n bigint")
               .groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect())  # at most one row per symbol
@@ -365,7 +377,7 @@ def read_ids(spark: SparkSession, directory: str, *, key: str = "doc_id", with_i
     code = (np.array([r["symbol"] for r in rows], np.int64), np.array([r["length"] for r in rows], np.int64))
     blocks = spark.read.parquet(f"{directory}/blocks")
     kind = blocks.schema["ids"].dataType.elementType
-    out = blocks.mapInArrow(
+    out = bounded(blocks).mapInArrow(
         _read(spark.sparkContext.broadcast(code), with_ids, to_arrow_type(kind)),
         f"id {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
     return out.withColumnRenamed("id", key)

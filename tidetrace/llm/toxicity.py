@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import slices, stage, text_buffer
+from tidetrace.llm.common import bounded, slices, stage, text_buffer
 from tidetrace.llm.quality import MAX_BYTES, labelled_texts
 from tidetrace.llm.words import ALNUM, hash_spans, mix, words
 
@@ -51,6 +51,7 @@ MIN_TEXTS = 3  # sample texts that hold a word, for the word to have an embeddin
 _FOLDED = mix(np.arange(2000, 2256, dtype=np.uint64)) | np.uint64(1)
 _FOLDED[0x41:0x5B] = _FOLDED[0x61:0x7B]
 MIN_LABELS = 8  # of either kind, for a language's own cut
+ROW_BYTES = 64  # of a broadcast row besides its key
 BINS = 256  # of a unit of the logit, to calibrate on
 
 
@@ -202,9 +203,9 @@ def _hashed(texts: list[str | None]) -> list[np.ndarray]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
                  language: str | None = "lang", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
-                 broadcast_labels: int = 2_000_000) -> Model:
-    """Fit on ``labels``, which holds only rows that may be learnt from. Up to ``broadcast_labels``
-    labelled keys are broadcast; beyond that the texts are joined by key."""
+                 broadcast_bytes: int = 32 << 20) -> Model:
+    """Fit on ``labels``, which holds only rows that may be learnt from. Labelled keys are broadcast if
+    they take at most ``broadcast_bytes``; beyond that the texts are joined by key."""
     binary = F.when(F.col(label).isin(0, 1), F.col(label).cast("int"))
     drawn = labelled_texts(docs, labels, binary, key=key, text=text, extra=language, max_rows=max_rows,
                            max_bytes=max_bytes)
@@ -221,7 +222,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
     trained = docs.sparkSession.createDataFrame(
         [(i,) for i in sorted({drawn[n]["id"] for n in learn})], number.select("id").schema)
     number = number.join(F.broadcast(trained.withColumn("trained", F.lit(True))), "id", "left")
-    side = F.broadcast(number) if number.count() <= broadcast_labels else number
+    size = number.agg(F.sum(F.octet_length(F.col("id").cast("string")) + ROW_BYTES)).first()[0] or 0
+    side = F.broadcast(number) if size <= broadcast_bytes else number.hint("merge")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                        (F.col(language) if language else F.lit(None)).cast("string").alias("lang")).join(side, "id")
     model.languages = language_model(rows)
@@ -272,7 +274,7 @@ def _language_words(batches):
 def language_model(rows: DataFrame) -> np.ndarray:
     """Log-probabilities of hashed words by language, over all rows (text, lang) that name one."""
     found = (rows.filter("lang is not null").select("text", "lang")
-             .mapInArrow(_language_words, "lang string, bucket bigint, n bigint")
+             .transform(bounded).mapInArrow(_language_words, "lang string, bucket bigint, n bigint")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     lang = np.array(found.column("lang").to_pylist(), object)
     names = sorted(set(lang.tolist())) or [""]
@@ -297,7 +299,7 @@ def logit_bins(rows: DataFrame, model: Model) -> list:
                      pa.array(z), batch.column("clean").slice(i, j - i), batch.column("toxic").slice(i, j - i)],
                     names=["lang", "bin", "z", "clean", "toxic"])
 
-    scored = rows.select("text", "clean", "toxic").mapInArrow(run, "lang bigint, bin bigint, z double, clean bigint, toxic bigint")
+    scored = bounded(rows.select("text", "clean", "toxic")).mapInArrow(run, "lang bigint, bin bigint, z double, clean bigint, toxic bigint")
     return scored.groupBy("lang", "bin").agg(F.min("z").alias("low"), F.max("z").alias("high"), F.sum("clean").alias("clean"),
                                              F.sum("toxic").alias("toxic")).collect()
 
@@ -337,7 +339,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
                                              names=["id", "score"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", key)
+    return bounded(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", key)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -348,4 +350,4 @@ def drop_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
