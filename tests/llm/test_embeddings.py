@@ -37,3 +37,11 @@ def test_repeated_rows_and_empty(spark):
     assert got == [(0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (5, 0, 5, True)]
     assert similar_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     assert similar_vectors(spark.createDataFrame([(1, None, 0)], VECTORS)).collect()[0].component_id == 1
+
+
+def test_values_of_any_size(spark):
+    rows = [(1, [1e200, 1e199]), (2, [1e199, 1e200]), (3, [1e-200, 1e-201]), (4, [1.7e308, 1.7e307]), (5, [5e-324, 0.0]),
+            (6, [3.0, 0.0]), (7, [-1e-320, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(df).collect()}
+    assert got == {1: (4, 1), 2: (0, 2), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (0, 7)}

@@ -9,11 +9,12 @@ import __spark_entry__ as entry
 from tidetrace.llm import queries
 
 SF = "/root/testdata/sf0.001"
+stages = dict(cp.STAGES)
 
 
 def test_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(names)
     assert [name for name, _ in cp.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "token_ids"]
@@ -49,3 +50,33 @@ def test_stages_against_brute_force(spark, tmp_path):
         n = len(tok.encode(text[r.doc_id] or "", add_special_tokens=False).ids) + 1
         assert (r.start, r.n_tokens) == (at, n)
         at += n
+
+
+def test_repeated_and_null_keys_are_judged_by_their_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, one, "en", "a", "u"), (1, two, "en", "a", "u"), (1, one, "de", "a", "u"), (1, one, "de", "a", None),
+            (2, two + " tail", "en", "b", "v"), (None, three, "en", "b", "v"), (None, one, "en", "b", "v"), (3, None, "en", "b", "v"),
+            (3, None, "en", "b", "v"), (4, "", "en", "b", "v"), (5, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string").repartition(3)
+    for order in (docs, docs.repartition(1)):
+        got = stages["near_dedup"](spark, order, "").collect()
+        assert sorted((r.doc_id or 0, r.text or "", r.lang or "", r.row or "") for r in got) == sorted([
+            (1, one, "de", ""), (1, two, "en", "u"), (0, three, "en", "v"), (3, "", "en", "v"), (4, "", "en", "v"), (5, "", "", "")])
+    assert stages["near_dedup"](spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_on_odd_tables(spark):
+    rows = [(1, "a good page about rivers", None, None, "c"), (1, "a good page about rivers", None, None, "c"),
+            (None, None, "en", "s", "c"), (7, "", "en", "s", "c"), (8, "word " * 60_000, "xx", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label string")
+    for c in ("id", "draw", "score", "kept", "cls", "items", "p"):
+        docs = docs.selectExpr("*", f"1 AS {c}")
+    for name, stage in stages.items():
+        got = stage(spark, docs, SF)
+        if name == "token_ids":
+            assert sorted((r.doc_id or 0, r.n_tokens) for r in got.collect())[:2] == [(0, 1), (1, got.filter("doc_id = 1").first().n_tokens)]
+        else:
+            assert got.columns == docs.columns
+            kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+            assert sorted(set(kept)) == sorted({(r[0] or 0, r[1] or "") for r in rows})
+        assert stage(spark, docs.limit(0), SF).count() == 0

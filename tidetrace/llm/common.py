@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidetrace.session import ensure_checkpoint_dir, scratch_path
 
+BATCH_BYTES = 2 << 20
 SLICE_BYTES = 1 << 20  # text handled at once by a numpy kernel; a longer single text is one slice
 
 
@@ -60,6 +62,34 @@ def add_totals(df: DataFrame, totals: DataFrame, key: str, *, few: int = 100_000
     return joined.drop("_key", "_salt", "_salt2")
 
 
+def join_hot(df: DataFrame, right: DataFrame, key: str, rows: str, *, hottest: int = 1000) -> DataFrame:
+    """``df`` left joined with ``right``, which has one row per key and in ``rows`` the key's rows in ``df``.
+
+    Keys that hold more than one in ``hottest`` of the rows are fewer than ``hottest``; they
+    are broadcast, so that their rows stay where they are. All others are joined by a
+    shuffle of the key. Both inputs are read more than once: stage them.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    limit = max(1, total // hottest)
+    hot = F.broadcast(right.filter(F.col(rows) > limit).drop(rows))
+    cold = right.filter(F.col(rows) <= limit).drop(rows)
+    rest = df.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key, "left")
+    return df.join(hot, key).unionByName(rest)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` for ``mapInArrow`` over whole texts, in batches of about BATCH_BYTES (one row at least).
+
+    A batch is held by Spark's writer, by the worker and in what the worker makes of it. The
+    session's spark.sql.execution.arrow.maxBytesPerBatch is lowered if it is larger.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; null keys are in no fold."""
     return F.coalesce(F.crc32(key.cast("string")) % modulus == remainder, F.lit(False))

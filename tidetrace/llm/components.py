@@ -24,15 +24,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hook = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
                      .select("node", F.least("node", "least").alias("root")))
         hooks.append(hook)
-        ha = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        hb = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        # Merge joins: a broadcast takes 16 MB of the driver's heap at least, and there are many rounds.
+        ha = hook.select(F.col("node").alias("a"), F.col("root").alias("ra")).hint("merge")
+        hb = hook.select(F.col("node").alias("b"), F.col("root").alias("rb")).hint("merge")
         edges = stage(edges.join(ha, "a").join(hb, "b").filter("ra <> rb")
                       .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not hooks:
         return edges.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("root"))
-    roots = hooks[0]
-    for hook in hooks[1:]:
-        nxt = hook.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        roots = roots.join(nxt, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    # From the last round back: what a round's hook points at may be hooked further.
     # A contracted node that lost its last link keeps the hook it had; chains end here.
-    return stage(roots)
+    roots = hooks.pop()
+    while hooks:
+        hook, nxt = hooks.pop(), roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        roots = stage(hook.join(nxt.hint("merge"), "root", "left")
+                      .select("node", F.coalesce("further", "root").alias("root")))
+    return roots

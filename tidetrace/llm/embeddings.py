@@ -19,9 +19,10 @@ blocks. The axes are fitted on a bounded sample of ``sample`` vectors, dealt eve
 the lengths; they decide the cost only, never the result.
 
 Defined cases: null, empty or zero vectors and vectors with null or non-finite components
-link with nothing and form their own group; so do vectors of different lengths; repeated rows are copies; a null key never becomes a
-group's id unless the group has no other, and is not kept; an empty table gives no
-rows; other columns are not read.
+link with nothing and form their own group; vectors of different lengths are not linked;
+components of any finite size are scaled by powers of two first, so none overflows;
+repeated rows are copies; a null key never becomes a group's id unless the group has no
+other, and is not kept; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import binaries, stage, text_buffer
+from tidetrace.llm.common import binaries, join_hot, stage, text_buffer
 from tidetrace.llm.components import connected_components
 
 BLOCKS = 4
@@ -42,6 +43,12 @@ SLACK = 1e-4
 SAMPLE = 20_000
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component lies in 0.5 to 1: cosines
+    keep their bits, and squares of very large or small components neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
@@ -135,7 +142,7 @@ def _place(axes, dtype: str):
     def of_length(batch, ax):
         n_blocks = len(ax.blocks)
         data, offs = text_buffer(batch.column("vec"))
-        x = np.frombuffer(data.tobytes(), dtype).astype(float).reshape(len(offs) - 1, -1)
+        x = scaled(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(len(offs) - 1, -1))
         cells = ax.cells(unit(x))
         # Each row is at home in its own cell of every block and visits the next cell.
         row = np.repeat(np.arange(len(x)), 2 * n_blocks)
@@ -154,7 +161,7 @@ def _join_group(axes, dtype: str):
         dim, block, i, j = (t.column(c)[0].as_py() for c in ("dim", "block", "i", "j"))
         ax = axes.value[dim]
         data, _ = text_buffer(t.column("vec"))
-        x = np.frombuffer(data.tobytes(), dtype).astype(float).reshape(t.num_rows, -1)
+        x = scaled(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(t.num_rows, -1))
         chunk = t.column("chunk").to_numpy()
         copies = t.column("copies").to_numpy()
         home = np.flatnonzero(chunk == i)
@@ -181,7 +188,7 @@ def fit_axes(classes: DataFrame, dtype: str, min_cosine: float, blocks: int, sam
     dims, out = drawn.column("dim").to_numpy(), {}
     for dim in lengths:
         data, _ = text_buffer(drawn.column("vec").filter(pa.array(dims == dim)))
-        out[dim] = Axes(unit(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(-1, dim)), min_cosine, blocks)
+        out[dim] = Axes(unit(scaled(np.frombuffer(data.tobytes(), dtype).astype(float).reshape(-1, dim))), min_cosine, blocks)
     return out
 
 
@@ -231,16 +238,17 @@ def similar_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
 
     roots = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     n_links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    grouped = (classes.drop("vec").join(n_links, "cls", "left")
-               .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-               .withColumn("root", F.coalesce("root", "cls")))
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("component"))
-    of_class = grouped.join(least, "root").select(
-        "cls", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = keyed.select("id", "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                      component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    grouped = stage(classes.drop("vec").join(n_links, "cls", "left")
+                    .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+                    .select("cls", "least_id", "copies", F.coalesce("root", "cls").alias("root"),
+                            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = stage(grouped.groupBy("root").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("members")))
+    of_class = stage(join_hot(grouped, least, "root", "members").select("cls", "component", "copies", "n_links"))
+    of_vector = join_hot(keyed.filter("cls is not null").select("id", "cls"), of_class, "cls", "copies")
+    alone = keyed.filter("cls is null").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    out = of_vector.select("id", "component", "n_links").unionByName(alone)
+    return out.select(F.col("id").alias(key), "n_links", F.col("component").alias("component_id"),
+                      F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def _blobs(dtype: str):

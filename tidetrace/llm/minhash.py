@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import binaries, long_lists, slices, stage, text_buffer
+from tidetrace.llm.common import binaries, bounded, join_hot, long_lists, slices, stage, text_buffer
 from tidetrace.llm.components import connected_components
 from tidetrace.llm.words import NON_SPACE, Words, gram_hash, mix, pair_hash, words
 
@@ -208,14 +208,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """One row per input row: key, n_shingles, component_id (smallest key of its
     group), kept (key = component_id). Links need 100 * intersection >= percent * union."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketches = stage(rows.mapInArrow(
+    sketches = stage(bounded(rows).mapInArrow(
         _sketches(k), f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, cls binary, "
                       "s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"))
 
     # One member stands for all texts with the same set.
     classes = (sketches.filter("cls is not null").groupBy("cls")
                .agg(F.first("n_shingles").alias("n"), *[F.first(f"s{c}").alias(f"s{c}") for c in range(4)],
-                    F.first("bands").alias("bands"), F.min("id").alias("least_id")))
+                    F.first("bands").alias("bands"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
     classes = stage(classes)
     # Bands are searched under eight-byte names; two classes of one name only add candidates.
     named = classes.withColumn("sid", F.xxhash64("cls"))
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = (cells.groupBy("band").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("members"))
               .filter("members > 1").drop("members"))
     members = stage(cells.join(shared, "band"))
-    near = stage(members.select("sid").distinct().join(named.drop("bands", "least_id"), "sid"))
+    near = stage(members.select("sid").distinct().join(named.drop("bands", "least_id", "copies"), "sid"))
     texts = (sketches.select("id", "cls").join(near.select("cls"), "cls", "left_semi")
              .groupBy("cls").agg(F.min("id").alias("id")))
     # A repeated key may bring other texts along; _sets keeps those of the wanted class.
@@ -275,14 +275,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
               .select("band", "cls", "root", "chunk", "m.i", "m.j")
               .join(near.drop("sid"), "cls").join(sets, "cls"))
     more = stage(groups.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a binary, b binary"))
-    if not more.isEmpty():
-        roots = connected_components(links.unionAll(more))
-
-    groups = classes.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "least_id", F.coalesce("root", "cls").alias("root"))
-    least = groups.groupBy("root").agg(F.min("least_id").alias("component"))
-    of_class = groups.join(least, "root").select("cls", "component")
-    out = sketches.select("id", "n_shingles", "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    # The links found there join components of the first run.
+    joined = connected_components(more).select(F.col("node").alias("root"), F.col("root").alias("further"))
+
+    grouped = stage(classes.select("cls", "least_id", "copies")
+                    .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+                    .withColumn("root", F.coalesce("root", "cls"))
+                    .join(joined, "root", "left")
+                    .select("cls", "least_id", "copies", F.coalesce("further", "root").alias("root")))
+    least = stage(grouped.groupBy("root").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("members")))
+    of_class = stage(join_hot(grouped, least, "root", "members").select("cls", "component", "copies"))
+    of_text = join_hot(sketches.filter("cls is not null").select("id", "n_shingles", "cls"), of_class, "cls", "copies")
+    out = of_text.select("id", "n_shingles", "component").unionByName(
+        sketches.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"),
+                      F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

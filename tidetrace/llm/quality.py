@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidetrace.llm.common import bounded_sample, slices, text_buffer
+from tidetrace.llm.common import bounded, bounded_sample, slices, text_buffer
 from tidetrace.llm.words import NON_SPACE, byte_class, gram_hash, hash_spans, mix, pair_hash, words
 
 BITS = 18
@@ -147,6 +147,6 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], *, key: str
                   text: str = "text") -> DataFrame:
     """One row per input row: key, score (probability of label 1)."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)),
+    out = bounded(rows).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)),
                           f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.withColumnRenamed("id", key)

@@ -151,3 +151,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op11_bloom_cascade"] = oracles.url_filter(URL_RULES)
 ORACLE_SQL["op12_ball_kmeans_codes"] = oracles.vector_codes(ENTRIES, PARTS, CODE_ROUNDS)
 ORACLE_SQL["op13_laesa_clusters"] = oracles.vector_clusters(COMPONENTS, CENTROIDS, CLUSTER_ROUNDS, "3")
+ORACLE_SQL["op6_winnowing"] = oracles.benchmark_hits(10)
+ORACLE_SQL["op9_subspace_pigeonhole"] = oracles.similar_vectors(0.9)
+ORACLE_SQL["op10_circulant_minhash"] = oracles.near_duplicates(2, 80)
