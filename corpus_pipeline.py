@@ -6,7 +6,8 @@ All stages but the last return the columns of documents.
 
 1. toxicity: documents that the convolutional classifier marks as toxic go.
 2. near_dedup: of each group of near-duplicates (five-word shingles, Jaccard 0.8 or
-   more) the document with the smallest doc_id stays.
+   more) the document with the smallest doc_id stays. Rows are told apart by doc_id and
+   text: one of several with the same doc_id goes only as a near-duplicate of another.
 3. decontaminate: documents that hold ten consecutive words of a benchmark item (or
    a whole shorter item) go.
 4. mix: documents are repeated by fitted rates so that the label domains' expected
@@ -14,8 +15,9 @@ All stages but the last return the columns of documents.
 5. token_ids: ids are written as Huffman-coded files and read back; one row per document
    copy with doc_id, start, n_tokens, ids_crc32.
 
-Rows with a null doc_id cannot be named as duplicates and pass stage 2; of rows that
-repeat a kept doc_id one stays. Null and empty texts pass all stages.
+In stage 2 a row with a null doc_id stays only if its group has no other; documents
+without words are near-duplicates of nothing, but of rows that repeat doc_id and text one
+stays, the first by all columns. Null and empty texts pass all stages.
 """
 
 from __future__ import annotations
@@ -44,13 +46,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, k=5, percent=80)
-    stay = found.filter("kept").select("doc_id")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = docs.join(stay, "doc_id", "left_semi")
-    columns = docs.columns
-    named = named.select(F.struct(*columns).alias("row"), "doc_id").withColumn("nth", once).filter("nth = 1")
-    return named.select("row.*").unionByName(docs.filter("doc_id is null"))
+    row = next(name for name in ("row", "row_", "row__", "row___") if name not in docs.columns)
+    named = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id",
+                                          F.xxhash64("text").alias("text")))
+    stay = near_duplicates(named, key=row, k=5, percent=80).filter("kept").select(row)
+    # Rows that repeat doc_id and text: the first one by all columns, chosen within each task first.
+    nth = F.row_number().over(Window.partitionBy(row).orderBy(*docs.columns))
+    return named.join(stay, row, "left_semi").withColumn("nth of " + row, nth).filter(F.col("nth of " + row) == 1).select(
+        *docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
