@@ -61,7 +61,7 @@ def test_text_reader(spark, tmp_path):
 
 def test_saved_analysis_header(spark, tmp_path):
     p = tmp_path / "analysis.csv"
-    p.write_text("# Analysis Results - Generated 2024-01-15T10:30:00.000Z\n# Target: Election fraud: Target: x\n"
+    p.write_text("# Analysis Results - Generated 2031-05-06T07:08:09.000Z\n# Target: Election fraud: Target: x\n"
                  "# Date Range: 2020-11-01 to 2020-11-18\n"
                  "# Threshold: 0\n# Datasets: a.csv, b.csv\n# Total Records: 2\n\n"
                  "Tweet,Datetime,Similarity\n\"x, y\",2020-11-19 10:00:00,0.61\nz,2020-11-10,0.55\n", encoding="utf-8")

@@ -174,6 +174,38 @@ def q_stream_timeline(spark, sf_dir):
     return ts.latest_versions(spark, out, ["bucket_start", "ChannelName"])
 
 
+EXPORT_TEXT = """CASE WHEN post_id % 5 = 0 THEN '#tag ' || Tweet WHEN post_id % 7 = 0 THEN '# Target: a line of a post' || chr(10) || Tweet
+            WHEN post_id % 11 = 0 THEN '' WHEN post_id % 13 = 0 THEN NULL WHEN post_id % 17 = 0 THEN '"' || Tweet || '",' || chr(13) || chr(10)
+            ELSE Tweet END"""
+
+
+@register("export_files", sql=f"""
+WITH {T}
+SELECT {EXPORT_TEXT} AS Tweet, post_id, Datetime, 'all posts of ' || datasetName AS targetNarrative, datasetName,
+       0.0 AS threshold, CAST(count(*) OVER (PARTITION BY datasetName) AS BIGINT) AS n_posts, TRUE AS count_matches
+FROM T
+""")
+def q_export_files(spark, sf_dir):
+    """SNK3 + SRC6 + JN5: every dataset exported as CSV files with their metadata lines on top, all read
+    back together. The texts hold posts that begin with '#', cells with a line like '# Target: ...',
+    line breaks, quotes, empty and null texts."""
+    base = _scratch(spark, "export files")
+    t = tb.text_posts(spark, sf_dir).withColumn("Tweet", F.expr(EXPORT_TEXT.replace("chr(", "char(")))
+    names = sorted(r[0] for r in t.select("datasetName").distinct().collect())
+    for name in names:
+        rows = t.where(F.col("datasetName") == name).select("Tweet", "post_id", "Datetime")
+        run = spark.createDataFrame([(name, "2024-01-01", "2024-01-30", f"all posts of {name}", 0.0, [name], rows.count())],
+                                    "run_id string, startDate string, endDate string, targetNarrative string, threshold double, "
+                                    "selectedDatasets array<string>, totalRecords bigint").withColumn(
+            "generatedAt", F.current_timestamp())
+        wr.export_files(rows, run, f"{base}/{name}", max_file_bytes=1 << 20)
+    back = sv.read_exported(spark, [f"{base}/{name}" for name in names])
+    n = back.groupBy(F.col("selectedDatasets")[0].alias("datasetName")).agg(F.count(F.lit(1)).alias("n_posts"))
+    return back.withColumn("datasetName", F.col("selectedDatasets")[0]).join(F.broadcast(n), "datasetName").select(
+        "Tweet", F.col("post_id").cast("bigint").alias("post_id"), F.col("Datetime").cast("timestamp_ntz").alias("Datetime"),
+        "targetNarrative", "datasetName", "threshold", "n_posts", "count_matches")
+
+
 @register("export_roundtrip", sql=f"""
 WITH {V},
 Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 0),

@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidetrace.functions.text import channel_key
 
@@ -73,18 +73,20 @@ def save_run(result: DataFrame, base_path: str, *, target: str, start: str | Non
     return run
 
 
+def metadata_lines(run: Row, total: int) -> list[str]:
+    """The header lines of an export; a line break in a value would end the line and becomes a space."""
+    values = {
+        "Target": run["targetNarrative"], "Date Range": f"{run['startDate']} to {run['endDate']}", "Threshold": run["threshold"],
+        "Datasets": ", ".join(run["selectedDatasets"] or []), "Total Records": total}
+    lines = [f"# Analysis Results - Generated {run['generatedAt'].isoformat()}", *(f"# {k}: {v}" for k, v in values.items())]
+    return [" ".join(x.splitlines()) for x in lines]
+
+
 def export_with_header(result: DataFrame, run: DataFrame, path: str) -> None:
     """SNK3: CSV rows (all cells quoted, quotes doubled) plus the metadata
     header lines as a side file ``_header.txt`` written from the RUN row."""
     r = run.first()
-    lines = [
-        f"# Analysis Results - Generated {r['generatedAt'].isoformat()}",
-        f"# Target: {r['targetNarrative']}",
-        f"# Date Range: {r['startDate']} to {r['endDate']}",
-        f"# Threshold: {r['threshold']}",
-        f"# Datasets: {', '.join(r['selectedDatasets'] or [])}",
-        f"# Total Records: {r['totalRecords']}",
-    ]
+    lines = metadata_lines(r, r["totalRecords"])
     (result.write.mode("overwrite").option("header", True).option("quoteAll", True)
            .option("escape", '"').option("nullValue", "").csv(f"{path}/rows"))
     spark = result.sparkSession
@@ -92,6 +94,41 @@ def export_with_header(result: DataFrame, run: DataFrame, path: str) -> None:
          .write.mode("overwrite").text(f"{path}/_header")
 
 
+def csv_cell(value: Column) -> Column:
+    """A cell as text: quoted, with its quotes doubled, if it holds a comma, quote or line break. A null
+    is an empty cell, an empty text is a quoted one."""
+    text = value.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.isNull(), F.lit("")).when(text.rlike('[,"\\r\\n]') | (text == ""), quoted).otherwise(text)
+
+
+def export_files(result: DataFrame, run: DataFrame, path: str, *, max_file_bytes: int = 128 << 20) -> int:
+    """SNK3: the result as CSV files that each begin with the run's metadata lines, a blank line and
+    the column names. Up to ``max_file_bytes`` of rows make one file; more are dealt by hash to as
+    many files as needed, written in parallel, each with its own row count. Returns the number of files.
+
+    ``read_exported`` gives the rows back without loss. ``result`` is read twice: export a saved run.
+    """
+    r = run.first()
+    columns = result.columns
+    line = F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in columns])
+    if len(columns) == 1:  # an empty line would be no row
+        line = F.when(F.col(f"`{columns[0]}`").isNull(), F.lit('""')).otherwise(line)
+    rows = result.select(line.alias("line"))
+    total = rows.agg(F.sum(F.octet_length("line") + 1)).first()[0] or 0
+    n = max(1, -(-total // max_file_bytes))
+    file_no = F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")
+    rows = rows.select(file_no.alias("file_no"), F.lit(1).alias("part"), F.lit(0).alias("nth"), "line")
+    counts = {x["file_no"]: x["count"] for x in rows.groupBy("file_no").count().collect()}  # one row a file
+    names = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in columns)
+    lead = [(f, 0, i, text) for f in range(n) for i, text in enumerate(
+        [*metadata_lines(r, counts.get(f, 0)), "", names])]
+    head = result.sparkSession.createDataFrame(lead, "file_no int, part int, nth int, line string")
+    (head.unionByName(rows).repartition(n, "file_no").sortWithinPartitions("file_no", "part", "nth", "line")
+         .select("file_no", "line").write.mode("overwrite").partitionBy("file_no").text(path))
+    return n
+
+
 def write_prepared(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK4: persist a prepared post table as parquet (multi-line CSV is not
     splittable, so it is converted once and queried from parquet after)."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidetrace.functions.parse import parse_datetime
 from tidetrace.operators.prepare import author_context
+from tidetrace.sources.quoted_csv import read_quoted_csv
 
 # Fixed value: texts read as null (pandas' default null words, D14).
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -23,21 +25,24 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 def read_csv_posts(spark: SparkSession, paths: str | Sequence[str], *, schema: T.StructType | None = None,
                    null_words: Sequence[str] | None = NULL_WORDS, strip_invalid: bool = True) -> DataFrame:
     """SRC1: header CSV whose quoted cells may hold newlines; every column as
-    text unless a schema is given; undecodable bytes removed (D15); null words
-    applied per column (D14). Adds AuthorTweet and the source file name.
+    text unless a schema is given (its columns by name, cells that do not fit are
+    null); undecodable bytes removed (D15); null words applied per column (D14).
+    Adds AuthorTweet and the source file name.
 
-    Multi-line CSV cannot be split inside a file: convert once to parquet
-    (``write_prepared``) before repeated queries.
+    A file is read by as many tasks as it has splits (``read_quoted_csv``).
     """
-    r = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-              .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
     try:
-        df = (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(_paths(paths))
-    except Exception as e:  # noqa: BLE001 - missing or unreadable input
+        df = read_quoted_csv(spark, _paths(paths))
+    except ValueError:
+        raise ValueError(f"post file(s) {_paths(paths)} are empty") from None
+    except AnalysisException as e:  # a path that does not exist or cannot be listed
         raise ValueError(f"cannot read post file(s) {_paths(paths)}: {str(e).splitlines()[0][:200]}") from e
-    if not df.columns:
-        raise ValueError(f"post file(s) {_paths(paths)} are empty")
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    df = df.withColumn("source_file", F.element_at(F.split(F.expr("url_decode(replace(source_path, '+', '%2B'))"), "/"), -1)).drop(
+        "source_path", "source_block", "source_line", "lead")
+    if schema is not None:
+        known = {c.lower(): c for c in df.columns}
+        df = df.select(*[(F.col(f"`{known[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in known
+                          else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], "source_file")
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
