@@ -1,5 +1,8 @@
 """Exact positions and quantiles without funnelling a group into one task.
 
+Quantiles need no order of the rows: they come from counts (``order_statistics``).
+
+
 A plain ``row_number().over(Window.partitionBy(g).orderBy(o))`` sends a whole
 group to one task; with one group holding a third of all rows that task
 becomes the job. Here rows are range-partitioned on (group, order) so a hot
@@ -10,8 +13,12 @@ per (partition, group) piece).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import struct
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidetrace.session import ensure_checkpoint_dir
@@ -62,26 +69,83 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     return out.drop("_pid", "_mid")
 
 
+DIGIT_BITS = 16
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles (-0.0 as 0.0)."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _double_of(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", raw))[0]
+
+
+def _digit_counts(prefixes: list[int], digits: int):
+    """Rows (prefix number, next digit, n) of the values that begin with each prefix of ``digits`` digits."""
+    def run(batches):
+        counts = np.zeros((len(prefixes), 1 << DIGIT_BITS), np.int64)
+        for batch in batches:
+            bits = _ordered_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64))
+            digit = (bits >> np.uint64(64 - DIGIT_BITS * (digits + 1))).astype(np.int64) & ((1 << DIGIT_BITS) - 1)
+            for i, prefix in enumerate(prefixes):
+                own = digit if not digits else digit[bits >> np.uint64(64 - DIGIT_BITS * digits) == np.uint64(prefix)]
+                counts[i] += np.bincount(own, minlength=1 << DIGIT_BITS)
+        i, d = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(d), pa.array(counts[i, d])], names=["i", "digit", "n"])
+    return run
+
+
+def order_statistics(df: DataFrame, value_col: str, ranks: Callable[[int], Sequence[int]]) -> dict[int, float]:
+    """The values at given 0-based ranks of a column's non-null doubles, by radix selection.
+
+    Doubles become integers of the same order. Four passes count the next 16 bits of the
+    values that begin with the bits found so far; a task returns counts only, so neither a
+    sort nor a shuffle of values takes place, and many equal values are one count. ``ranks``
+    gets the number of values and names the ranks wanted. ``value_col`` is read in each pass.
+    """
+    vals = df.select(F.col(value_col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    wanted: dict[int, tuple[int, int]] = {}
+    for digits in range(64 // DIGIT_BITS):
+        prefixes = sorted({p for p, _ in wanted.values()}) or [0]
+        found = vals.mapInArrow(_digit_counts(prefixes, digits), "i bigint, digit bigint, n bigint").groupBy("i", "digit").agg(
+            F.sum("n").alias("n")).collect()  # at most 65,536 rows a prefix
+        table = np.zeros((len(prefixes), 1 << DIGIT_BITS), np.int64)
+        for r in found:
+            table[r["i"], r["digit"]] = r["n"]
+        if not digits:
+            total = int(table.sum())
+            wanted = {k: (0, k) for k in ranks(total) if 0 <= k < total}
+            if not wanted:
+                return {}
+        upto = table.cumsum(axis=1)
+        for k, (prefix, left) in wanted.items():
+            own = upto[prefixes.index(prefix)]
+            digit = int(np.searchsorted(own, left, side="right"))
+            wanted[k] = (prefix << DIGIT_BITS | digit, left - (int(own[digit - 1]) if digit else 0))
+    return {k: _double_of(bits) for k, (bits, _) in wanted.items()}
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """One-row DataFrame of linearly interpolated quantiles (like numpy's
-    default / SQL ``quantile_cont``), found by a distributed sort instead of
-    an aggregate that holds every value in one task."""
+    default / SQL ``quantile_cont``), by radix selection; nulls without values."""
     names = list(names or [f"q{int(p * 100)}" for p in probs])
-    vals = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = group_positions(vals, [], ["_v"], position_col="_pos", size_col="_n")
-    exprs = []
-    for p, name in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, frac = F.floor(h), h - F.floor(h)
-        v_lo = F.max(F.when(F.col("_pos") == lo, F.col("_v")))
-        v_hi = F.max(F.when(F.col("_pos") == F.least(lo + 1, F.col("_n") - 1), F.col("_v")))
-        f = F.max(frac)
-        exprs.append((v_lo + f * (v_hi - v_lo)).alias(name))
-    # Only the rows at the needed positions reach the aggregate.
-    near = None
+    size: list[int] = []
+
+    def ranks(n: int) -> list[int]:
+        size.append(n)
+        return sorted({min(int(math.floor((n - 1) * p)) + i, n - 1) for p in probs for i in (0, 1)})
+
+    at = order_statistics(df, value_col, ranks)
+    out = []
     for p in probs:
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        c = (F.col("_pos") == F.floor(h)) | (F.col("_pos") == F.least(F.floor(h) + 1, F.col("_n") - 1))
-        near = c if near is None else (near | c)
-    return ranked.where(near).agg(*exprs)
+        if not at:
+            out.append(None)
+            continue
+        h = (size[0] - 1) * float(p)
+        lo = int(math.floor(h))
+        out.append(at[lo] + (h - lo) * (at[min(lo + 1, size[0] - 1)] - at[lo]))
+    return df.sparkSession.createDataFrame([tuple(out)], ", ".join(f"`{n}` double" for n in names))

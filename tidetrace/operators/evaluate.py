@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidetrace.functions.ranking import exact_quantiles
-from tidetrace.functions.stats import exact_mean, pct, pearson_p_value
+from tidetrace.functions.stats import exact_mean, p_value, pct, pearson_p_value
 from tidetrace.operators.similarity import pair_cosine
 
 # Fixed values of the evaluation: band centres and half-width, "perfect"
@@ -44,10 +44,11 @@ def score_pairs(pairs: DataFrame, *, e1: str = "e1", e2: str = "e2") -> DataFram
 
 
 def global_metrics(scored: DataFrame) -> DataFrame:
-    """AGG6/7/9/10: r, MSE, MAE, over/under/perfect %, regression of
-    predicted on gold. One row; the p-value is added by ``with_p_value``."""
+    """AGG6/7/9/10: r and its p-value, MSE, MAE, over/under/perfect %, regression of
+    predicted on gold. One row."""
     g, p, s = F.col("gold_score"), F.col("predicted_score"), F.col("signed_error")
-    return scored.agg(
+    out = scored.agg(
+        F.corr(g, p).alias("_r"),
         F.count(F.lit(1)).alias("n_pairs"),
         F.round(F.corr(g, p), 6).alias("pearson_r"),
         F.round(F.avg(s * s), 6).alias("mse"),
@@ -57,24 +58,35 @@ def global_metrics(scored: DataFrame) -> DataFrame:
         pct(F.col("perfect")).alias("pct_perfect"),
         F.round(F.regr_slope(p, g), 6).alias("slope"),
         F.round(F.regr_intercept(p, g), 6).alias("intercept"))
+    return out.withColumn("p_value", F.round(p_value(F.col("_r"), F.col("n_pairs")), 9)).drop("_r")
+
+
+def fitted_scores(scored: DataFrame) -> DataFrame:
+    """AGG10: every pair with ``fitted_score``, the regression of predicted on gold at its gold score
+    (the one-row fit is a scalar value of the plan)."""
+    g, p = F.col("gold_score"), F.col("predicted_score")
+    fit = scored.agg(F.struct(F.regr_slope(p, g).alias("b"), F.regr_intercept(p, g).alias("a")).alias("f")).scalar()
+    return scored.withColumn("_f", fit).withColumn(
+        "fitted_score", F.round(F.col("_f.a") + F.col("_f.b") * F.col("gold_score"), 6)).drop("_f")
 
 
 def with_p_value(metrics: DataFrame, spark: SparkSession | None = None) -> dict:
     """Driver-side p-value on the one-row metrics (scipy is not available)."""
-    row = metrics.first().asDict()
+    row = metrics.drop("p_value").first().asDict()
     row["p_value"] = pearson_p_value(row.get("pearson_r"), row.get("n_pairs"))
     return row
 
 
 def residual_trend(scored: DataFrame) -> DataFrame:
-    """AGG11: least squares signed_error ~ gold: slope, intercept, r, stderr."""
+    """AGG11: least squares signed_error ~ gold: slope, intercept, r, p-value, stderr."""
     g, s = F.col("gold_score"), F.col("signed_error")
     n = F.count(F.lit(1))
     r = F.corr(s, g)
     stderr = F.sqrt(F.try_divide((F.lit(1.0) - r * r) * F.regr_syy(s, g), F.regr_sxx(s, g) * (n - 2)))
-    return scored.agg(n.alias("n_pairs"), F.round(F.regr_slope(s, g), 6).alias("slope"),
-                      F.round(F.regr_intercept(s, g), 6).alias("intercept"),
-                      F.round(r, 6).alias("r"), F.round(stderr, 6).alias("stderr"))
+    out = scored.agg(n.alias("n_pairs"), F.round(F.regr_slope(s, g), 6).alias("slope"),
+                     F.round(F.regr_intercept(s, g), 6).alias("intercept"),
+                     r.alias("_r"), F.round(r, 6).alias("r"), F.round(stderr, 6).alias("stderr"))
+    return out.withColumn("p_value", F.round(p_value(F.col("_r"), F.col("n_pairs")), 9)).drop("_r")
 
 
 def trend_line(scored: DataFrame, points: int = 100) -> DataFrame:
@@ -112,6 +124,15 @@ def band_metrics(scored: DataFrame) -> DataFrame:
         pct(F.col("under")).alias("pct_under"))
 
 
+def band_coverage(scored: DataFrame) -> DataFrame:
+    """AGG8/D16: one row with all pairs, those in a band and those in a gap between bands or
+    without a gold score (``no_band``), and their mean absolute error."""
+    c = band_of(F.col("gold_score"))
+    return scored.agg(F.count(F.lit(1)).alias("n_pairs"), F.count(c).alias("in_bands"),
+                      F.count_if(c.isNull()).alias("no_band"),
+                      exact_mean(F.when(c.isNull(), F.col("error"))).alias("no_band_mean_abs_error"))
+
+
 def explanation(gold: Column, signed: Column) -> Column:
     """PRJ13: a short reading of one pair from its gold band and error sign."""
     level = (F.when(gold < 0.2, F.lit("unrelated"))
@@ -196,8 +217,9 @@ def quartile_ranges(categorised: DataFrame) -> DataFrame:
 def sample_per_category(categorised: DataFrame, n: int = 3, *, seed: int | None = 42) -> DataFrame:
     """RNK4: up to n pairs per category. ``seed=None`` takes the lowest
     pair ids (reproducible for checks); otherwise a seeded hash order.
-    The row_number <= n form is cut per map partition before the shuffle."""
+    The row_number <= n form is cut per map partition before the shuffle; the pairs
+    taken are listed by category and ascending error."""
     key = F.col("pair_id") if seed is None else F.xxhash64(F.col("pair_id"), F.lit(seed))
     w = Window.partitionBy("error_category").orderBy(key, F.col("pair_id"))
     return (categorised.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-                       .drop("_rn"))
+                       .drop("_rn").orderBy("error_category", "error", "pair_id"))

@@ -6,11 +6,11 @@ single array value and handed to every task as a scalar subquery, so each post
 is scored in one projection with no join and no shuffle. Targets beyond the
 size bound are processed in bounded chunks and unioned (exact, no cap).
 
-Lexical path (SIM2): cosine of token-count vectors. Post tokens are exploded
-(with repeats, so no per-post aggregation shuffle is needed: the sum over
-occurrences of the narrative's count equals the dot product) and probed
-against the narrative token table; the partial aggregate sits in the same
-stage, so only (post, narrative) pairs that share a token are shuffled.
+Lexical path (SIM2): cosine of token-count vectors, scored in the tasks that
+read the posts on an inverted index of the narratives (``operators.lexical``).
+Beyond the index's size bound, post tokens are exploded (with repeats: the sum
+over occurrences of the narrative's count equals the dot product) and joined
+with the narrative token table.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidetrace.functions.text import squared_norm_of_counts, tokens
 from tidetrace.functions.vectors import cosine_from_parts, dot, norm, rounded
+from tidetrace.operators.lexical import lexical_pairs
 from tidetrace.session import ensure_checkpoint_dir, spread
 
 # Upper bound on target values (targets × dims) handled as one chunk; bigger
@@ -251,8 +252,11 @@ def score_lexical(posts: DataFrame, narratives: DataFrame, *, text_col: str = "T
     """Cosine of token-count vectors between each post and each narrative
     (SIM2). Pairs that share no token score 0 and are not emitted.
 
-    ``co_partition=False`` (default) never shuffles the corpus: only the
-    (post, narrative) pairs that share a token move, after a map-side sum.
+    Up to MAX_BROADCAST_TOKEN_ROWS narrative tokens the pairs are scored inside
+    the tasks that read the posts, on an inverted index of the narratives whose
+    prefixes the threshold bounds (``lexical_pairs``): nothing is shuffled.
+    Beyond that posts' tokens are joined with the narratives' by a shuffle, and
+    only the pairs that share a token move on, after a map-side sum.
     ``co_partition=True`` hash-partitions posts by ``post_id`` once; every
     later aggregate then reuses that partitioning (no pair shuffle) and token
     counts are summed per post before the join. Prefer it when narratives are
@@ -263,6 +267,9 @@ def score_lexical(posts: DataFrame, narratives: DataFrame, *, text_col: str = "T
     ntok = token_table(narratives, narrative_id_col, narrative_text_col, "narrative_id")
     n_rows = ntok.count()
     right = F.broadcast(ntok) if n_rows <= MAX_BROADCAST_TOKEN_ROWS else ntok
+    if n_rows <= MAX_BROADCAST_TOKEN_ROWS and not co_partition:
+        dots = lexical_pairs(spread(posts), ntok, text_col=text_col, threshold=threshold, keep=keep)
+        return _lexical_scores(dots, keep, threshold, score_col)
     toks = tokens(F.col(text_col))
     # The norm is computed in its own projection below the generator; in the
     # same select as explode() Catalyst would evaluate it once per token.
@@ -277,6 +284,11 @@ def score_lexical(posts: DataFrame, narratives: DataFrame, *, text_col: str = "T
     dots = (p.join(right, "token")
              .groupBy(*keep, "narrative_id", "_pn2", "sq_norm")
              .agg(F.sum(F.col("_pc") * F.col("tf")).alias("_dot")))
+    return _lexical_scores(dots, keep, threshold, score_col)
+
+
+def _lexical_scores(dots: DataFrame, keep: list[str], threshold: float | None, score_col: str) -> DataFrame:
+    """Cosines from dot products and squared norms (keep..., narrative_id, _dot, _pn2, sq_norm)."""
     sim = rounded(cosine_from_parts(F.col("_dot").cast("double"),
                                     F.sqrt(F.col("_pn2").cast("double")),
                                     F.sqrt(F.col("sq_norm").cast("double"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidetrace.operators import evaluate as ev
 from tidetrace.plans.registry import register
 from tidetrace.plans.sqlviews import E, cos
@@ -14,6 +16,12 @@ X AS (SELECT *, abs(signed_error) AS error, signed_error > 0 AS over, signed_err
              abs(signed_error) <= 0.01 AS perfect FROM S)"""
 
 MEAN = "sum(CAST(round({c} * 1000000) AS BIGINT)) / count({c}) / 1000000.0"
+# Two-sided p-value of r by Simpson's rule over the angle of Student's t: p = 2 C * integral of
+# cos(u) ^ (n - 3) from asin(|r|) to pi / 2, C = gamma((n - 1) / 2) / (sqrt(pi) gamma((n - 2) / 2)).
+P_VALUE = """(SELECT round(2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * sum(
+    CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * greatest(cos(asin(abs(r)) + i * (pi() / 2 - asin(abs(r))) / 20000), 0.0) ^ (n - 3)) * (pi() / 2 - asin(abs(r))) / 20000 / 3, 9)
+  FROM (SELECT {r} AS r, {n} AS n), range(20001) t(i) GROUP BY r, n)"""
 PCT = "100 * count(*) FILTER (WHERE {c}) / count(*)"
 BAND = """B AS (SELECT *, CASE WHEN gold_score >= greatest(0.0, c - 0.124999) AND gold_score <= least(1.0, c + 0.124999)
                          THEN c END AS band_centre
@@ -39,7 +47,8 @@ SELECT count(*) AS n_pairs, round(corr(gold_score, predicted_score), 6) AS pears
        round(avg(signed_error * signed_error), 6) AS mse, {MEAN.format(c='error')} AS mae,
        {PCT.format(c='over')} AS pct_over, {PCT.format(c='under')} AS pct_under, {PCT.format(c='perfect')} AS pct_perfect,
        round(regr_slope(predicted_score, gold_score), 6) AS slope,
-       round(regr_intercept(predicted_score, gold_score), 6) AS intercept
+       round(regr_intercept(predicted_score, gold_score), 6) AS intercept,
+       {P_VALUE.format(r='(SELECT corr(gold_score, predicted_score) FROM X)', n='(SELECT count(*) FROM X)')} AS p_value
 FROM X
 """)
 def q_eval_global(spark, sf_dir):
@@ -52,7 +61,8 @@ SELECT count(*) AS n_pairs, round(regr_slope(signed_error, gold_score), 6) AS sl
        round(regr_intercept(signed_error, gold_score), 6) AS intercept,
        round(corr(signed_error, gold_score), 6) AS r,
        round(sqrt((1 - corr(signed_error, gold_score) ^ 2) * regr_syy(signed_error, gold_score)
-                  / (regr_sxx(signed_error, gold_score) * (count(*) - 2))), 6) AS stderr
+                  / (regr_sxx(signed_error, gold_score) * (count(*) - 2))), 6) AS stderr,
+       {P_VALUE.format(r='(SELECT corr(signed_error, gold_score) FROM X)', n='(SELECT count(*) FROM X)')} AS p_value
 FROM X
 """)
 def q_eval_residual_trend(spark, sf_dir):
@@ -142,3 +152,28 @@ SELECT error_category, pair_id, error FROM R WHERE rn <= 3
 def q_eval_samples(spark, sf_dir):
     cat = ev.with_quartile_category(scored(spark, sf_dir))
     return ev.sample_per_category(cat, 3, seed=None).select("error_category", "pair_id", "error")
+
+
+@register("eval_fitted", sql=f"""
+WITH {SCORED},
+F AS (SELECT regr_slope(predicted_score, gold_score) AS b, regr_intercept(predicted_score, gold_score) AS a FROM X)
+SELECT pair_id, gold_score, predicted_score, round(a + b * gold_score, 6) AS fitted_score FROM X, F
+""")
+def q_eval_fitted(spark, sf_dir):
+    """AGG10: every pair with the regression's value at its gold score."""
+    return ev.fitted_scores(scored(spark, sf_dir)).select("pair_id", "gold_score", "predicted_score", "fitted_score")
+
+
+# Gold scores moved off the STS grid, so that some lie on and some between the bands' edges.
+@register("eval_band_coverage", sql=f"""
+WITH {SCORED}, Y AS (SELECT * REPLACE (CASE WHEN pair_id % 3 = 0 THEN gold_score * 0.625 WHEN pair_id % 50 = 1 THEN NULL
+                                            ELSE gold_score END AS gold_score) FROM X),
+{BAND.replace('FROM X)', 'FROM Y)')}
+SELECT count(*) AS n_pairs, count(band_centre) AS in_bands, count(*) FILTER (WHERE band_centre IS NULL) AS no_band,
+       {MEAN.format(c='CASE WHEN band_centre IS NULL THEN error END')} AS no_band_mean_abs_error
+FROM B
+""")
+def q_eval_band_coverage(spark, sf_dir):
+    """AGG8/D16: how many pairs no band covers."""
+    gold = "CASE WHEN pair_id % 3 = 0 THEN gold_score * 0.625 WHEN pair_id % 50 = 1 THEN NULL ELSE gold_score END"
+    return ev.band_coverage(scored(spark, sf_dir).withColumn("gold_score", F.expr(gold)))
