@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"kmeans_clusters", "narratives_discovered", "trace_hashed_tfidf"}
+ROWS_ONLY = {"trace_hashed_tfidf"}
 
 
 def test_entry_runs(spark):

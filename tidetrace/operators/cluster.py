@@ -2,49 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidetrace.functions.ranking import group_positions
 from tidetrace.functions.stats import exact_mean
 from tidetrace.functions.text import text_key, tokens
 from tidetrace.functions.vectors import cosine
+from tidetrace.operators.fixed_kmeans import STEPS, spherical_kmeans
 from tidetrace.operators.similarity import nearest_target, score_vectors
 from tidetrace.session import ensure_checkpoint_dir, spread
 
 TOP_MEMBERS = 5
 TOP_TERMS = 5
+CANDIDATE_VALUES = 4_000_000  # of vectors of candidates held at once
+CANDIDATES = 32  # posts of a cluster that may be its narratives
 
 
 def fit_kmeans(posts: DataFrame, k: int = 3, *, seed: int = 42, vec_col: str = "embedding",
                max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
-    """CLU1/CLU2: KMeans (cosine) on the post vectors.
+    """CLU1/CLU2: spherical k-means (cosine) on the post vectors, the same bits for any
+    partitioning (``fixed_kmeans``).
 
-    Returns (assignments(post_id, cluster_id), centres(cluster_id, embedding)).
-    Only the vector column is cached while the model iterates. Fewer usable posts
-    than k is an error. Null and zero vectors have no direction: they are left out of
+    Returns (assignments(post_id, cluster_id), centres(cluster_id, embedding)). Fewer
+    usable posts than k is an error. Null and zero vectors have no direction: they are left out of
     the fit and keep their rows with a null cluster_id.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    usable = F.coalesce(F.exists(F.col(vec_col), lambda x: x != 0), F.lit(False))
-    features = array_to_vector(F.col(vec_col)).alias("features")
-    vecs = posts.where(usable).select("post_id", features).persist()
-    try:
-        n = vecs.count()
-        if n < k:
-            raise ValueError(f"{n} posts cannot form {k} clusters")
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
-                       featuresCol="features", predictionCol="cluster_id").fit(vecs)
-    finally:
-        vecs.unpersist()
-    assigned = model.transform(posts.where(usable).select("post_id", features)) \
-                    .select("post_id", F.col("cluster_id").cast("long").alias("cluster_id")) \
-                    .unionByName(posts.where(~usable).select("post_id", F.lit(None).cast("long").alias("cluster_id")))
-    spark: SparkSession = posts.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+    labels, found = spherical_kmeans(posts, k, seed=seed, vec_col=vec_col, max_iter=max_iter)
+    rest = posts.select("post_id").join(labels.select("post_id"), "post_id", "left_anti")
+    assigned = labels.unionByName(rest.select("post_id", F.lit(None).cast("long").alias("cluster_id")))
+    centres = posts.sparkSession.createDataFrame(
+        [(i, [x / STEPS for x in c]) for i, c in enumerate(found)],
         T.StructType([T.StructField("cluster_id", T.LongType()),
                       T.StructField("embedding", T.ArrayType(T.FloatType()))]))
     return assigned, centres
@@ -139,13 +128,106 @@ def narrative_prompts(assigned: DataFrame, *, text_col: str = "Tweet", per_promp
                                          lambda s: s[text_col]), "\n- ")).alias("prompt")))
 
 
+def dominant_narratives(assigned: DataFrame, *, vec_col: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
+    """CLU5: the two narratives that cover a cluster best, by greedy facility location.
+
+    ``assigned`` has cluster_id, post_id, the vector and ``similarity`` to the centre. Candidates
+    are each cluster's ``candidates`` posts closest to the centre, without equal vectors. A member
+    is covered by the cosine (not below 0) of its closest chosen narrative; the first narrative has
+    the largest total cover, the second adds most to it, so a near copy of the first adds next to
+    nothing. Ties go to the lower id. One row a cluster: narrative_1, narrative_2 (post ids; null
+    without a second candidate), cover_1, cover_2 (mean cover with one and with both), n_posts.
+
+    Members are not shuffled; a task returns exact sums (micro-units) of its members.
+    The driver holds candidates and their sums, a bounded number of clusters at a time.
+    """
+    spark = assigned.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = assigned.where(F.col("cluster_id").isNotNull()).select("cluster_id", "post_id", vec_col, "similarity").checkpoint(
+        eager=True)  # read three times; the assignment costs more than writing it
+    # Copies first: one post stands for all with an equal vector.
+    best = F.struct(F.col("similarity"), (-F.col("post_id")).alias("neg"))
+    distinct = rows.groupBy("cluster_id", F.xxhash64(vec_col).alias("_v")).agg(
+        F.max(best).alias("b"), F.max_by(F.col(vec_col), best).alias("vec"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("b"))
+    close = (distinct.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= candidates)
+             .select("cluster_id", (-F.col("b.neg")).alias("id"), "vec").checkpoint(eager=True))
+    dims = close.agg(F.max(F.size("vec"))).first()[0] or 1
+    names = [r[0] for r in close.select("cluster_id").distinct().orderBy("cluster_id").collect()]
+    at_once = max(1, CANDIDATE_VALUES // (candidates * max(1, dims)))
+    found = []
+    for a in range(0, len(names), at_once):
+        own = names[a:a + at_once]
+        held: dict = {}
+        for r in close.where(F.col("cluster_id").isin(own)).orderBy("id").collect():
+            held.setdefault(r["cluster_id"], []).append((r["id"], r["vec"]))
+        members = rows.where(F.col("cluster_id").isin(own)).select("cluster_id", F.col(vec_col).alias("v"))
+        first: dict = {}
+        for _ in range(2):
+            shared = spark.sparkContext.broadcast((held, first))
+            sums = spread(members).mapInArrow(_cover(shared), "cluster_id bigint, id bigint, total bigint, n bigint")
+            totals: dict = {}
+            for r in sums.groupBy("cluster_id", "id").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).collect():
+                totals.setdefault(r["cluster_id"], []).append((-r["t"], r["id"], r["n"]))
+            if not first:
+                one = {c: min(t) for c, t in totals.items()}
+                first = {c: t[1] for c, t in one.items()}
+            shared.unpersist()
+        two = {c: min(t) for c, t in totals.items()}
+        for c, (t, i, n) in one.items():
+            t2, i2, _ = two.get(c, (None, None, None))
+            found.append((c, n, i, -t / n / 1_000_000, i2, None if t2 is None else -t2 / n / 1_000_000))
+    return spark.createDataFrame(found, "cluster_id long, n_posts long, narrative_1 long, cover_1 double, narrative_2 long, "
+                                        "cover_2 double")
+
+
+def _cover(shared):
+    """Rows (cluster_id, id, total, n): micro-units of cover that each candidate of a cluster gives its
+    members, together with the cluster's first narrative if there is one; that one has no row itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(x):
+        x = np.asarray(x, np.float64)
+        length = np.sqrt((x * x).sum(axis=1))[:, None]
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    def run(batches):
+        held, first = shared.value
+        ids = {c: np.array([i for i, _ in v]) for c, v in held.items()}
+        cands = {c: unit([x for _, x in v]).T for c, v in held.items()}
+        total = {c: np.zeros(len(v), np.int64) for c, v in ids.items()}
+        n = dict.fromkeys(ids, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cluster = batch.column("cluster_id").to_numpy()
+            v = unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            for c in np.unique(cluster).tolist():
+                s = np.maximum((v[cluster == c] @ cands[c]).round(6), 0.0)
+                if first:
+                    s = np.maximum(s, s[:, ids[c] == first[c]])
+                total[c] += np.rint(s * 1_000_000).astype(np.int64).sum(axis=0)
+                n[c] += len(s)
+        out = [(c, i, t, n[c]) for c in ids if n[c] for i, t in zip(ids[c].tolist(), total[c].tolist())
+               if not first or i != first[c]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)],
+                                         names=["cluster_id", "id", "total", "n"])
+
+    return run
+
+
 def discover_and_trace(posts: DataFrame, k: int, *, seed: int = 42, threshold: float = 0.2) -> DataFrame:
-    """CLU8: cluster, take each cluster's representative post as a narrative,
-    then trace every post against the narratives found."""
+    """CLU8: cluster, take each cluster's two dominant narratives, then trace every post against
+    all of them. ``narrative_id`` is 2 * cluster_id for a cluster's first one, 2 * cluster_id + 1
+    for its second."""
     assigned, centres = fit_kmeans(posts, k, seed=seed)
-    near = assign_nearest(posts, centres, keep=["post_id"])
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("similarity"), F.col("post_id"))
-    reps = near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select("cluster_id", "post_id")
-    narratives = reps.join(posts.select("post_id", "embedding"), "post_id") \
-                     .select(F.col("cluster_id").alias("narrative_id"), "embedding")
+    near = assign_nearest(posts.join(assigned.where("cluster_id is not null").select("post_id"), "post_id", "left_semi"),
+                          centres, keep=["post_id", "embedding"])
+    found = dominant_narratives(near)
+    slots = found.select("cluster_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("slot"), F.col("narrative_1").alias("post_id")),
+        F.struct(F.lit(1).alias("slot"), F.col("narrative_2").alias("post_id")))).alias("x")).select("cluster_id", "x.*")
+    narratives = slots.join(posts.select("post_id", "embedding"), "post_id").select(
+        (F.col("cluster_id") * 2 + F.col("slot")).alias("narrative_id"), "embedding")
     return score_vectors(posts, narratives, threshold=threshold, keep=["post_id", "ChannelName", "Datetime"])

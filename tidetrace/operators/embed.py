@@ -15,11 +15,15 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidetrace.functions.text import TOKEN_SPLIT, text_key
+from tidetrace.session import ensure_checkpoint_dir
 
 HASHED_MODEL = "hashed-tfidf"
+BUCKETS = 256  # directories of the embedding table
+FILES_PER_BUCKET = 4
 
 
 def fit_hashed_tfidf(posts: DataFrame, *, text_col: str = "Tweet", num_features: int = 1024) -> PipelineModel:
@@ -61,23 +65,61 @@ def missing_embeddings(posts: DataFrame, table: DataFrame, *, model: str, text_c
     return posts.withColumn("text_key", text_key(F.col(text_col))).join(known, "text_key", "left_anti")
 
 
+EMPTY_TABLE = "text_key string, model string, embedding array<float>"
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def read_embedding_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The stored vectors; a path that does not exist is an empty table, any other failure an error."""
+    try:
+        table = spark.read.parquet(table_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], EMPTY_TABLE).withColumn("bucket", _bucket(F.col("text_key")))
+    if "bucket" not in table.columns:  # a table written without buckets
+        table = table.withColumn("bucket", _bucket(F.col("text_key")))
+    return table.select("text_key", "model", "embedding", "bucket")
+
+
+def upsert_embeddings(rows: DataFrame, table_path: str) -> None:
+    """Add (text_key, model, embedding) rows to the table, or replace those of the same key and model.
+
+    The table is laid out in BUCKETS directories by the key's hash; only buckets with new rows are
+    rewritten, each as a whole. A retry writes the same rows again and adds none. The new content is
+    checkpointed before it replaces what it was read from.
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    new = rows.select("text_key", "model", "embedding").dropDuplicates(["text_key", "model"]).withColumn(
+        "bucket", _bucket(F.col("text_key"))).checkpoint(eager=True)
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+    if not touched:
+        return
+    kept = read_embedding_table(spark, table_path).where(F.col("bucket").isin(touched)).join(
+        new.select("text_key", "model"), ["text_key", "model"], "left_anti")
+    full = kept.select("text_key", "model", "embedding", "bucket").unionByName(new).checkpoint(eager=True)
+    (full.repartition(F.col("bucket"), F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(FILES_PER_BUCKET)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table_path))
+
+
 def update_embedding_table(posts: DataFrame, table_path: str, *, model: str, encode: Callable[[DataFrame], DataFrame],
                            text_col: str = "Tweet") -> DataFrame:
-    """EMB3: encode only the distinct new texts and append them to the table."""
+    """EMB3: encode only the distinct new texts and store them; returns the table."""
     spark = posts.sparkSession
-    try:
-        table = spark.read.parquet(table_path)
-    except Exception:  # noqa: BLE001 - first write: no table yet
-        table = spark.createDataFrame([], "text_key string, model string, embedding array<float>")
-    new = (missing_embeddings(posts, table, model=model, text_col=text_col)
+    table = read_embedding_table(spark, table_path)
+    new = (missing_embeddings(posts.where(F.col(text_col).isNotNull()), table, model=model, text_col=text_col)
            .groupBy("text_key").agg(F.min(F.col(text_col)).alias(text_col)))
     encoded = encode(new.withColumnRenamed("text_key", "post_id")).withColumnRenamed("post_id", "text_key")
-    rows = encoded.select("text_key", F.lit(model).alias("model"), "embedding")
-    rows.write.mode("append").parquet(table_path)
-    return spark.read.parquet(table_path)
+    upsert_embeddings(encoded.select("text_key", F.lit(model).alias("model"), "embedding"), table_path)
+    return read_embedding_table(spark, table_path).drop("bucket")
 
 
 def attach_embeddings(posts: DataFrame, table: DataFrame, *, model: str, text_col: str = "Tweet") -> DataFrame:
-    """Posts joined to their stored vectors by content key."""
-    t = table.where(F.col("model") == model).select("text_key", "embedding")
-    return posts.withColumn("text_key", text_key(F.col(text_col))).join(t, "text_key")
+    """Posts with their stored vectors by content key; a post without one (a null or new text) keeps
+    its row with a null vector. A key stored twice for the model counts once."""
+    t = table.where(F.col("model") == model).select("text_key", "embedding").dropDuplicates(["text_key"])
+    return posts.withColumn("text_key", text_key(F.col(text_col))).join(t, "text_key", "left")

@@ -299,9 +299,14 @@ def _lexical_scores(dots: DataFrame, keep: list[str], threshold: float | None, s
 
 
 def sort_by_narrative(scores: DataFrame, narrative_id: int, *, score_col: str = "similarity",
-                      id_col: str = "post_id") -> DataFrame:
-    """RNK1: posts ascending by similarity to one narrative (distributed sort)."""
-    return scores.where(F.col("narrative_id") == narrative_id).orderBy(F.col(score_col), F.col(id_col))
+                      id_col: str = "post_id", narratives: DataFrame | None = None) -> DataFrame:
+    """RNK1: posts ascending by similarity to one narrative (distributed sort). With ``narratives``
+    (the table scored against) an unknown id falls back to the first narrative."""
+    wanted = F.lit(narrative_id)
+    if narratives is not None:
+        known = F.max(F.when(F.col("narrative_id") == narrative_id, F.col("narrative_id")))
+        wanted = narratives.agg(F.coalesce(known, F.min("narrative_id")).alias("n")).scalar()
+    return scores.where(F.col("narrative_id") == wanted).orderBy(F.col(score_col), F.col(id_col))
 
 
 def top_k_per_narrative(scores: DataFrame, k: int, *, score_col: str = "similarity",

@@ -58,8 +58,9 @@ def parse_stance(responses: DataFrame, *, text_col: str = "response") -> DataFra
                  .when(c.bitwiseAND(4) != 0, F.lit("opposition"))
                  .when(c.bitwiseAND(2) != 0, F.lit("neutral"))
                  .otherwise(F.lit("unsure")))
-    return (responses.select("post_id", obj.alias("_obj")).where(F.col("_obj").isNotNull())
-                     .select("post_id", *[v.alias(k) for k, v in flags.items()], code.alias("response_obj"),
+    keys = ["post_id"] + ["narrative_id"] * ("narrative_id" in responses.columns)
+    return (responses.select(*keys, obj.alias("_obj")).where(F.col("_obj").isNotNull())
+                     .select(*keys, *[v.alias(k) for k, v in flags.items()], code.alias("response_obj"),
                              missing.alias("fields_missing"))
                      .withColumn("polarity", polarity)
                      .withColumn("flags_set", F.col("support") + F.col("opposition") + F.col("neutral")
@@ -68,9 +69,11 @@ def parse_stance(responses: DataFrame, *, text_col: str = "response") -> DataFra
 
 def attach_stance(posts: DataFrame, parsed: DataFrame) -> DataFrame:
     """SET4/STN3: every post keeps its row; no usable answer reads 'unsure'.
-    Joined on post_id, so a missing answer never shifts other posts' stances."""
-    p = parsed.select("post_id", "polarity", F.lit(True).alias("_answered"))
-    return (posts.join(p, "post_id", "left")
+    Joined on post_id, so a missing answer never shifts other posts' stances; where
+    both tables name the narrative (several were asked about), on narrative_id too."""
+    keys = ["post_id"] + ["narrative_id"] * ("narrative_id" in posts.columns and "narrative_id" in parsed.columns)
+    p = parsed.select(*keys, "polarity", F.lit(True).alias("_answered"))
+    return (posts.join(p, keys, "left")
                  .withColumn("polarity", F.coalesce(F.col("polarity"), F.lit("unsure")))
                  .withColumn("answered", F.coalesce(F.col("_answered"), F.lit(False)))
                  .drop("_answered"))

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from tidetrace.functions.ranking import group_positions
+from tidetrace.functions.stats import exact_mean
 from tidetrace.operators.similarity import score_lexical, score_vectors
 
 
@@ -73,18 +74,24 @@ def trace_text(posts: DataFrame, narratives: DataFrame, *, start=None, end=None,
 def trace_summary(trace: DataFrame, by: list[str]) -> DataFrame:
     """AGG1/AGG4: matches, date span and score stats per group.
 
-    Scores are 6-place values, so their sum is exact after rounding; the mean
-    (sum / total_posts) is left to the reader because rounding a mean of two
-    6-place values hits exact half-way ties that engines break differently.
+    Scores are 6-place values, so their sum is exact after rounding, and the
+    mean is an exact integer sum of micro-units divided once (not rounded:
+    half-way ties are broken differently by engines).
     """
     return trace.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_posts"),
         F.min("Datetime").alias("first_post"),
         F.max("Datetime").alias("last_post"),
         F.round(F.sum("similarity"), 6).alias("sum_similarity"),
+        exact_mean(F.col("similarity")).alias("mean_similarity"),
         F.max("similarity").alias("max_similarity"))
 
 
+def timeline_points(scores: DataFrame, *, id_col: str = "post_id") -> DataFrame:
+    """AGG16 as it is drawn: every post a point (narrative_id, Datetime, similarity), in time order."""
+    return scores.select("narrative_id", "Datetime", "similarity", id_col).orderBy("narrative_id", "Datetime", id_col)
+
+
 def timeline(scores: DataFrame, *, by: list[str], every: str = "1 day") -> DataFrame:
     """AGG16 at scale: one point per time bucket and group instead of one per post."""
     return (scores.groupBy(F.window("Datetime", every).alias("w"), *by)

@@ -29,7 +29,7 @@ def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_POST_COLUM
 def reject_reason(text: Column, datetime_text: Column) -> Column:
     """VAL2/VAL3 on every row (not only the first five)."""
     return (F.when(is_blank(text), F.lit("blank_text"))
-             .when(datetime_text.isNull() | (F.trim(datetime_text) == ""), F.lit("empty_datetime"))
+             .when(datetime_text.isNull() | (trim_whitespace(datetime_text) == ""), F.lit("empty_datetime"))
              .when(parse_datetime(datetime_text).isNull(), F.lit("bad_datetime")))
 
 

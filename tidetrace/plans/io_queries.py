@@ -19,6 +19,7 @@ from tidetrace.plans.sqlviews import T, V, cos
 from tidetrace.session import scratch_path
 from tidetrace.sinks import writers as wr
 from tidetrace.sources import catalog as ca
+from tidetrace.sources import pairs as pa
 from tidetrace.sources import posts as ps
 from tidetrace.sources import saved as sv
 from tidetrace.sources import tables as tb
@@ -229,3 +230,73 @@ def q_export_roundtrip(spark, sf_dir):
                        F.col("narrative_id").cast("bigint").alias("narrative_id"),
                        F.col("similarity").cast("double").alias("similarity"),
                        "targetNarrative", "threshold", "totalRecords")
+
+
+@register("stream_timeline_late", sql=ORACLE_SQL["timeline_daily"])
+def q_stream_timeline_late(spark, sf_dir):
+    """STR1: a stream of several files, one a trigger, whose days are shuffled: on-time and late
+    sums together are the batch timeline."""
+    src, out, ckpt = (_scratch(spark, f"late-{x}") for x in ("in", "out", "ckpt"))
+    tb.table(spark, sf_dir, "embeddings").repartition(6, F.xxhash64("vec_id")).write.parquet(src)
+    v = tb.vector_posts(spark, sf_dir)
+    stream = tb.derive_vector_posts(ts.read_parquet_stream(spark, src, tb.table(spark, sf_dir, "embeddings").schema, max_files=1))
+    scored = sim.score_vectors(stream, tq.vector_targets(v, tq.ONE_TARGET), keep=["post_id", "ChannelName", "Datetime"],
+                               method="expr")
+    ts.run_to_completion(ts.start_timeline_log(scored, out, ckpt, by=["ChannelName"], lateness="2 days"))
+    return ts.timeline_of(spark.read.parquet(f"{out}/sums"), ["ChannelName"])
+
+
+@register("embedding_store", sql=f"""
+WITH {T}, {V},
+K AS (SELECT sha256(Tweet) AS text_key, arg_min(V.embedding, V.post_id) AS embedding FROM T JOIN V ON T.post_id = V.post_id
+      WHERE Tweet IS NOT NULL GROUP BY 1)
+SELECT T.post_id, K.embedding IS NOT NULL AS has_vector, K.embedding[1] AS first_component
+FROM T LEFT JOIN K ON K.text_key = sha256(T.Tweet)
+""")
+def q_embedding_store(spark, sf_dir):
+    """EMB3/JN7: vectors stored by content key, the same rows twice and some replaced, then attached to
+    every post; posts without a stored vector keep their rows."""
+    path = _scratch(spark, "embedding-store")
+    known = tb.posts_with_text_and_vectors(spark, sf_dir).where(F.col("Tweet").isNotNull()).groupBy(
+        F.sha2("Tweet", 256).alias("text_key")).agg(F.min_by("embedding", "post_id").alias("embedding"))
+    rows = known.select("text_key", F.lit("given").alias("model"), "embedding")
+    em.upsert_embeddings(rows.withColumn("embedding", F.transform("embedding", lambda x: x * 0)), path)
+    for _ in range(2):
+        em.upsert_embeddings(rows, path)
+    table = em.read_embedding_table(spark, path)
+    out = em.attach_embeddings(tb.text_posts(spark, sf_dir), table, model="given")
+    return out.select("post_id", F.col("embedding").isNotNull().alias("has_vector"), F.get("embedding", F.lit(0)).alias("first_component"))
+
+
+@register("eval_pairs_reread", sql=ORACLE_SQL["eval_pairs"])
+def q_eval_pairs_reread(spark, sf_dir):
+    """SNK5: the written pair table read back."""
+    path = _scratch(spark, "eval-pairs")
+    scored = eq.scored(spark, sf_dir)
+    wr.write_eval(scored.drop("e1", "e2"), ev.global_metrics(scored), path)
+    return wr.read_eval(spark, path)[0].select(*eq.q_eval_pairs(spark, sf_dir).columns)
+
+
+@register("labelled_pairs", sql="""
+SELECT a.text AS sentence1, b.text AS sentence2, CAST(a.item_id % 6 AS DOUBLE) / 5.0 AS gold_score
+FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1
+""")
+def q_labelled_pairs(spark, sf_dir):
+    """SRC9: labelled sentence pairs as CSV, read with a gold score in [0, 1]."""
+    path = _scratch(spark, "pairs")
+    b = tb.table(spark, sf_dir, "benchmark")
+    pairs = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1).select(
+        F.col("a.text").alias("sentence1"), F.col("b.text").alias("sentence2"), (F.col("a.item_id") % 6).alias("label"))
+    pairs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return pa.read_pairs(spark, path, "csv").select("sentence1", "sentence2", "gold_score")
+
+
+@register("channel_filter", sql=f"""
+WITH {T}
+SELECT post_id, ChannelName, Tweet FROM T WHERE ChannelName = 'src3'
+""")
+def q_channel_filter(spark, sf_dir):
+    """FLT3: one channel of the per-channel layout; other directories are not read."""
+    path = _scratch(spark, "channel-filter")
+    wr.write_by_channel(tb.text_posts(spark, sf_dir), path, task_bytes=1 << 16)
+    return tr.filter_channel(spark.read.parquet(path), "src3").select("post_id", "ChannelName", "Tweet")

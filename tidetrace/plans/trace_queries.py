@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidetrace.operators import similarity as sim
 from tidetrace.operators import trace as tr
+from tidetrace.operators.prepare import author_context
 from tidetrace.plans.registry import register
 from tidetrace.plans.sqlviews import T, V, cos, toks
 from tidetrace.sources import tables as tb
@@ -108,7 +109,9 @@ WITH {V},
 Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id IN (0, 1, 2)),
 S AS (SELECT V.post_id, V.ChannelName, V.Datetime, Tg.narrative_id, round({cos('V.embedding', 'Tg.tv')}, 6) AS similarity FROM V, Tg)
 SELECT narrative_id, ChannelName, count(*) AS total_posts, min(Datetime) AS first_post, max(Datetime) AS last_post,
-       round(sum(similarity), 6) AS sum_similarity, max(similarity) AS max_similarity
+       round(sum(similarity), 6) AS sum_similarity,
+       sum(CAST(round(similarity * 1000000) AS BIGINT)) / count(similarity) / 1000000.0 AS mean_similarity,
+       max(similarity) AS max_similarity
 FROM S WHERE similarity >= 0.2 GROUP BY narrative_id, ChannelName
 """)
 def q_trace_summary(spark, sf_dir):
@@ -199,3 +202,36 @@ SELECT post_id, datasetName, Datetime FROM T WHERE coalesce(datasetName, 'unknow
 def q_dataset_filter(spark, sf_dir):
     """FLT5: one dataset's rows."""
     return tr.filter_dataset(tb.text_posts(spark, sf_dir), "de").select("post_id", "datasetName", "Datetime")
+
+
+@register("trace_author_text", sql=f"""
+WITH {T}, {LEXICAL_SQL.replace(toks('Tweet'), toks("('Author: ' || ChannelName || chr(10) || 'Tweet: ' || Tweet)"))}
+SELECT post_id, narrative_id, similarity FROM S WHERE similarity >= 0.45
+""")
+def q_trace_author_text(spark, sf_dir):
+    """SIM3: the lexical trace over the text with its author."""
+    t = author_context(tb.text_posts(spark, sf_dir))
+    return tr.trace_text(t, benchmark_narratives(spark, sf_dir), threshold=0.45, keep=["post_id"], text_col="AuthorTweet")
+
+
+@register("timeline_points", sql=f"""
+WITH {V},
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id IN (0, 1, 2))
+SELECT narrative_id, Datetime, round({cos('V.embedding', 'Tg.tv')}, 6) AS similarity, V.post_id FROM V, Tg
+""")
+def q_timeline_points(spark, sf_dir):
+    """AGG16: all points of the similarity-over-time plot, in time order."""
+    v = tb.vector_posts(spark, sf_dir)
+    return tr.timeline_points(sim.score_vectors(v, vector_targets(v, THREE_TARGETS), keep=["post_id", "Datetime"]))
+
+
+@register("sort_by_unknown_narrative", sql=f"""
+WITH {V},
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 0)
+SELECT V.post_id, Tg.narrative_id, round({cos('V.embedding', 'Tg.tv')}, 6) AS similarity FROM V, Tg
+""")
+def q_sort_by_unknown_narrative(spark, sf_dir):
+    """RNK1: an id that names no narrative falls back to the first one."""
+    v = tb.vector_posts(spark, sf_dir)
+    targets = vector_targets(v, THREE_TARGETS)
+    return sim.sort_by_narrative(sim.score_vectors(v, targets, keep=["post_id"]), 99, narratives=targets)

@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from tidetrace.functions.text import channel_key
 
@@ -29,18 +29,23 @@ def channel_manifest(df: DataFrame) -> DataFrame:
 
 
 def write_by_channel(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                     files_per_channel: int = 16) -> DataFrame:
+                     task_bytes: int = 256 << 20) -> DataFrame:
     """SNK1: one directory per channel key (partition pruning on read, FLT3).
 
-    Rows are clustered on (channel_key, salt) with a deterministic salt from
-    the row's own values, so a channel holding a third of all posts is
-    written by up to ``files_per_channel`` tasks instead of one, and a task
-    retried after an executor loss gets exactly the same rows.
+    Text bytes are counted per channel first. A channel key with more than ``task_bytes`` is dealt to
+    as many tasks as its bytes need, by a hash of the row's own values, so that a task retried after an
+    executor loss gets exactly the same rows; there is no upper bound. Only such keys, at most the
+    table's bytes over ``task_bytes``, are broadcast.
     """
     keyed = with_channel_key(df)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_channel))
-    (keyed.repartition("channel_key", salt.alias("_salt")).write.mode(mode)
-          .partitionBy("channel_key").format(fmt).save(path))
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary")
+                else F.lit(8) for f in df.schema.fields), F.lit(0))
+    large = (keyed.groupBy("channel_key").agg(F.sum(size.cast("long")).alias("_bytes")).where(F.col("_bytes") > task_bytes)
+                  .select("channel_key", F.ceil(F.col("_bytes") / task_bytes).alias("_salts")))
+    draw = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce("_salts", F.lit(1)))
+    salted = keyed.join(F.broadcast(large), "channel_key", "left").withColumn("_salt", draw)
+    (salted.repartition("channel_key", "_salt").drop("_salt", "_salts").write.mode(mode)
+           .partitionBy("channel_key").format(fmt).save(path))
     return channel_manifest(df)
 
 
@@ -145,3 +150,8 @@ def write_eval(pairs: DataFrame, metrics: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").parquet(f"{path}/pairs")
     metrics.write.mode("overwrite").json(f"{path}/metrics")
 
+
+
+def read_eval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SNK5 back in: (pairs, metrics)."""
+    return spark.read.parquet(f"{path}/pairs"), spark.read.json(f"{path}/metrics")

@@ -9,6 +9,7 @@ which is how tests compare the stream with the batch result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidetrace.operators.trace import trace_vectors
@@ -90,3 +91,56 @@ def latest_versions(spark: SparkSession, out_path: str, keys: list[str]) -> Data
     log = spark.read.parquet(out_path)
     w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
     return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch_id")
+
+
+def start_timeline_log(scored: DataFrame, out_path: str, checkpoint: str, *, by: list[str], every: str = "1 day",
+                       lateness: str = "1 hour", available_now: bool = True):
+    """AGG16 on a stream without held state, and without losing late rows.
+
+    Every micro-batch writes its own partial sums per bucket and group to ``sums/batch_id=<n>``
+    (overwrite, so a replayed batch replaces itself) and its largest event time to
+    ``marks/batch_id=<n>``. A row is late if its bucket ended more than ``lateness`` before the
+    largest event time of the earlier batches; late rows are summed apart (``late``), so that a reader
+    can publish closed buckets and correct them. State lives in the log, one row a batch, bucket and
+    group; ``timeline_of`` adds it up, ``compact_timeline`` folds it.
+    """
+    spark, root = scored.sparkSession, out_path.rstrip("/")
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        marks = _log(spark, f"{root}/marks", "at timestamp_ntz, batch_id bigint").where(F.col("batch_id") < batch_id)
+        closed = marks.agg(F.max("at").alias("at")).select(F.expr(f"at - interval {lateness}").alias("at")).scalar()
+        w = F.window("Datetime", every)
+        rows = df.withColumn("w", w).withColumn("late", F.coalesce(F.col("w.end") <= closed, F.lit(False)))
+        (rows.groupBy(F.col("w.start").alias("bucket_start"), *by, "late")
+             .agg(F.count(F.lit(1)).alias("n_posts"),
+                  F.sum(F.round(F.col("similarity") * 1_000_000).cast("long")).alias("micro_similarity"),
+                  F.max("similarity").alias("max_similarity"))
+             .write.mode("overwrite").parquet(f"{root}/sums/batch_id={batch_id}"))
+        df.agg(F.max("Datetime").alias("at")).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
+
+    w = scored.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
+
+
+def _log(spark: SparkSession, path: str, empty: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], empty)
+
+
+def timeline_of(log: DataFrame, by: list[str], *, late: bool | None = None) -> DataFrame:
+    """The timeline from a log of partial sums: of all rows, or of the late (on-time) ones alone."""
+    rows = log if late is None else log.where(F.col("late") == late)
+    return rows.groupBy("bucket_start", *by).agg(
+        F.sum("n_posts").alias("n_posts"), F.round(F.sum("micro_similarity") / 1_000_000, 6).alias("sum_similarity"),
+        F.max("max_similarity").alias("max_similarity"))
+
+
+def compact_timeline(spark: SparkSession, out_path: str, by: list[str], to_path: str) -> None:
+    """Fold a log into one row a bucket, group and kind (on time, late) at another path."""
+    (spark.read.parquet(f"{out_path.rstrip('/')}/sums").groupBy("bucket_start", *by, "late")
+          .agg(F.sum("n_posts").alias("n_posts"), F.sum("micro_similarity").alias("micro_similarity"),
+               F.max("max_similarity").alias("max_similarity")).write.mode("overwrite").parquet(to_path))
