@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidetrace.operators import similarity as sim
 from tidetrace.operators import trace as tr
 from tidetrace.operators.prepare import author_context
+from tidetrace.operators.tfidf import score_tfidf
 from tidetrace.plans.registry import register
 from tidetrace.plans.sqlviews import T, V, cos, toks
 from tidetrace.sources import tables as tb
@@ -235,3 +236,22 @@ def q_sort_by_unknown_narrative(spark, sf_dir):
     v = tb.vector_posts(spark, sf_dir)
     targets = vector_targets(v, THREE_TARGETS)
     return sim.sort_by_narrative(sim.score_vectors(v, targets, keep=["post_id"]), 99, narratives=targets)
+
+
+@register("trace_tfidf", sql=f"""
+WITH {T},
+PC AS MATERIALIZED (SELECT post_id AS id, token, count(*) AS tf FROM (SELECT post_id, unnest({toks('Tweet')}) AS token FROM T) GROUP BY 1, 2),
+NC AS (SELECT item_id AS id, token, count(*) AS tf FROM (SELECT item_id, unnest({toks('text')}) AS token FROM benchmark) GROUP BY 1, 2),
+DF AS MATERIALIZED (SELECT token, count(*) AS df FROM PC GROUP BY token),
+NP AS (SELECT count(*) AS n FROM T),
+WP AS MATERIALIZED (SELECT id, PC.token, tf * ln(CAST(n + 1 AS DOUBLE) / (df + 1)) AS w FROM PC JOIN DF USING (token), NP),
+WN AS MATERIALIZED (SELECT id, NC.token, tf * ln(CAST(n + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) AS w FROM NC LEFT JOIN DF USING (token), NP),
+AN AS (SELECT id, sqrt(sum(w * w)) AS a FROM WP GROUP BY id), BN AS (SELECT id, sqrt(sum(w * w)) AS b FROM WN GROUP BY id),
+D AS (SELECT WP.id AS post_id, WN.id AS narrative_id, sum(WP.w * WN.w) AS dot FROM WP JOIN WN ON WP.token = WN.token GROUP BY 1, 2),
+S AS (SELECT post_id, narrative_id, round(coalesce(dot / nullif(a * b, 0), 0), 6) AS similarity
+      FROM D JOIN AN ON AN.id = post_id JOIN BN ON BN.id = narrative_id)
+SELECT post_id, narrative_id, similarity FROM S WHERE similarity >= 0.3
+""")
+def q_trace_tfidf(spark, sf_dir):
+    """EMB1/EMB2: the trace on sparse TF-IDF vectors by token."""
+    return score_tfidf(tb.text_posts(spark, sf_dir), benchmark_narratives(spark, sf_dir), threshold=0.3)
