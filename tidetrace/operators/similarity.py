@@ -4,7 +4,7 @@ Vector path (SIM1): the narrative side is small by nature (a handful of
 targets, or k cluster centres). Its size is checked, then it is packed into a
 single array value and handed to every task as a scalar subquery, so each post
 is scored in one projection with no join and no shuffle. Targets beyond the
-size bound are processed in bounded chunks and unioned (exact, no cap).
+size bound are processed in bounded chunks, one at a time (exact, no cap).
 
 Lexical path (SIM2): cosine of token-count vectors, scored in the tasks that
 read the posts on an inverted index of the narratives (``operators.lexical``).
@@ -32,6 +32,8 @@ EXPR_HARD_MAX_VALUES = 65_536
 # Above this many target values (targets × dims) per post, scoring moves from
 # per-row JVM expressions to a numpy matrix product over Arrow batches.
 EXPR_MAX_TARGET_VALUES = 2048
+# Scores (posts × targets) computed at a time in a task.
+TILE_SCORES = 1 << 20
 # Narrative-token rows broadcast to the lexical join (a few tens of MB at
 # most); above this a shuffle join on token is used, with AQE skew handling.
 MAX_BROADCAST_TOKEN_ROWS = 1_000_000
@@ -70,87 +72,113 @@ def score_vectors(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embed
     the rounded value. ``method``: 'expr' (JVM expressions, no Python),
     'arrow' (numpy matrix product per Arrow batch) or 'auto' (expr for a few
     narrow targets, arrow when targets × dims is large).
+
+    Targets beyond one chunk take one pass over the posts each: its scores are
+    checkpointed and its broadcast released before the next, so one chunk is held
+    at a time (a pass multiplies each vector by a whole chunk, which outweighs
+    reading it again). A stream cannot be staged: it holds all its chunks.
     """
     keep = keep if keep is not None else [c for c in posts.columns if c != vec_col]
-    outs = []
     chunks, values = _target_chunks(targets, target_id_col, target_vec_col)
-    for chunk in chunks:
-        use = method
-        if method == "auto":
-            use = "expr" if values <= EXPR_MAX_TARGET_VALUES else "arrow"
-        elif method == "expr" and values > EXPR_HARD_MAX_VALUES:
-            use = "arrow"
-        if use == "arrow":
-            outs.append(_score_arrow(posts, chunk, vec_col, target_id_col, target_vec_col, threshold, keep, score_col))
-            continue
-        arr = _packed_targets(chunk, target_id_col, target_vec_col)
-        pv = F.col(vec_col)
-        pn = F.col("_pn")
-        scored = F.transform(F.col("_tg"), lambda t: F.struct(
-            t["tid"].alias("narrative_id"),
-            rounded(cosine_from_parts(dot(pv, t["tv"]), pn, t["tn"])).alias(score_col)))
-        if threshold is not None:
-            scored = F.filter(scored, lambda s: s[score_col] >= F.lit(float(threshold)))
-        out = (posts.withColumn("_pn", norm(pv)).withColumn("_tg", arr)
-                    .select(*keep, F.explode(scored).alias("_s"))
-                    .select(*keep, F.col("_s.narrative_id").alias("narrative_id"),
-                            F.col(f"_s.{score_col}").alias(score_col)))
-        outs.append(out)
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def _score_arrow(posts: DataFrame, targets: DataFrame, vec_col: str, target_id_col: str, target_vec_col: str,
+    if method == "auto":
+        method = "expr" if values <= EXPR_MAX_TARGET_VALUES else "arrow"
+    if len(chunks) == 1 and method == "expr" and values <= EXPR_HARD_MAX_VALUES:
+        return _score_expr(posts, targets, vec_col, target_id_col, target_vec_col, threshold, keep, score_col)
+    return _score_arrow(posts, chunks, vec_col, target_id_col, target_vec_col, threshold, keep, score_col)
+
+
+def _score_expr(posts: DataFrame, targets: DataFrame, vec_col: str, target_id_col: str, target_vec_col: str,
+                threshold: float | None, keep: list[str], score_col: str) -> DataFrame:
+    arr = _packed_targets(targets, target_id_col, target_vec_col)
+    pv = F.col(vec_col)
+    scored = F.transform(F.col("_tg"), lambda t: F.struct(
+        t["tid"].alias("narrative_id"),
+        rounded(cosine_from_parts(dot(pv, t["tv"]), F.col("_pn"), t["tn"])).alias(score_col)))
+    if threshold is not None:
+        scored = F.filter(scored, lambda s: s[score_col] >= F.lit(float(threshold)))
+    return (posts.withColumn("_pn", norm(pv)).withColumn("_tg", arr)
+                 .select(*keep, F.explode(scored).alias("_s"))
+                 .select(*keep, F.col("_s.narrative_id").alias("narrative_id"),
+                         F.col(f"_s.{score_col}").alias(score_col)))
+
+
+def _score_arrow(posts: DataFrame, chunks: list[DataFrame], vec_col: str, target_id_col: str, target_vec_col: str,
                  threshold: float | None, keep: list[str], score_col: str) -> DataFrame:
-    """Cosine scores as one matrix product per Arrow batch.
+    """Cosine scores as matrix products of bounded tiles, a pass for each chunk of targets.
 
-    The target matrix (size-checked by ``_target_chunks``) is shipped once as
-    a broadcast variable. Python keeps only scores within 1e-6 of the
-    threshold; rounding and the exact threshold test run in the JVM, so
-    results equal the expression path up to float summation order.
+    Python keeps only scores within 1e-6 of the threshold; rounding and the exact
+    threshold test run in the JVM, so results equal the expression path up to float
+    summation order.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = posts.sparkSession
-    rows = targets.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).collect()
-    if not rows:  # an empty hash chunk
+    src = (posts if posts.isStreaming else spread(posts)).select(*keep, F.col(vec_col).alias("_v"))
+    out_schema = T.StructType(src.drop("_v").schema.fields + [T.StructField("narrative_id", T.LongType()),
+                                                              T.StructField("_raw", T.DoubleType())])
+    floor = None if threshold is None else float(threshold) - 1e-6
+    done, shared = None, None
+    for chunk in chunks:
+        packed = _unit_targets(chunk, target_id_col, target_vec_col)
+        if packed is None:  # an empty hash chunk
+            continue
+        if shared is not None and not posts.isStreaming:
+            ensure_checkpoint_dir(spark)
+            last = last.checkpoint(eager=True)
+            shared.unpersist()
+        if shared is not None:
+            done = last if done is None else done.unionByName(last)
+        shared = spark.sparkContext.broadcast(packed)
+        last = src.mapInArrow(_score_pass(shared, floor), out_schema).withColumn(
+            score_col, rounded(F.col("_raw"))).drop("_raw")
+        if threshold is not None:
+            last = last.where(F.col(score_col) >= F.lit(float(threshold)))
+    if shared is None:
         return (posts.select(*keep).where(F.lit(False))
                      .withColumn("narrative_id", F.lit(None).cast("long"))
                      .withColumn(score_col, F.lit(None).cast("double")))
-    ids = np.array([r["tid"] for r in rows], dtype=np.int64)
-    mat = np.array([np.asarray(r["tv"], dtype=np.float64) for r in rows], dtype=np.float64)
-    tn = np.linalg.norm(mat, axis=1)
-    mat = np.divide(mat, tn[:, None], out=np.zeros_like(mat), where=tn[:, None] > 0)
-    bc = spark.sparkContext.broadcast((ids, mat))
-    floor = None if threshold is None else float(threshold) - 1e-6
-    src = spread(posts).select(*keep, F.col(vec_col).alias("_v"))
-    key_schema = src.drop("_v").schema
-    out_schema = T.StructType(key_schema.fields + [T.StructField("narrative_id", T.LongType()),
-                                                   T.StructField("_raw", T.DoubleType())])
+    return last if done is None else done.unionByName(last)
+
+
+def _unit_targets(chunk: DataFrame, target_id_col: str, target_vec_col: str):
+    """(ids, unit vectors as rows) of one chunk; zero vectors stay zero; None without targets."""
+    import numpy as np
+
+    found = chunk.select(F.col(target_id_col).cast("long").alias("tid"), F.col(target_vec_col).alias("tv")).toArrow()
+    if not found.num_rows:
+        return None
+    lists = found.column("tv").to_pylist()
+    mat = np.zeros((len(lists), max(len(v or ()) for v in lists)))
+    for i, v in enumerate(lists):
+        if v is not None:
+            mat[i] = v
+    length = np.linalg.norm(mat, axis=1)
+    return found.column("tid").to_numpy(), np.divide(mat, length[:, None], out=np.zeros_like(mat), where=length[:, None] > 0)
+
+
+def _score_pass(shared, floor: float | None):
+    """Rows (keep..., narrative_id, _raw) of each post against the broadcast chunk, at most TILE_SCORES at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    tile = TILE_SCORES
 
     def run(batches):
-        t_ids, t_mat = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            none = np.zeros(t_mat.shape[1])  # a null vector scores 0, as in the expression path
-            x = np.stack([none if v is None else np.asarray(v, dtype=np.float64) for v in pdf["_v"].values])
-            xn = np.linalg.norm(x, axis=1)
-            sims = (x @ t_mat.T)
-            sims = np.divide(sims, xn[:, None], out=np.zeros_like(sims), where=xn[:, None] > 0)
-            r, c = (np.nonzero(sims >= floor) if floor is not None else np.indices(sims.shape).reshape(2, -1))
-            base = pdf.drop(columns=["_v"]).iloc[r].reset_index(drop=True)
-            base["narrative_id"] = t_ids[c]
-            base["_raw"] = sims[r, c]
-            yield base
-
-    scored = src.mapInPandas(run, out_schema).withColumn(score_col, rounded(F.col("_raw"))).drop("_raw")
-    if threshold is not None:
-        scored = scored.where(F.col(score_col) >= F.lit(float(threshold)))
-    return scored
+        ids, mat = shared.value
+        step = max(1, tile // len(ids))
+        for batch in batches:
+            vectors, rest = batch.column("_v"), batch.drop_columns(["_v"])
+            for at in range(0, batch.num_rows, step):
+                own = vectors.slice(at, step)
+                x = np.zeros((len(own), mat.shape[1]))  # a null vector scores 0, as in the expression path
+                known = own.is_valid().to_numpy(zero_copy_only=False)
+                x[known] = own.flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
+                length = np.linalg.norm(x, axis=1)[:, None]
+                sims = np.divide(x @ mat.T, length, out=np.zeros((len(x), len(ids))), where=length > 0)
+                r, c = (np.nonzero(sims >= floor) if floor is not None else np.indices(sims.shape).reshape(2, -1))
+                kept = rest.take(pa.array(r + at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids[c]), pa.array(sims[r, c])],
+                                                 names=[*kept.schema.names, "narrative_id", "_raw"])
+
+    return run
 
 
 def nearest_target(posts: DataFrame, targets: DataFrame, *, vec_col: str = "embedding",
