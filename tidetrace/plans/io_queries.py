@@ -300,3 +300,14 @@ def q_channel_filter(spark, sf_dir):
     path = _scratch(spark, "channel-filter")
     wr.write_by_channel(tb.text_posts(spark, sf_dir), path, task_bytes=1 << 16)
     return tr.filter_channel(spark.read.parquet(path), "src3").select("post_id", "ChannelName", "Tweet")
+
+
+@register("text_files", sql="""
+SELECT coalesce(text, '') || chr(10) AS Tweet, 'Tweet: ' || coalesce(text, '') || chr(10) AS AuthorTweet FROM benchmark
+""")
+def q_text_files(spark, sf_dir):
+    """SRC2: a folder of .txt files, each read whole as one post."""
+    path = _scratch(spark, "texts")
+    items = tb.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    return ps.read_posts(spark, path, fmt="txt").select("Tweet", "AuthorTweet")

@@ -44,7 +44,7 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE reason IS NULL) AS n_valid,
        count(*) FILTER (WHERE reason = 'blank_text') AS n_blank_text,
        count(*) FILTER (WHERE reason = 'empty_datetime') AS n_empty_datetime,
        count(*) FILTER (WHERE reason = 'bad_datetime') AS n_bad_datetime,
-       10 AS n_columns
+       (SELECT len(json_keys(to_json(x))) FROM (SELECT *, '' AS Tweet, '' AS Datetime, 0 AS post_id, '' AS AuthorTweet FROM R LIMIT 1) x) AS n_columns
 FROM G
 """)
 def q_quality_report(spark, sf_dir):
@@ -106,3 +106,32 @@ SELECT *, count(*) OVER (PARTITION BY channel_key) > 1 AS key_collision FROM G
 """)
 def q_channel_manifest(spark, sf_dir):
     return channel_manifest(tb.raw_export(spark, sf_dir))
+
+
+@register("posts_by_date", sql="""
+SELECT event_id AS post_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 3 = 0 THEN date_trunc('second', ts)
+                                 ELSE date_trunc('second', ts) - INTERVAL 2 HOUR END AS Datetime,
+       'One Author' AS ChannelName, 'Author: One Author' || chr(10) || 'Tweet: ' || props AS AuthorTweet
+FROM events
+""")
+def q_posts_by_date(spark, sf_dir):
+    """PRJ4 + PRJ5: a single author's file with a zoned Date text and no Datetime column."""
+    i, second = F.col("event_id"), F.substring(F.col("ts").cast("string"), 1, 19)
+    export = tb.table(spark, sf_dir, "events").select(
+        i.alias("post_id"), F.col("props").alias("Tweet"),
+        F.when(i % 13 == 0, F.lit("no date")).when(i % 3 == 0, second).otherwise(F.concat(second, F.lit("+02:00"))).alias("Date"))
+    return pr.author_context(pr.constant_channel(pr.datetime_from_date(export), "One Author")).select(
+        "post_id", "Datetime", "ChannelName", "AuthorTweet")
+
+
+@register("nan_scores", sql="""
+SELECT event_type, count(*) AS n_posts, count(*) FILTER (WHERE event_id % 9 <> 0 AND value IS NOT NULL) AS n_scored,
+       max(value) FILTER (WHERE event_id % 9 <> 0) AS max_score
+FROM events GROUP BY event_type
+""")
+def q_nan_scores(spark, sf_dir):
+    """PRJ10: NaN scores become null, so counts and maxima leave them out."""
+    scored = tb.table(spark, sf_dir, "events").select(
+        "event_type", F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("score"))
+    return pr.nan_to_null(scored).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_posts"), F.count("score").alias("n_scored"), F.max("score").alias("max_score"))

@@ -147,8 +147,9 @@ def q_dataset_union(spark, sf_dir):
 
 
 @register("dataset_names", sql=f"""
-WITH {T}
-SELECT DISTINCT coalesce(datasetName, 'unknown') AS datasetName FROM T
+WITH {T}, {LEXICAL_SQL}
+SELECT coalesce(datasetName, 'unknown') AS datasetName FROM T
+UNION SELECT coalesce(T.datasetName, 'unknown') FROM S JOIN T ON S.post_id = T.post_id WHERE S.similarity >= 0.5
 """)
 def q_dataset_names(spark, sf_dir):
     t = tb.text_posts(spark, sf_dir)
@@ -173,6 +174,20 @@ def q_trace_positions(spark, sf_dir):
                             threshold=VECTOR_THRESHOLD, keep=["post_id", "Datetime"], position_order=["post_id"])
 
 
+@register("trace_first_posts", sql=f"""
+WITH {V},
+P AS (SELECT *, row_number() OVER (ORDER BY Datetime, post_id) - 1 AS position FROM V),
+Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id IN (0, 1, 2))
+SELECT P.post_id, P.position, Tg.narrative_id, round({cos('P.embedding', 'Tg.tv')}, 6) AS similarity
+FROM P, Tg WHERE P.position < 200
+""")
+def q_trace_first_posts(spark, sf_dir):
+    """SIM7: only the first 200 posts in time are scored, on demand (no cap otherwise)."""
+    v = tb.vector_posts(spark, sf_dir)
+    return tr.trace_vectors(v, vector_targets(v, THREE_TARGETS), threshold=None, keep=["post_id"],
+                            position_order=["Datetime", "post_id"], max_posts=200)
+
+
 @register("sort_by_narrative", sql=f"""
 WITH {V},
 Tg AS (SELECT post_id AS narrative_id, embedding AS tv FROM V WHERE post_id = 1)
