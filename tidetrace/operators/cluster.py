@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidetrace.functions.ranking import group_positions
@@ -14,6 +16,7 @@ from tidetrace.session import ensure_checkpoint_dir, spread
 
 TOP_MEMBERS = 5
 TOP_TERMS = 5
+MAX_SIDE_VALUES = 2_000_000  # of a table with a row per cluster, to be broadcast
 CANDIDATE_VALUES = 4_000_000  # of vectors of candidates held at once
 CANDIDATES = 32  # posts of a cluster that may be its narratives
 
@@ -44,19 +47,50 @@ def assign_nearest(posts: DataFrame, centres: DataFrame, *, keep: list[str] | No
     return nearest_target(posts, centres, target_id_col="cluster_id", keep=keep)
 
 
+def _vector_sums(batches):
+    """Rows (cluster_id, i, s, n) of each batch: sum and number of the components at each position."""
+    for batch in batches:
+        vectors, cluster = batch.column("v"), batch.column("cluster_id").dictionary_encode()
+        known = vectors.is_valid()
+        vectors, cluster = vectors.filter(known), cluster.filter(known)
+        if not len(vectors):
+            continue
+        length = vectors.value_lengths().to_numpy()
+        dims = max(1, int(length.max()))
+        place = np.arange(length.sum()) - np.repeat(length.cumsum() - length, length)
+        key = np.repeat(cluster.indices.to_numpy().astype(np.int64), length) * dims + place
+        x = vectors.flatten()
+        ok = x.is_valid().to_numpy(zero_copy_only=False)
+        x, key = x.to_numpy(zero_copy_only=False).astype(np.float64)[ok], key[ok]
+        n = np.bincount(key)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [cluster.dictionary.take(pa.array(at // dims)), pa.array(at % dims),
+             pa.array(np.bincount(key, weights=x)[at]), pa.array(n[at])], names=["cluster_id", "i", "s", "n"])
+
+
 def mean_vectors(assigned: DataFrame, *, vec_col: str = "embedding") -> DataFrame:
-    """Element-wise mean vector per cluster (cluster_id, embedding ARRAY<DOUBLE>).
-    posexplode + partial aggregation: a big cluster is summed by many tasks."""
-    e = assigned.select("cluster_id", F.posexplode(vec_col).alias("i", "x"))
-    m = e.groupBy("cluster_id", "i").agg(F.avg("x").alias("x"))
+    """Element-wise mean vector per cluster (cluster_id, embedding ARRAY<DOUBLE>). A task sums
+    each Arrow batch by cluster, so rows are never exploded and a big cluster spans many tasks."""
+    rows = assigned.where(F.col("cluster_id").isNotNull()).select("cluster_id", F.col(vec_col).alias("v"))
+    kind = rows.schema["cluster_id"].dataType.simpleString()
+    sums = rows.mapInArrow(_vector_sums, f"cluster_id {kind}, i bigint, s double, n bigint")
+    m = sums.groupBy("cluster_id", "i").agg((F.sum("s") / F.sum("n")).alias("x"))
     return m.groupBy("cluster_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
+def small_side(df: DataFrame, values_per_row: int = 1) -> DataFrame:
+    """A staged table marked for broadcast if it holds at most MAX_SIDE_VALUES values; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() * max(1, values_per_row) <= MAX_SIDE_VALUES else df
+
+
 def cluster_profile(assigned: DataFrame, *, vec_col: str = "embedding") -> DataFrame:
     """CLU4: size, time span, channels and mean cosine to the cluster mean."""
-    centres = mean_vectors(assigned, vec_col=vec_col).withColumnRenamed("embedding", "_c")
-    j = assigned.join(centres, "cluster_id")
+    ensure_checkpoint_dir(assigned.sparkSession)
+    centres = mean_vectors(assigned, vec_col=vec_col).withColumnRenamed("embedding", "_c").checkpoint(eager=True)
+    dims = centres.agg(F.max(F.size("_c"))).first()[0] or 0
+    j = assigned.join(small_side(centres, dims), "cluster_id")
     s = F.round(cosine(F.col(vec_col), F.col("_c")), 6)
     return j.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_posts"), F.min("Datetime").alias("first_post"),
@@ -75,10 +109,10 @@ def cluster_terms(df: DataFrame, *, cluster_col: str = "cluster_id", text_col: s
     # The checkpoint (shared checkpoint dir) holds clusters × vocabulary rows.
     ensure_checkpoint_dir(df.sparkSession)
     tf = ex.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf")).checkpoint(eager=True)
-    size = tf.groupBy("cluster_id").agg(F.sum("tf").alias("_size"))
+    size = tf.groupBy("cluster_id").agg(F.sum("tf").alias("_size")).checkpoint(eager=True)
     freq = tf.groupBy("term").agg(F.sum("tf").alias("_f"))
     avg_size = size.select(F.avg("_size")).scalar()
-    scored = (tf.join(size, "cluster_id").join(freq, "term")
+    scored = (tf.join(small_side(size), "cluster_id").join(freq, "term")
                 .withColumn("score", F.round(F.col("tf") / F.col("_size") * F.log(F.lit(1.0) + avg_size / F.col("_f")), 6)))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("score"), F.col("term"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
