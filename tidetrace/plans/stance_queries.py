@@ -129,3 +129,24 @@ def q_stance_model_rule(spark, sf_dir):
              .select(tokens(F.col("text")).alias("w")).first())
     ruled = st.keyword_stance(t, words["w"] if words else []).withColumn("similarity", F.lit(1.0))
     return st.stance_counts(st.signed_similarity(ruled))
+
+
+def _exclaims(prompts):
+    """A stand-in for a language model: support for posts that exclaim, else neutral, as fenced JSON."""
+    post = prompts.str.partition("\nPost: ")[2]
+    answer = '```json\n{"support": %d, "opposition": 0, "neutral": %d, "unsure": 0}\n```'
+    return post.str.contains("!", regex=False).map(lambda yes: answer % (yes, not yes))
+
+
+@register("stance_with_model", sql=f"""
+WITH {T}
+SELECT post_id, CASE WHEN contains(coalesce(Tweet, ''), '!') THEN 'support' ELSE 'neutral' END AS polarity,
+       CASE WHEN contains(coalesce(Tweet, ''), '!') THEN 8 ELSE 2 END AS response_obj
+FROM T
+""")
+def q_stance_with_model(spark, sf_dir):
+    """STN1: prompts answered by a callable in Arrow batches, answers parsed; the callable is a rule here."""
+    t = tb.text_posts(spark, sf_dir)
+    narrative = tb.table(spark, sf_dir, "benchmark").where(F.col("item_id") == 0).select("text").scalar()
+    answers = st.answer_with(st.stance_prompts(t, narrative), _exclaims)
+    return st.parse_stance(answers).select("post_id", "polarity", "response_obj")

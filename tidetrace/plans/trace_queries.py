@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidetrace.operators import similarity as sim
 from tidetrace.operators import trace as tr
+from tidetrace.operators.embed import embed_with
 from tidetrace.operators.prepare import author_context
 from tidetrace.operators.tfidf import score_tfidf
 from tidetrace.plans.registry import register
@@ -270,3 +271,25 @@ SELECT post_id, narrative_id, similarity FROM S WHERE similarity >= 0.3
 def q_trace_tfidf(spark, sf_dir):
     """EMB1/EMB2: the trace on sparse TF-IDF vectors by token."""
     return score_tfidf(tb.text_posts(spark, sf_dir), benchmark_narratives(spark, sf_dir), threshold=0.3)
+
+
+LETTERS = "aeinorstu"
+LETTER_SQL = "[" + ", ".join(f"length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in LETTERS) + "]"
+
+
+def _letter_counts(texts):
+    return [[t.count(c) for c in LETTERS] for t in texts]
+
+
+@register("trace_with_encoder", sql=f"""
+WITH {T},
+P AS MATERIALIZED (SELECT post_id, {LETTER_SQL.format("coalesce(Tweet, '')")} AS e FROM T),
+Q AS MATERIALIZED (SELECT item_id AS narrative_id, {LETTER_SQL.format("coalesce(text, '')")} AS tv FROM benchmark),
+S AS (SELECT post_id, narrative_id, round({cos('P.e', 'Q.tv')}, 6) AS similarity FROM P, Q)
+SELECT * FROM S WHERE similarity >= 0.99
+""")
+def q_trace_with_encoder(spark, sf_dir):
+    """EMB1(b) + SIM6: posts and narratives encoded by a callable (counts of letters here), then traced."""
+    posts = embed_with(tb.text_posts(spark, sf_dir), _letter_counts)
+    narratives = embed_with(benchmark_narratives(spark, sf_dir), _letter_counts, text_col="text", key_col="narrative_id")
+    return sim.score_vectors(posts, narratives, threshold=0.99)
