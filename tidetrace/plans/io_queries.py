@@ -165,8 +165,8 @@ def q_stream_timeline(spark, sf_dir):
     with a watermark, in update mode; the latest version of each window equals
     the batch timeline."""
     out, ckpt = _scratch(spark, "timeline-out"), _scratch(spark, "timeline-ckpt")
-    schema = tb.table(spark, sf_dir, "embeddings").schema
-    stream = tb.derive_vector_posts(ts.read_parquet_stream(spark, sf_dir, schema, glob="embeddings.parquet"))
+    stream = tb.derive_vector_posts(ts.read_table_stream(spark, tb.table_path(sf_dir, "embeddings"),
+                                                         tb.table(spark, sf_dir, "embeddings").schema))
     v = tb.vector_posts(spark, sf_dir)
     scored = sim.score_vectors(stream, tq.vector_targets(v, tq.ONE_TARGET), keep=["post_id", "ChannelName", "Datetime"],
                                method="expr")

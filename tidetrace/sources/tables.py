@@ -22,8 +22,13 @@ VECTOR_TIME_STEP = 7919
 TEXT_TIME_STEP = 2591
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    """A table is a parquet file or a folder of parquet files by this name."""
+    return os.path.join(sf_dir, f"{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def _spread_time(id_col: Column, step: int) -> Column:

@@ -37,6 +37,15 @@ def read_parquet_stream(spark: SparkSession, directory: str, schema: T.StructTyp
     return r.parquet(directory)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: T.StructType, *, max_files: int | None = None) -> DataFrame:
+    """A stream over a parquet table that is one file or a folder of files. Spark takes the path of a stream
+    for a folder, so a single file is named by a pattern that only it fits."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"
+    return read_parquet_stream(spark, path, schema, max_files=max_files)
+
+
 def run_to_completion(query, timeout_s: int | None = None) -> None:
     """Wait for a draining query; it is stopped only after a timeout the caller sets."""
     query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
