@@ -21,7 +21,7 @@ def test_streams_equal_batch(spark, tmp_path, files):
     # a file of the same name elsewhere below the folder is not the table
     df.limit(3).write.parquet(str(tmp_path / "other" / "embeddings.parquet"))
     q = entry.queries()
-    for batch, stream, n in (("timeline_daily", "stream_timeline", len(ROWS)),):
+    for batch, stream, n in (("trace_vectors", "stream_trace", None), ("timeline_daily", "stream_timeline", len(ROWS))):
         a = q[batch](spark, str(tmp_path))
         want = sorted(map(tuple, a.collect()))
         assert want == sorted(map(tuple, q[stream](spark, str(tmp_path)).select(*a.columns).collect())) and want
