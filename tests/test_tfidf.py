@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 from tidetrace.operators.tfidf import score_tfidf
@@ -31,3 +32,30 @@ def test_equals_brute_force(spark):
     got = {(r.post_id, r.narrative_id): r.similarity for r in score_tfidf(p, n).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
     assert {k for k in got if got[k] >= 0.5} == {(r.post_id, r.narrative_id) for r in score_tfidf(p, n, threshold=0.5).collect()}
+
+
+def test_task_sizes_and_large_narrative_tables_change_no_row(spark, monkeypatch):
+    """Many tasks by bytes and products, and narratives joined by token instead of broadcast."""
+    from tidetrace.operators import tfidf
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    posts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(300)] + [(3, "w1 w2 w2"), (None, "w1 w3")]
+    narratives = [(j, " ".join(rng.choices(words, k=8))) for j in range(12)] + [(2, "w5"), (None, "w6")]
+    p = spark.createDataFrame(posts, "post_id long, Tweet string").repartition(2)
+    n = spark.createDataFrame(narratives, "narrative_id long, text string")
+
+    def scores():
+        return sorted((r.post_id, r.narrative_id, round(r.similarity, 5)) for r in score_tfidf(p, n).collect())
+
+    want = scores()
+    assert want and not any(x is None or y is None for x, y, _ in want)
+    monkeypatch.setattr(tfidf, "TASK_BYTES", 2000)
+    monkeypatch.setattr(tfidf, "TASK_PRODUCTS", 500)
+    out = score_tfidf(p, n)
+    assert scores() == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    products = sum(len(set(t.split())) for _, t in posts)  # at least one narrative holds each token
+    assert max(int(x) for x in re.findall(r"hashpartitioning\(id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)) >= products // 500
+    monkeypatch.setattr(tfidf, "FEW_WEIGHTS", 0)
+    assert scores() == want

@@ -72,3 +72,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def partitions_for(spark: SparkSession, amount: int, task_amount: int) -> int:
+    """Partitions of about ``task_amount`` each, the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(amount) // task_amount))
