@@ -126,8 +126,7 @@ def q_new_posts_to_embed(spark, sf_dir):
     """EMB3/JN7: texts without a stored vector (the table holds the vectors
     of posts that have one), by content key."""
     t = tb.text_posts(spark, sf_dir)
-    known = tb.posts_with_text_and_vectors(spark, sf_dir).select(
-        F.sha2(F.col("Tweet"), 256).alias("text_key"), F.lit("given").alias("model"), "embedding")
+    known = tb.text_keys_and_vectors(spark, sf_dir).select("text_key", F.lit("given").alias("model"), "embedding")
     return em.missing_embeddings(t, known, model="given").select("post_id", "text_key")
 
 
@@ -256,10 +255,10 @@ FROM T LEFT JOIN K ON K.text_key = sha256(T.Tweet)
 def q_embedding_store(spark, sf_dir):
     """EMB3/JN7: vectors stored by content key, the same rows twice and some replaced, then attached to
     every post; posts without a stored vector keep their rows."""
-    path = _scratch(spark, "embedding-store")
-    known = tb.posts_with_text_and_vectors(spark, sf_dir).where(F.col("Tweet").isNotNull()).groupBy(
-        F.sha2("Tweet", 256).alias("text_key")).agg(F.min_by("embedding", "post_id").alias("embedding"))
-    rows = known.select("text_key", F.lit("given").alias("model"), "embedding")
+    path = _scratch(spark, "embedding-store")  # sets the checkpoint folder
+    known = tb.text_keys_and_vectors(spark, sf_dir).where(F.col("text_key").isNotNull()).groupBy("text_key").agg(
+        F.min_by("embedding", "post_id").alias("embedding"))
+    rows = known.select("text_key", F.lit("given").alias("model"), "embedding").checkpoint(eager=True)  # stored three times
     em.upsert_embeddings(rows.withColumn("embedding", F.transform("embedding", lambda x: x * 0)), path)
     for _ in range(2):
         em.upsert_embeddings(rows, path)

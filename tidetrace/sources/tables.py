@@ -12,6 +12,8 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidetrace.functions.text import text_key
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -123,3 +125,9 @@ def posts_with_text_and_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text_posts(spark, sf_dir)
     v = vector_posts(spark, sf_dir).select("post_id", "embedding", F.col("label"))
     return t.join(v, "post_id")
+
+
+def text_keys_and_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T ⋈ V on post_id as (post_id, text_key, embedding): texts are hashed where they are read."""
+    t = text_posts(spark, sf_dir).select("post_id", text_key(F.col("Tweet")).alias("text_key"))
+    return t.join(vector_posts(spark, sf_dir).select("post_id", "embedding"), "post_id")
