@@ -62,6 +62,16 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (after - size), size) + np.arange(after[-1] if len(after) else 0)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with one place of each value, not always the first, so that any sort will do."""
+    order = np.argsort(values)
+    some = values[order]
+    new = np.append(True, some[1:] != some[:-1])
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = new.cumsum() - 1
+    return some[new], order[new], inverse
+
+
 class Pieces:
     """Ids of pieces, found by the piece's hash and length: sorted hashes beside one pool of ids."""
 
@@ -196,7 +206,7 @@ class TextEncoder:
         cut[offs[:-1][full]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        keys, first, inverse = np.unique(hash_spans(data, start, end, _WEIGHTS), return_index=True, return_inverse=True)
+        keys, first, inverse = _distinct(hash_spans(data, start, end, _WEIGHTS))
         size, begin, pool = self._look_up(keys, raw, start[first], end[first])
         n = size[inverse]
         return pool[_ranges(begin[inverse], n)], np.concatenate([[0], n.cumsum()])[np.searchsorted(start, offs)]
